@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe, quality, simhash, warc
+from loomgraph.llm import bpe, iblt, quality, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_iblt": iblt.op2_iblt,
     "op3_quality": quality.op3_quality,
     "op7_simhash": simhash.op7_simhash,
     "op8_bpe": bpe.op8_bpe,
