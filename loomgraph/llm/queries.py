@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe, iblt, quality, simhash, warc
+from loomgraph.llm import bpe, iblt, packing, quality, simhash, urlrules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_iblt": iblt.op2_iblt,
     "op3_quality": quality.op3_quality,
+    "op5_packing": packing.op5_packing,
+    "op6_urls": urlrules.op6_urls,
     "op7_simhash": simhash.op7_simhash,
     "op8_bpe": bpe.op8_bpe,
     "op10_warc": warc.op10_warc,
