@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe, iblt, packing, quality, simhash, urlrules, warc
+from loomgraph.llm import bpe, iblt, packing, quality, simhash, toxicity, urlrules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_iblt": iblt.op2_iblt,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_urls": urlrules.op6_urls,
     "op7_simhash": simhash.op7_simhash,
     "op8_bpe": bpe.op8_bpe,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_warc": warc.op10_warc,
 }
 
