@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe, grulm, iblt, packing, quality, simhash, toxicity, urlrules, warc
+from loomgraph.llm import bpe, grulm, iblt, media, packing, quality, simhash, toxicity, urlrules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_gru": grulm.op1_gru,
     "op2_iblt": iblt.op2_iblt,
     "op3_quality": quality.op3_quality,
+    "op4_media": media.op4_media,
     "op5_packing": packing.op5_packing,
     "op6_urls": urlrules.op6_urls,
     "op7_simhash": simhash.op7_simhash,
