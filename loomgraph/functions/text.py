@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 #: Words that are neither indexed nor queried.
 STOP_WORDS = """
@@ -145,7 +146,7 @@ def tokenize(text: str | None) -> list[str]:
 _STOP = frozenset(STOP_WORDS)
 
 
-@pandas_udf("array<string>")
+@pandas_udf(ArrayType(StringType()))
 def index_tokens(text: pd.Series) -> pd.Series:
     return text.map(tokenize)
 

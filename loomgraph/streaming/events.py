@@ -15,23 +15,30 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from loomgraph.plans.io import shared_dir
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """Watermarks are on timestamps with a zone; batches keep their own type."""
+    if events.isStreaming and dict(events.dtypes)["ts"] == "timestamp_ntz":
+        events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.withWatermark("ts", late) if events.isStreaming else events
+
+
 def tumbling(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    w = _timed(events, late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return w.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sliding(events: DataFrame, size: str = "2 hours", slide: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", size, slide).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    w = _timed(events, late).groupBy(F.window("ts", size, slide).alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return w.select(F.col("w.start").alias("start"), "n")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    w = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    w = _timed(events, late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return w.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def deduplicated(events: DataFrame, keys: list[str], late: str = "10 minutes") -> DataFrame:
-    return events.withWatermark("ts", late).dropDuplicates(keys)
+    return _timed(events, late).dropDuplicates(keys)
 
 
 def running_totals(events: DataFrame) -> DataFrame:
