@@ -1,5 +1,7 @@
 """Streams give what the batch gives; ingest folds each file once."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loomgraph.streaming import events as S
@@ -33,7 +35,7 @@ def test_state_equals_batch(spark, sf, tmp_path):
 
 def test_ingest_is_once(spark, sf, tmp_path):
     batch, _ = _stream(spark, sf, tmp_path)
-    seen = []
+    seen, name = [], uuid.uuid4().hex
     for _ in range(2):
-        S.ingest(spark, str(tmp_path / "in"), batch.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", "), lambda df, i: seen.append(df.count()), tmp_path.name).awaitTermination()
+        S.ingest(spark, str(tmp_path / "in"), batch.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", "), lambda df, i: seen.append(df.count()), name).awaitTermination()
     assert sum(seen) == batch.count()
