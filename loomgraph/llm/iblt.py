@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm._common import shuffle_partitions, table
+from loomgraph.llm._common import table
 from loomgraph.llm._ranges import LOWEST, range_cuts, shard_of
 
 #: A run of words ends where a word ends in one of these signs; of texts with under FEW runs each word is one.
@@ -33,6 +33,8 @@ CUT = re.compile(r"\n+|(?<=[st.!?|。]) +")
 FEW = 6
 #: Runs without such an end are cut from half of this length on, where the text itself says.
 LONG = 128
+#: About how many shards there are at most; beyond that they grow.
+MOST_SHARDS = 20_000
 _U = np.uint64
 
 
@@ -215,7 +217,7 @@ def with_next(docs: DataFrame, rows: int) -> DataFrame:
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id"), F.lit(LOWEST))
     ids = docs.select(key.alias("key"))
-    cuts = range_cuts(ids.select("key", F.lit(1).cast("long").alias("weight")), rows)
+    cuts = range_cuts(ids.select("key", F.lit(1).cast("long").alias("weight")), max(rows, ids.count() // MOST_SHARDS))
     # One row a shard: its first id, and the shard before it. Their number is bounded by rows / shard size.
     first = ids.withColumn("shard", shard_of(F.col("key"), cuts)).groupBy("shard").agg(F.min("key").alias("key")).collect()
     first.sort()
@@ -225,8 +227,8 @@ def with_next(docs: DataFrame, rows: int) -> DataFrame:
     own = F.struct(F.col("shard").alias("shard"), F.lit(0).alias("ahead"))
     both = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("before").alias("shard"), F.lit(1).alias("ahead"))))
     dealt = marked.select(F.explode(both).alias("at"), "doc_id", "text").select("at.shard", "at.ahead", "doc_id", "text")
-    parts = max(1, min(len(cuts) + 1, 4 * shuffle_partitions(spark)))
-    return dealt.repartition(parts, "shard").sortWithinPartitions("shard", "ahead", F.col("doc_id").asc_nulls_first(), "text")
+    # A partition a shard: dealing by hash would put several of them together and leave others empty.
+    return dealt.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "ahead", F.col("doc_id").asc_nulls_first(), "text")
 
 
 def fingerprint_documents(docs: DataFrame, p: Sketch = DEFAULT) -> DataFrame:
