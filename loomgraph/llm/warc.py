@@ -148,8 +148,7 @@ def write_archive(pages: DataFrame, root: str, p: Archive = DEFAULT) -> DataFram
     rows = pages.select("page_id", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"))
     notes = repeats.select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to")
     both = rows.unionByName(notes).withColumn("shard", shard_of(key, cuts))
-    parts = max(1, min(len(cuts) + 1, 4 * shuffle_partitions(spark)))
-    dealt = both.repartition(parts, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", "html", "url")
+    dealt = both.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", "html", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, shard, page, first, seen = None, None, object(), {}, set()
