@@ -254,7 +254,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """The head of the counts, by count then word; what is shipped to tasks. Ids of the model: the first
+    """The head of the counts (at most ``head`` words and the end), by count then word; what is shipped to tasks. Ids of the model: the first
     ``outputs`` words, then the buckets."""
 
     words: list[bytes]
@@ -271,10 +271,19 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, p: Gru) -> Vocabulary:
-    """From the count table: at most ``p.head`` words and ``p.buckets`` sums come to the driver."""
+    """From the count table: at most ``p.head`` words, ``p.buckets`` sums and a histogram of some thousand steps
+    come to the driver. The head is cut at a step of the histogram, so no task or driver ranks all words."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.col("n").desc(), "word").limit(p.head).toPandas()
-    words, n = [bytes(w) for w in top["word"]], top["n"].to_numpy(np.int64)
+    step = F.floor(F.log2("n") * 64)
+    cut, held = 1 << 30, 0
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        held += r["count"]
+        if held > p.head:
+            break
+        cut = r["step"]
+    top = counts.where((step >= cut) | (F.col("word") == F.lit(END))).collect()
+    top.sort(key=lambda r: (-r["n"], bytes(r["word"])))
+    words, n = [bytes(r["word"]) for r in top], np.array([r["n"] for r in top], np.int64)
     if END in words[p.outputs:]:  # the end is always an output
         i = words.index(END)
         words.insert(0, words.pop(i))
