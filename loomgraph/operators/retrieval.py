@@ -136,3 +136,40 @@ def eval_metrics(hits: DataFrame, ks: tuple[int, ...] = (1, 5, 10, 20), cut: int
     first = hits.groupBy("query").agg(F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first"))
     mrr = F.avg(F.coalesce(F.when(F.col("first") <= cut, 1.0 / F.col("first")), F.lit(0.0))).alias("mrr")
     return first.agg(F.count(F.lit(1)).alias("queries"), *(F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)).alias(f"recall_{k}") for k in ks), mrr)
+
+
+#: What a match of the name, of its last part, and of the title line multiplies a score by.
+NAME_BOOST, SLUG_BOOST, TITLE_BOOST = 30.0, 20.0, 10.0
+#: What parts of a path multiply a score by.
+PATH_PENALTIES = [(".agent/", 0.01), ("research/", 0.1), ("vendor/", 0.1), ("third_party/", 0.1), ("node_modules/", 0.1)]
+
+
+def boost(name: Column, slug: Column, title: Column, words: list[str]) -> Column:
+    """The largest boost that applies, only that one: a query word is the name, the slug, or a word of the title."""
+    has = lambda x: F.lower(x).isin([w.lower() for w in words])
+    wanted = F.array(*(F.lit(w.lower()) for w in words))
+    in_title = F.arrays_overlap(F.regexp_extract_all(F.lower(title), F.lit("[a-z0-9]+"), F.lit(0)), wanted)
+    return F.when(has(name), NAME_BOOST).when(has(slug), SLUG_BOOST).when(in_title, TITLE_BOOST).otherwise(1.0)
+
+
+def path_penalty(path: Column) -> Column:
+    out = F.lit(1.0)
+    for part, factor in reversed(PATH_PENALTIES):
+        out = F.when(path.contains(part), factor).otherwise(out)
+    return out
+
+
+def fuzzy(names: DataFrame, word: str, most: int = 2) -> DataFrame:
+    """(name, score): names within ``most`` edits of a word, 0.9 / (distance + 1)."""
+    d = F.levenshtein("name", F.lit(word), most)
+    return names.select("name").distinct().withColumn("d", d).where("d >= 0").select("name", (0.9 / (F.col("d") + 1)).alias("score"))
+
+
+def append_fuzzy(scores: DataFrame, fuzzy_scores: DataFrame, key: str) -> DataFrame:
+    """(key, score, tier): fuzzy rows after lexical ones; a key may come twice."""
+    return scores.select(key, "score", F.lit(0).alias("tier")).unionByName(fuzzy_scores.select(key, "score", F.lit(1).alias("tier")))
+
+
+def vote(hits: DataFrame, flag: Column, first: int = 10, share: float = 0.8) -> DataFrame:
+    """(verdict): whether at least ``share`` of the first hits (rank, ...) have the flag."""
+    return hits.where(F.col("rank") <= first).agg((F.coalesce(F.avg(F.when(flag, 1.0).otherwise(0.0)), F.lit(0.0)) >= share).alias("verdict"))

@@ -773,3 +773,66 @@ def watermark_dedupe(spark, d):
 @query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
 def stateful_user_totals(spark, d):
     return _events(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+# ---- boosts, votes, composed reads ---------------------------------------------------------------
+
+TITLE = " OR ".join(f"list_contains(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[a-z0-9]+'), '{w}')" for w in WORDS)
+
+
+@query(f"WITH {BM25_SQL} SELECT doc_id, round(score * CASE WHEN {TITLE} THEN 10.0 ELSE 1.0 END, 6) AS score FROM scored JOIN documents USING (doc_id)")
+def title_boost(spark, d):
+    docs = P.read(spark, d, "documents").select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("title"))
+    scored = _bm25(spark, d).join(docs, "doc_id")
+    none = F.lit("")
+    return scored.select("doc_id", r6(c("score") * retrieval.boost(none, none, c("title"), WORDS)).alias("score"))
+
+
+@query("SELECT page_id, CASE WHEN contains(html, '.agent/') THEN 0.01 WHEN contains(html, 'research/') OR contains(html, 'vendor/') OR contains(html, 'third_party/') OR contains(html, 'node_modules/') THEN 0.1 ELSE 1.0 END::DOUBLE AS penalty FROM pages")
+def path_penalty(spark, d):
+    return P.read(spark, d, "pages").select("page_id", retrieval.path_penalty(c("html")).alias("penalty"))
+
+
+@query("SELECT DISTINCT p_name AS name, round(0.9 / (levenshtein(p_name, 'blue bold') + 1), 6) AS score FROM part WHERE levenshtein(p_name, 'blue bold') <= 2")
+def levenshtein_fuzzy(spark, d):
+    names = P.read(spark, d, "part").select(c("p_name").alias("name"))
+    return retrieval.fuzzy(names, "blue bold").select("name", r6(c("score")).alias("score"))
+
+
+@query(f"WITH {BM25_SQL}, t AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored) SELECT coalesce(avg((lang = 'en')::INT), 0) >= 0.8 AS verdict FROM t JOIN documents USING (doc_id) WHERE rank <= 10")
+def prose_vote(spark, d):
+    top = retrieval.ranked(_bm25(spark, d), "doc_id", "score", 10)
+    return retrieval.vote(P.read(spark, d, "documents").select("doc_id", "lang").join(F.broadcast(top), "doc_id"), c("lang") == "en")
+
+
+@query(f"WITH {E} SELECT src, dst, edge_type FROM edges WHERE edge_type IN ('PartOf', 'IsA', 'RelatesTo', 'SimilarTo', 'Mentions') AND (contains(src, 'nation/1') OR contains(dst, 'nation/1'))")
+def semantic_search_join(spark, d):
+    kinds = ["PartOf", "IsA", "RelatesTo", "SimilarTo", "Mentions"]
+    return P.edges(spark, d).where(c("edge_type").isin(kinds) & (c("src").contains("nation/1") | c("dst").contains("nation/1")))
+
+
+@query(f"WITH {E} SELECT src, dst, priority, row_number() OVER (PARTITION BY src ORDER BY priority, dst)::INT AS position FROM (SELECT src, dst, min(CASE edge_type WHEN 'Calls' THEN 0 WHEN 'Implements' THEN 2 WHEN 'PartOf' THEN 4 WHEN 'Uses' THEN 5 WHEN 'Requires' THEN 6 WHEN 'Contains' THEN 11 END) AS priority FROM edges WHERE src LIKE 'order/%' GROUP BY 1, 2)")
+def ordered_neighbors(spark, d):
+    return assembly.ordered_neighbors(P.edges(spark, d).where(c("src").startswith("order/")))
+
+
+@query(f"WITH {E} SELECT src AS anchor, round(sum(CASE edge_type WHEN 'Contains' THEN 0.5 WHEN 'PartOf' THEN 0.9 WHEN 'Requires' THEN 0.6 ELSE 0.8 END), 6) AS activation FROM edges GROUP BY src")
+def edge_activation(spark, d):
+    return P.edges(spark, d).groupBy(c("src").alias("anchor")).agg(r6(F.sum(assembly.edge_weight(c("edge_type")))).alias("activation"))
+
+
+@query(f"""WITH {E} SELECT 'part/7' AS anchor, count(DISTINCT src) FILTER (edge_type = 'Calls' AND dst = 'part/7') AS callers, count(DISTINCT dst) FILTER (edge_type = 'Implements' AND src = 'part/7') AS implemented_by FROM edges""")
+def understand(spark, d):
+    e = P.edges(spark, d).where("src = 'part/7' or dst = 'part/7'")
+    callers = F.count_distinct(F.when((c("edge_type") == "Calls") & (c("dst") == "part/7"), c("src")))
+    made = F.count_distinct(F.when((c("edge_type") == "Implements") & (c("src") == "part/7"), c("dst")))
+    return e.agg(callers.alias("callers"), made.alias("implemented_by")).select(F.lit("part/7").alias("anchor"), "callers", "implemented_by")
+
+
+@query("""WITH t AS (SELECT user_id, ts, value FROM events WHERE event_type = 'click'), v AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view')
+SELECT event_id, (SELECT max(t.ts) FROM t WHERE t.user_id = v.user_id AND t.ts <= v.ts) AS last_click FROM v""")
+def asof_last_click(spark, d):
+    """As-of: one sort by user and time, the last click carried forward; no range join."""
+    e = _events(spark, d).where(c("event_type").isin("click", "view"))
+    click = F.when(c("event_type") == "click", c("ts"))
+    w = W.partitionBy("user_id").orderBy("ts").rangeBetween(W.unboundedPreceding, W.currentRow)
+    return e.withColumn("last_click", F.max(click).over(w)).where("event_type = 'view'").select("event_id", "last_click")
