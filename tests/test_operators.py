@@ -166,3 +166,13 @@ def test_sources(spark, tmp_path):
     assert t.sources == ["x", "y"]
     (tmp_path / "t.csv").write_text("h,i\n1,2\n")
     assert files.csv_table(spark, str(tmp_path / "t.csv")).columns == ["h", "i"]
+
+
+def test_boosts_and_votes(spark):
+    df = spark.createDataFrame([("Run", "x", "a b"), ("x", "run", "run"), ("x", "y", "How to run"), ("x", "y", "running")], "n string, s string, t string")
+    got = [r[0] for r in df.select(retrieval.boost(F.col("n"), F.col("s"), F.col("t"), ["run"])).collect()]
+    assert got == [30.0, 20.0, 10.0, 1.0]
+    hits = spark.createDataFrame([(i, i <= 8) for i in range(1, 11)], "rank int, prose boolean")
+    assert retrieval.vote(hits, F.col("prose")).first().verdict and not retrieval.vote(hits, ~F.col("prose")).first().verdict
+    names = spark.createDataFrame([("walk",), ("wall",), ("run",)], "name string")
+    assert {r.name: r.score for r in retrieval.fuzzy(names, "walk").collect()} == {"walk": 0.9, "wall": 0.45}
