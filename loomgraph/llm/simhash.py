@@ -11,6 +11,9 @@ gives a spanning forest, at most one link a fingerprint and key.
 A key with more than ``tile`` fingerprints (a large group of near copies) is dealt as tiles: its
 fingerprints are put in chunks by hash and each pair of chunks is a task's work of bounded size, so
 nothing is dropped and no task holds the whole key. Components of the links follow, on all machines.
+
+``keep_one`` asks for a Jaccard similarity instead: MinHash bands only say which sets of shingles to compare,
+and a link is made after the sets themselves are compared.
 """
 
 from __future__ import annotations
@@ -50,9 +53,23 @@ class SimHash:
 
 #: The query's contract: 4-word shingles, 64 bits, 4 differing bits; every such pair meets.
 CONTRACT = SimHash()
-#: 5-word shingles at a Jaccard similarity of 0.8 or more. Such sets have a cosine of 0.89 at least, so
-#: bits differ with probability 0.15: 39 of 256, standard deviation 6. 52 leaves 2 deviations.
-SIMILAR = SimHash(shingle=5, words=4, near=16, distance=52, blocks=10, agree=2)
+
+
+@dataclass(frozen=True)
+class Similar:
+    """``at_least``: the Jaccard similarity of two shingle sets that links them, as a fraction (numerator,
+    denominator). Sets are candidates if one of ``bands`` groups of ``rows`` least hashes agrees: of pairs at
+    similarity s, (1 - s ** rows) ** bands are never compared, 5 in a million at 0.8, 7 in a thousand million
+    at 0.85. ``tile``: sets of a group of candidates that are compared at once."""
+
+    shingle: int = 5
+    at_least: tuple[int, int] = (4, 5)
+    bands: int = 40
+    rows: int = 6
+    tile: int = 512
+
+
+SIMILAR = Similar()
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -60,20 +77,27 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def fingerprint(text: str | None, p: SimHash = CONTRACT) -> np.ndarray:
-    """The ``p.words`` words of a text's fingerprint; all zero if it has no words."""
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """The 64-bit hashes of a text's shingles of ``size`` words, in order; none if it has no words."""
     w = words_of(text)
     if not w:
-        return np.zeros(p.words, np.uint64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(w)
-    if len(w) <= p.shingle:
+    if len(w) <= size:
         grams = [joined]
     else:
         at = np.zeros(len(w) + 1, np.int64)
         np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1, out=at[1:])
-        n = len(w) - p.shingle + 1
-        grams = [joined[a:b] for a, b in zip(at[:n].tolist(), (at[p.shingle:p.shingle + n] - 1).tolist())]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64, len(grams))
+        n = len(w) - size + 1
+        grams = [joined[a:b] for a, b in zip(at[:n].tolist(), (at[size:size + n] - 1).tolist())]
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64, len(grams))
+
+
+def fingerprint(text: str | None, p: SimHash = CONTRACT) -> np.ndarray:
+    """The ``p.words`` words of a text's fingerprint; all zero if it has no words."""
+    h = shingles(text, p.shingle)
+    if not len(h):
+        return np.zeros(p.words, np.uint64)
     out = np.empty(p.words, np.uint64)
     for k in range(p.words):
         if k:
@@ -224,17 +248,132 @@ def near_duplicates(docs: DataFrame, p: SimHash = CONTRACT) -> DataFrame:
     return made.join(known, "node").drop("node")
 
 
-def keep_one(docs: DataFrame, p: SimHash = SIMILAR) -> DataFrame:
+def band_keys(distinct: np.ndarray, p: Similar = SIMILAR) -> np.ndarray:
+    """One key a band of a set of shingle hashes: a digest of the band's number and its least hashes."""
+    k = p.bands * p.rows
+    salt = np.random.default_rng(7).integers(1, 1 << 32, (2, k, 1), np.uint64).astype(np.uint32)
+    x = (distinct ^ (distinct >> np.uint64(32))).astype(np.uint32)
+    least = np.full(k, 0xFFFFFFFF, np.uint32)
+    for s in range(0, len(x), 2048):
+        h = (x[s:s + 2048] ^ salt[0]) * (salt[1] | np.uint32(1))
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x85EBCA6B)
+        np.minimum(least, h.min(axis=1), out=least)
+    raw, width = least.astype("<u4").tobytes(), 4 * p.rows
+    return np.fromiter((xxhash.xxh64_intdigest(raw[b * width:(b + 1) * width], b) for b in range(p.bands)), np.uint64, p.bands)
+
+
+def shingle_sets(docs: DataFrame, p: Similar, also: tuple[str, ...]) -> DataFrame:
+    """(*also, node, keys) of every row of ``docs`` (text, *also): node is the digest of its set of shingles,
+    keys those of its bands; texts without words have none."""
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            nodes, keys, size = [], [], []
+            for t in batch.column("text"):
+                h = np.unique(shingles(t.as_py(), p.shingle))
+                nodes.append(xxhash.xxh64_intdigest(h.tobytes()))
+                size.append(p.bands if len(h) else 0)
+                if len(h):
+                    keys.append(band_keys(h, p))
+            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *size]), pa.int32()), pa.array(flat.view(np.int64)))
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in also), pa.array(np.array(nodes, np.uint64).view(np.int64)), lists], [*also, "node", "keys"])
+        return step
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in also]
+    return map_arrow(docs.select("text", *also), make, ", ".join([*kinds, "node long", "keys array<long>"]))
+
+
+def set_forest(sets: list[np.ndarray], p: Similar = SIMILAR) -> list[tuple[int, int]]:
+    """Links (i, j) that span the graph of all pairs of ``sets`` (distinct hashes each) similar enough. Common
+    shingles are counted by an inverted list, and the similarity is compared in whole numbers."""
+    out: list[tuple[int, int]] = []
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    if not size.sum():
+        return out
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(size)
+    owner = np.repeat(np.arange(len(sets)), size)[np.argsort(ids, kind="stable")]
+    start = np.r_[0, np.cumsum(np.bincount(ids))]
+    top, base = p.at_least
+    left = np.ones(len(sets), bool)
+    for root in range(len(sets)):
+        if not left[root]:
+            continue
+        left[root] = False
+        front = [root]
+        while front and left.any():
+            x = front.pop()
+            mine = ids[ends[x] - size[x]:ends[x]]
+            n = start[mine + 1] - start[mine]
+            at = np.repeat(start[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            common = np.bincount(owner[at], minlength=len(sets))
+            # common / (a + b - common) >= top / base
+            near = np.flatnonzero(left & (common > 0) & (common * (top + base) >= top * (size + size[x])))
+            left[near] = False
+            out += zip(repeat(x), near.tolist())
+            front += near.tolist()
+    return out
+
+
+def _verified_links(rows: DataFrame, p: Similar) -> DataFrame:
+    """Rows (root, tile, node, text) sorted by (root, tile) in each partition -> links (a, b)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, nodes, sets = None, [], []
+
+        def links() -> pa.RecordBatch:
+            found = [(nodes[i], nodes[j]) for i, j in set_forest(sets, p)]
+            x = np.array(found, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            for root, tile, node, text in zip(*(batch.column(c).to_pylist() for c in ("root", "tile", "node", "text"))):
+                if (root, tile) != group:
+                    if len(nodes) > 1:
+                        yield links()
+                    group, nodes, sets = (root, tile), [], []
+                nodes.append(node)
+                sets.append(np.unique(shingles(text, p.shingle)))
+        if len(nodes) > 1:
+            yield links()
+    return rows.select("root", "tile", "node", "text").mapInArrow(run, "a long, b long")
+
+
+def link_sets(nodes: DataFrame, texts: DataFrame, p: Similar = SIMILAR) -> DataFrame:
+    """(a, b): nodes linked directly or through others by sets as similar as ``p`` asks. ``nodes``: (node,
+    keys), one row a set; ``texts``: (node, text), one row or more a set.
+
+    Sets that share a key, or that others connect by keys, are a group; all pairs of a group are compared
+    on their whole sets. A group with more than ``tile`` sets is dealt as pairs of chunks.
+    """
+    keyed = nodes.select(F.explode("keys").alias("key"), "node")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
+    meet = keyed.join(shared, "key").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    rough = durable(components(meet, "candidates"), "groups")
+    count = rough.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(p.tile)).cast("long").alias("n"))
+    both = rough.join(count, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("n")))
+    both = both.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    tiles = both.select("root", (F.least("chunk", "other") * F.col("n") + F.greatest("chunk", "other")).alias("tile"), "node")
+    found = durable(texts.join(rough, "node", "left_semi").dropDuplicates(["node"]), "candidate-texts")
+    dealt = tiles.join(found, "node").repartition(shuffle_partitions(nodes.sparkSession), "root", "tile").sortWithinPartitions("root", "tile")
+    return _verified_links(dealt, p).distinct()
+
+
+def keep_one(docs: DataFrame, p: Similar = SIMILAR) -> DataFrame:
     """The rows of ``docs``, one of each group of near duplicates, all columns as they were.
 
-    The row with the smallest doc_id stays (null ids last, then by a hash of the whole row); of rows
-    that are the same in every column one stays.
+    Rows are near duplicates if their sets of shingles are as similar as ``p`` asks, or others in between
+    are; texts without words are alike. The row with the smallest doc_id stays (null ids last, then by a
+    hash of the whole row); of rows that are the same in every column one stays.
     """
     row, key = free_name(docs.columns, "loom_row"), free_name(docs.columns, "loom_key")
     plain = [F.col(f"`{c}`") for c, t in docs.dtypes if t != "void" and "map<" not in t and "variant" not in t]
     keyed = docs.withColumn(row, F.xxhash64(*plain)).withColumn(key, F.coalesce(F.col("doc_id"), F.lit(-1)))
-    made = durable(fingerprints(keyed, p, (row,)), "fingerprints")
-    _, nodes, linked = _groups(made, p, ["doc_id", f"`{row}`"])
+    made = durable(shingle_sets(keyed, p, ("doc_id", row)), "shingle-sets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", f"`{row}`")).alias("first")
+    nodes = durable(made.groupBy("node").agg(F.first("keys").alias("keys"), first), "nodes")
+    pick = nodes.where(F.size("keys") > 0).select("node", F.coalesce(F.col("first.doc_id"), F.lit(-1)).alias(key), F.col(f"first.{row}").alias(row))
+    texts = keyed.select(key, row, "text").join(pick, [key, row]).select("node", "text")
+    linked = components(link_sets(nodes, texts, p), "links")
     group = nodes.join(linked, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("least"))
     stay = group.select(F.coalesce(F.col("least.doc_id"), F.lit(-1)).alias(key), F.col(f"least.{row}").alias(row)).distinct()
     return keyed.join(stay, [key, row], "left_semi").dropDuplicates([key, row]).select(*(F.col(f"`{c}`") for c in docs.columns))

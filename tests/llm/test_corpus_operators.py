@@ -139,6 +139,36 @@ def test_keep_one_keeps_columns_and_one_of_each(spark, odd, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_keep_one_equals_brute_force_on_shingle_sets(spark, sf):
+    rows = [(r.doc_id, r.text) for r in docs(spark, sf).select("doc_id", "text").collect()]
+    base = [f"w{i}" for i in range(400)]
+    for k in range(60):  # from under to over 0.8 as words at even distances are replaced, each in its own copy
+        text = [f"{w}k{k // 2}" for w in base]
+        for j in range(0, 4 + k // 5):
+            text[j * 390 // (4 + k // 5)] += f"x{k % 2}"
+        rows.append((1_000_000 + k, " ".join(text)))
+    grams = [frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) for w in ((t or "").lower().split() for _, t in rows)]
+    having, root = {}, {i: i for i in range(len(rows))}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(grams):
+        common = Counter(j for g in a for j in having.get(g, ()))
+        for j, n in common.items():
+            if 5 * n >= 4 * (len(a) + len(grams[j]) - n) and find(i) != find(j):
+                x, y = sorted((find(i), find(j)), key=lambda k: rows[k][0])
+                root[y] = x
+        for g in a:
+            having.setdefault(g, []).append(i)
+    want = sorted(rows[i][0] for i in root if find(i) == i)
+    both = spark.createDataFrame(rows, "doc_id long, text string")
+    for tile in (512, 3):  # with and without tiles of large groups
+        assert sorted(r.doc_id for r in simhash.keep_one(both, simhash.Similar(tile=tile)).collect()) == want
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 2000 + i) for i in range(200)] + [(7, 7)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long"), "t").collect()))
