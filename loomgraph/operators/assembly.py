@@ -1,4 +1,4 @@
-"""Context under a token budget: order-dependent folds over bounded candidate lists, one group a request."""
+"""Context under a token budget: order-dependent folds over candidate lists, one group a request."""
 
 from __future__ import annotations
 
@@ -63,25 +63,38 @@ def _jaccard(a: set, b: set) -> float:
 def assemble(items: DataFrame, budget: int, *, skip: bool = False, similar: float | None = None) -> DataFrame:
     """(request, anchor, position, tokens, running) of what fits each request's budget.
 
-    ``items``: request, anchor, position, tokens, text; bounded for each request (see the traversals' caps).
+    ``items``: request, anchor, position, tokens, text; any number for each request, read in order and never held.
     Taken in order; what does not fit ends the list, or with ``skip`` is passed over. ``similar``: an item
     whose words have at least this Jaccard likeness to one already taken is passed over.
     """
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        rows, used, kept = [], 0, []
-        for r in f.sort_values(["position", "anchor"]).itertuples():
-            words = {w for w in (r.text or "").lower().split() if len(w) > 1}
-            if similar is not None and any(_jaccard(words, k) >= similar for k in kept):
-                continue
-            if used + r.tokens > budget:
-                if skip:
+    names = ["request", "anchor", "position", "tokens", "running"]
+
+    def fold(batches):
+        request, used, kept, done = None, 0, None, False
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                if kept is None or r.request != request:
+                    request, used, kept, done = r.request, 0, [], False
+                if done:
                     continue
-                break
-            used += r.tokens
-            kept.append(words)
-            rows.append((r.request, r.anchor, r.position, r.tokens, used))
-        return pd.DataFrame(rows, columns=["request", "anchor", "position", "tokens", "running"])
-    return items.select("request", "anchor", "position", "tokens", "text").groupBy("request").applyInPandas(fold, "request string, anchor string, position int, tokens int, running int")
+                words = {w for w in (r.text or "").lower().split() if len(w) > 1}
+                if used + r.tokens > budget and skip:
+                    continue
+                if similar is not None and any(_jaccard(words, k) >= similar for k in kept):
+                    continue
+                if used + r.tokens > budget:
+                    done = True
+                    continue
+                used += r.tokens
+                kept.append(words)
+                rows.append((r.request, r.anchor, r.position, r.tokens, used))
+            yield pd.DataFrame(rows, columns=names)
+    items = items.select("request", "anchor", "position", "tokens", "text")
+    if skip:  # what is larger than the whole budget is never taken
+        items = items.where(F.col("tokens") <= budget)
+    dealt = items.repartition("request").sortWithinPartitions("request", "position", "anchor")
+    return dealt.mapInPandas(fold, "request string, anchor string, position int, tokens int, running int")
 
 
 def passages(paragraphs: DataFrame, terms: list[str], k: int = 4) -> DataFrame:
