@@ -3,8 +3,8 @@
 Several sequence lengths are permitted. A document of n tokens (words and one end) longer than the
 longest is cut into full sequences and a rest; no token is lost. Pieces are placed in descending
 length: a piece goes to the open bin with the least room left that holds it (best fit); if there is
-none, a bin is opened whose capacity has the least cost, the cost being the share of the bin that the
-pieces still to come are expected to leave empty, over all permitted capacities jointly. At the end
+none, a bin is opened whose capacity has the least cost a token. As long as as many tokens remain as the
+longest holds, that is the longest: smaller ones only come up in a group's last bins. At the end
 each bin is downsized to the smallest permitted length that holds its contents.
 
 Packing runs in groups of bounded size. A group is a run of documents by the hash of their id within a
