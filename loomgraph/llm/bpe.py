@@ -8,8 +8,9 @@ and an arc ``w`` is added that leads where ``u`` then ``v`` led. A gadget theref
 copy of an older one less one arc. Copies are kept as (parent, arc cut, time), not as dense rows, so
 50,000 merges compile in well under a second and take a few megabytes.
 
-Only one tokenization of each prefix is accepted, so encoding a pre-split word is one pass over its
-bytes: at every position one state is alive, and the arcs leaving it are read from the table.
+Only one tokenization of a pre-split word is accepted. It is not found by transitions of those states, but
+by a search: the longest label first, if its token may follow the last one (derived when first asked,
+then kept), and back from positions that are dead.
 Decoding concatenates the labels of the arcs.
 """
 
