@@ -459,7 +459,7 @@ def _links(spark, d):
 @query()
 def communities_louvain(spark, d):
     """Labels depend on the order of moves, which SQL has not; tested by modularity and on known graphs."""
-    return analytics.louvain(_links(spark, d).where(~c("a").startswith("turn/")))
+    return analytics.louvain(_links(spark, d))
 
 
 @query(f"""WITH {E}, x AS (SELECT src, dst, regexp_extract(src, '^[a-z]+') AS a, regexp_extract(dst, '^[a-z]+') AS b FROM edges WHERE edge_type NOT IN {STRUCTURE}) SELECT a, b, count(*) AS weight FROM x WHERE a <> b GROUP BY 1, 2""")
