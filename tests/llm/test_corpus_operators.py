@@ -1,5 +1,6 @@
 """The corpus operators against brute force, exact round trips, held-out accuracy, and awkward inputs."""
 
+import dataclasses
 import hashlib
 import io
 import zlib
@@ -441,18 +442,105 @@ def test_range_cuts_balance_clustered_keys(spark):
 # Media
 
 
-def test_media_finds_crops_and_edits(spark):
+def voted_components(images, p):
+    """Components by the votes of all pairs of images."""
+    found = {}
+    for i, image in images.items():
+        who, at, words = media.describe([image], p)
+        found[i] = media.entries(who, at, words)
+    root = {i: i for i in images}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x in sorted(found):
+        where = {t: k for k, t in enumerate(media.token(found[x]).tolist())}
+        for y in (y for y in found if y > x):
+            both = [(where[t], k) for k, t in enumerate(media.token(found[y]).tolist()) if t in where]
+            if len(both) < p.votes:
+                continue
+            a, b = found[x][[i for i, _ in both]], found[y][[j for _, j in both]]
+            ok = media.near(a, b, p)
+            most = 0
+            for oy in (0, p.bin // 2):
+                for ox in (0, p.bin // 2):
+                    votes = Counter()
+                    for s in media.shifts(a[ok], b[ok], p).tolist():
+                        dy, dx = (s >> 26) % (2 * media.MID) - media.MID, s % (2 * media.MID) - media.MID
+                        votes[s >> 52, (dy + oy) // p.bin, (dx + ox) // p.bin] += 1
+                    most = max([most, *votes.values()])
+            if most >= p.votes:
+                u, v = sorted((find(x), find(y)))
+                root[v] = u
+    return {i: find(i) for i in images}
+
+
+def as_media(spark, rows):
+    return spark.createDataFrame([(i, None if m is None else bytearray(m)) for i, m in rows], "id long, media binary")
+
+
+def glyphs(rng, rows, columns, size):
+    return rng.integers(0, 256, (rows, columns)).astype(np.uint8).repeat(size, 0).repeat(size, 1)
+
+
+@pytest.mark.parametrize("direct, votes", [(16, 9), (2, 24), (3, 40), (1, 60)])
+def test_media_links_equal_those_of_all_pairs(spark, direct, votes):
+    """Blocks shared by many images, some by nearly all: entries with few and with many images."""
+    rng = np.random.default_rng(4)
+    p = dataclasses.replace(media.PAGES, direct=direct, votes=votes)
+    tiles = [glyphs(rng, 12, 12, 4) for _ in range(30)]
+    images = {i: np.concatenate([tiles[k] for k in rng.choice(12, 6, replace=False)]) for i in range(24)}
+    images |= {i: np.concatenate([tiles[20], glyphs(rng, 60, 12, 4)]) for i in range(40, 52)}
+    images |= {60: images[0], 61: images[3][50:200]}
+    frame = as_media(spark, [(i, media.encode_pgm(m)) for i, m in images.items()]).repartition(5)
+    assert {r.id: r.component_id for r in media.copies(frame, p).collect()} == voted_components(images, p)
+
+
+def test_media_links_across_keys_that_others_crowd(spark):
+    """Two images share eight blocks, each of which ten others have too, other ones for each block."""
+    rng = np.random.default_rng(6)
+    shared = [glyphs(rng, 6, 12, 4) for _ in range(8)]
+    pair = [np.concatenate([x for s in shared for x in (s, glyphs(rng, 6, 12, 4))]) for _ in range(2)]
+    images = {0: pair[0], 1000: pair[1]}
+    for k, s in enumerate(shared):
+        images |= {1 + 10 * k + j: np.concatenate([glyphs(rng, 12, 12, 4), s, glyphs(rng, 12, 12, 4)]) for j in range(10)}
+    p = dataclasses.replace(media.PAGES, direct=3, votes=30)
+    want = voted_components(images, p)
+    assert want[1000] == 0
+    got = media.copies(as_media(spark, [(i, media.encode_pgm(m)) for i, m in images.items()]), p)
+    assert {r.id: r.component_id for r in got.collect()} == want
+
+
+def test_media_finds_crops_edits_and_noise(spark):
     rng = np.random.default_rng(2)
-    ims = [rng.integers(0, 256, (24, 16)).astype(np.uint8).repeat(10, 0).repeat(10, 1) for _ in range(6)]
+    ims = [glyphs(rng, 24, 16, 10) for _ in range(6)]
     rows = [(i, media.encode_pgm(x)) for i, x in enumerate(ims)]
     rows += [(100 + i, media.encode_pgm(x[20:200, 10:150])) for i, x in enumerate(ims[:3])]
     rows += [(200 + i, media.encode_pgm(np.clip(x * 0.8 + 20, 0, 255))) for i, x in enumerate(ims[:3])]
-    rows += [(300, None), (301, b""), (302, b"P5 9 9 255\nshort"), (0, rows[0][1])]
-    got = media.copies(spark.createDataFrame([(i, bytearray(m) if m is not None else None) for i, m in rows], "id long, media binary")).collect()
+    rows += [(250 + i, media.encode_pgm(np.clip(x + rng.normal(0, 3, x.shape), 0, 255))) for i, x in enumerate(ims[:3])]
+    rows += [(300, None), (301, b""), (302, b"P5 9 9 255\nshort"), (303, b""), (0, rows[0][1]), (None, rows[0][1]), (None, None), (310, media.encode_pgm(ims[0][:3, :3])), (311, media.encode_pgm(ims[0][:3, :3]))]
+    got = media.copies(as_media(spark, rows).withColumn("Copies", F.lit(1)).withColumn("digest", F.lit("x"))).collect()
     assert len(got) == len(rows)
-    by = {r.id: r.component_id for r in got}
-    assert [by[100 + i] for i in range(3)] == [0, 1, 2] == [by[200 + i] for i in range(3)]
-    assert [by[i] for i in range(6)] == list(range(6)) and by[300] == 300 and by[302] == 302
+    by = {r.id: r for r in got}
+    for k in (100, 200, 250):
+        assert [by[k + i].component_id for i in range(3)] == [0, 1, 2]
+    assert [by[i].component_id for i in range(6)] == list(range(6)) and by[300].component_id == 300 and by[302].component_id == 302
+    assert by[303].component_id == 301 and by[311].component_id == 310 and by[0].copies == 2 and by[None].component_id is None
+    assert media.copies(as_media(spark, [])).count() == 0
+
+
+def test_media_of_pages(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html").limit(40).collect()
+    rows = [(r.page_id, r.html) for r in pages] + [(10_000 + r.page_id, r.html.replace("<p>", "<p>word ", 1)) for r in pages[:10]] + [(20_000, None), (20_001, ""), (20_002, "<p>"), (20_003, "<p>" + "long " * 40_000)]
+    frame = spark.createDataFrame(rows, "id long, media string")
+    by = {r.id: r.component_id for r in media.copies(frame, media.PAGES, html=True).collect()}
+    images = {i: media.render(h) for i, h in rows if h}
+    images = {i: m for i, m in images.items() if m.size}
+    want = voted_components(images, media.PAGES)
+    assert {i: by[i] for i in want} == want
+    assert sum(by[10_000 + r.page_id] == by[r.page_id] for r in pages[:10]) >= 8
 
 
 # Pipeline
