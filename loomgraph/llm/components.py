@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm._common import durable
+from loomgraph.llm._common import durable, remove
 
 MAX_ROUNDS = 60
 
@@ -37,7 +37,8 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
     seen = None
     for _ in range(MAX_ROUNDS):
-        now = durable(_small_star(_large_star(now)), label)
+        before, now = now, durable(_small_star(_large_star(now)), label)
+        remove(before)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break
