@@ -1,11 +1,15 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
 Several sequence lengths are permitted. A document of n tokens (words and one end) longer than the
-longest is cut into full sequences and a rest; no token is lost. Pieces are placed in descending
-length: a piece goes to the open bin with the least room left that holds it (best fit); if there is
-none, a bin is opened whose capacity has the least cost a token. As long as as many tokens remain as the
-longest holds, that is the longest: smaller ones only come up in a group's last bins. At the end
-each bin is downsized to the smallest permitted length that holds its contents.
+longest is cut into full sequences and a rest; no token is lost. A sequence of length c costs
+c + overhead + c * c / attention: its tokens, what every sequence costs, and attention, which grows with
+the square. Pieces are placed in descending length: a piece goes to the open bin with the least room left
+that holds it (best fit); if there is none, a bin is opened of the size with the least cost for each
+token that can still come into it, given the lengths that are left. At the end each bin is downsized
+to the smallest permitted length that holds its contents.
+
+The sizes are chosen jointly: each subset of the permitted lengths that has the longest one is tried on
+the whole group, and the one with the least total cost is kept.
 
 Packing runs in groups of bounded size. A group is a run of documents by the hash of their id within a
 hash range; how many ranges there are follows from a count. Lengths are a few bytes a document, so the
@@ -14,9 +18,10 @@ text is read once and never shuffled.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate, combinations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,11 +33,16 @@ from loomgraph.llm._common import durable, shuffle_partitions, table
 @dataclass(frozen=True)
 class Packing:
     """``capacities``: permitted lengths, ascending; ``group_rows``: about how many documents are packed
-    together; ``overhead``: tokens that a sequence costs besides its length."""
+    together; ``overhead``: tokens that a sequence costs besides its length; ``attention``: the length at
+    which attention costs as much as everything else of a token."""
 
     capacities: tuple[int, ...] = (512, 1024, 2048, 4096)
     group_rows: int = 20_000
     overhead: int = 16
+    attention: int = 8192
+
+    def cost(self, capacity: int) -> float:
+        return capacity + self.overhead + capacity * capacity / self.attention
 
 
 DEFAULT = Packing()
@@ -49,45 +59,56 @@ def pieces(n: int, longest: int) -> list[tuple[int, int]]:
     return [(a, min(longest, n - a)) for a in range(0, n, longest)]
 
 
-def open_size(length: int, left: int, p: Packing) -> int:
-    """The capacity to open for a piece when pieces of ``left`` tokens in all (its own included) remain.
-
-    A bin of capacity c will hold min(c, left) tokens at best; its cost for each is (c + overhead) over
-    that. Large bins spread the overhead, small ones don't stay empty at the end. Ties: the smallest.
-    """
-    return min((c for c in p.capacities if c >= length), key=lambda c: ((c + p.overhead) / min(c, left), c))
-
+def open_size(length: int, fits: Callable[[int], int], sizes: tuple[int, ...], p: Packing) -> int:
+    """The size to open for a piece: the least cost for each token that can come to stand in it. ``fits``: tokens
+    of the pieces still to be placed that are no longer than a given room. Ties: the smallest."""
+    return min((c for c in sizes if c >= length), key=lambda c: (p.cost(c) / min(c, length + fits(c - length)), c))
 
-def pack(items: list[tuple], p: Packing = DEFAULT) -> list[tuple]:
-    """Items (length, *name), each at most the longest capacity -> (*name, bin, offset, length), bins
-    numbered by opening; and each bin's final capacity: a list of both, see the return value.
 
-    The order of placing is length descending, then name; equal room goes to the earlier bin.
-    """
-    order = sorted(items, key=lambda x: (-x[0], x[1:]))
-    left = sum(x[0] for x in order)
+def fit(order: list[tuple], sizes: tuple[int, ...], p: Packing) -> tuple[float, list[tuple], list[int]]:
+    """Best fit of items (length, *name) in the order given, longest first: the cost after downsizing, the places
+    (*name, bin, offset, length), and each bin's capacity."""
+    up = [x[0] for x in reversed(order)]
+    total = [0, *accumulate(up)]
     room: list[tuple[int, int]] = []  # (room left, bin), ascending
     used: list[int] = []
     placed = []
-    for length, *name in order:
+    for k, (length, *name) in enumerate(order):
         at = bisect_left(room, (length, -1))
         if at < len(room):
             free, b = room.pop(at)
         else:
-            b = len(used)
-            free = open_size(length, left, p)
+            b, after = len(used), len(order) - 1 - k  # pieces after this one, none of them longer
+            free = open_size(length, lambda r, n=after: total[min(bisect_right(up, r), n)], sizes, p)
             used.append(0)
         placed.append((*name, b, used[b], length))
         used[b] += length
-        left -= length
         if free > length:
             insort(room, (free - length, b))
-    sizes = [min(c for c in p.capacities if c >= u) for u in used]
-    return [(*x, sizes[x[-3]]) for x in placed]
+    final = [min(c for c in p.capacities if c >= u) for u in used]
+    return sum(map(p.cost, final)), placed, final
+
+
+def pack(items: list[tuple], p: Packing = DEFAULT) -> list[tuple]:
+    """Items (length, *name), each at most the longest capacity -> (*name, bin, offset, length, capacity), bins
+    numbered by opening: the cheapest of the fits with each subset of the capacities (ties: the fewest sizes).
+
+    The order of placing is length descending, then name; equal room goes to the earlier bin.
+    """
+    order = sorted(items, key=lambda x: (-x[0], x[1:]))
+    *less, longest = p.capacities
+    best = None
+    for n in range(len(less) + 1):
+        for sizes in combinations(less, n):
+            made = fit(order, (*sizes, longest), p)
+            if best is None or made[0] < best[0]:
+                best = made
+    _, placed, final = best
+    return [(*x, final[x[-3]]) for x in placed]
 
 
 def pack_documents(docs: DataFrame, p: Packing = DEFAULT) -> DataFrame:
-    """(doc_id, piece, first_token, n_tokens, group_id, bin, offset, capacity, fill) of every piece of every row.
+    """(doc_id, copy, piece, first_token, n_tokens, group_id, bin, offset, capacity) of every piece of every row.
 
     Null and empty texts are documents of one token. Rows that repeat doc_id are packed each on its own
     (``copy`` numbers them in no particular order of content, all being of one id); null ids keep null.
