@@ -28,9 +28,8 @@ from pyspark.sql import functions as F
 from loomgraph.llm._common import table
 from loomgraph.llm._ranges import LOWEST, range_cuts, shard_of
 
-#: A run of words ends where a word ends in one of these signs; of texts with under FEW runs each word is one.
-CUT = re.compile(r"\n+|(?<=[st.!?|。]) +")
-FEW = 6
+#: A run of words ends at a line feed and where a word ends in one of these signs, about every second word.
+CUT = re.compile(r"\n+|(?<=[acegikmoqsuwy.!?|。]) +")
 #: Runs without such an end are cut from half of this length on, where the text itself says.
 LONG = 128
 #: About how many shards there are at most; beyond that they grow.
@@ -60,10 +59,7 @@ def paragraphs(text: str | None) -> list[str]:
     """The pieces of a text whose digests are sketched. Long ones are cut after a character whose code is
     divisible by 16, so that an edit moves few cuts."""
     out = []
-    runs = CUT.split(text or "")
-    if len(runs) < FEW:
-        runs = (text or "").split()
-    for x in runs:
+    for x in CUT.split(text or ""):
         if len(x) <= LONG:
             if x:
                 out.append(x)
@@ -200,7 +196,7 @@ def likeness(a: tuple, b: tuple, texts: int, p: Sketch = DEFAULT) -> np.ndarray:
 def sketches(a: tuple, texts: int, p: Sketch = DEFAULT) -> list[bytes]:
     """The smallest table of each text, as bytes: counts, digests, checks of its cells, little-endian."""
     c, x, k = (v.reshape(texts, p.cells) for v in build(*a, texts, p.cells))
-    raw = np.concatenate([c.astype("<i8").view(np.uint8), x.astype("<u8").view(np.uint8), k.astype("<u8").view(np.uint8)], axis=1)
+    raw = np.concatenate([c.astype("<i4").view(np.uint8), x.astype("<u8").view(np.uint8), k.astype("<u8").view(np.uint8)], axis=1)
     return [r.tobytes() for r in raw]
 
 
@@ -237,9 +233,12 @@ def fingerprint_documents(docs: DataFrame, p: Sketch = DEFAULT) -> DataFrame:
     The next document is the next row by (doc_id, text), null ids first; after the last comes the first,
     which for a single row is itself. Null texts count as empty; two texts without paragraphs are alike
     (1.0), one without and one with are not (0.0). Repeated rows are each other's next. Extra columns
-    are not read.
+    are not read. doc_id is a whole number (smaller kinds become long); other kinds are refused.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    if docs.schema["doc_id"].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError("doc_id must be a whole number")
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    kind = "bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # (doc_id, text) of one shard, not yet given out; the last waits for its next
@@ -276,6 +275,12 @@ def fingerprint_documents(docs: DataFrame, p: Sketch = DEFAULT) -> DataFrame:
     return with_next(docs, p.shard_rows).mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, sketch binary, edited_sketch binary, near_edited double, near_next double")
 
 
+def read_sketch(raw: bytes, p: Sketch = DEFAULT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The table that ``sketches`` has made bytes of; two of them can be subtracted and peeled."""
+    n = p.cells
+    return np.frombuffer(raw, "<i4", n).astype(np.int64), np.frombuffer(raw, "<u8", n, 4 * n), np.frombuffer(raw, "<u8", n, 12 * n)
+
+
 def op2_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fingerprint_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return made.select("doc_id", "n_chars", "edited_sha256", F.sha2("sketch", 256).alias("fingerprint"), F.sha2("edited_sketch", 256).alias("edited_fingerprint"), "near_edited", "near_next")
+    return made.select("doc_id", "n_chars", "edited_sha256", F.base64("sketch").alias("fingerprint"), F.base64("edited_sketch").alias("edited_fingerprint"), "near_edited", "near_next")

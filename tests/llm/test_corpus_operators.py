@@ -185,7 +185,7 @@ def test_iblt_likeness_is_that_of_the_sets(spark, sf):
     edited = [iblt.edit(t, f) for t, f in zip(texts, texts[1:] + texts[:1])]
 
     def brute(a, b):
-        x, y = Counter(iblt.paragraphs(a)), Counter(iblt.paragraphs(b))
+        x, y = Counter(pieces_of(a)), Counter(pieces_of(b))
         most = max(sum(x.values()), sum(y.values()))
         return sum((x & y).values()) / most if most else 1.0
     got = iblt.fingerprint_documents(docs(spark, sf), iblt.Sketch(shard_rows=17, batch_bytes=5000)).orderBy("doc_id").collect()
@@ -195,6 +195,52 @@ def test_iblt_likeness_is_that_of_the_sets(spark, sf):
     assert len({r.sketch for r in got}) == len(set(texts))
 
 
+def pieces_of(text):
+    """Paragraphs read off character by character: a run ends at line feeds, and at spaces after a word that ends in
+    a closing sign; what is longer than 128 is cut after a character divisible by 16 from 64 on, or at 512."""
+    out, x, i = [], "", 0
+    while i < len(text):
+        if text[i] == "\n" or text[i] == " " and i and text[i - 1] in "acegikmoqsuwy.!?|\u3002":
+            sign = text[i]
+            while i < len(text) and text[i] == sign:
+                i += 1
+            out.append(x)
+            x = ""
+        else:
+            x += text[i]
+            i += 1
+    cut = []
+    for x in [*out, x]:
+        while len(x) > 128:
+            k = next((k for k in range(64, min(len(x), 513)) if not ord(x[k]) % 16), 512)
+            if k >= len(x):
+                break
+            cut.append(x[:k + 1])
+            x = x[k + 1:]
+            if len(x) <= 128:
+                k = next((k for k in range(64, len(x)) if not ord(x[k]) % 16), None)
+                if k is not None:
+                    cut.append(x[:k + 1])
+                    x = x[k + 1:]
+                break
+        if x:
+            cut.append(x)
+    return cut
+
+
+def test_iblt_likeness_moves_little_with_a_small_edit():
+    words = [f"w{i}{'aestn'[i % 5]}" for i in range(40)]
+    for n in range(2, 40):
+        a, b = " ".join(words[:n]), " ".join([*words[:n - 1], "Changed"])
+        x, y = iblt.digests([a]), iblt.digests([b])
+        got = iblt.likeness(x, y, 1)[0]
+        assert got >= 1 - 2.0 / len(iblt.paragraphs(a)) - 1e-9
+    raw = iblt.sketches(x, 1)[0], iblt.sketches(y, 1)[0]
+    left = iblt.subtract(*map(iblt.read_sketch, raw))
+    _, key, side, whole = iblt.peel(left, 1, iblt.DEFAULT.cells)
+    assert whole.all() and set(key[side == 1]) == set(x[1]) - set(y[1])
+
+
 def test_iblt_peels_out_the_differences():
     a, b = iblt.digests(["p one.\np two.\np three.\nx y z s.\nq s.\nr s."]), iblt.digests(["p one.\np 2.\np three.\nx y z s.\nq s.\nr s."])
     s = iblt.subtract(iblt.build(*a, 1, 24), iblt.build(*b, 1, 24))
@@ -346,22 +392,57 @@ def test_packing_keeps_every_token_and_every_bin_within_its_size(spark, sf, odd,
     assert packing.pack_documents(none, p).count() == 0
 
 
-def test_best_fit_equals_a_plain_search():
-    p = packing.Packing(capacities=(8, 20), overhead=2)
+def cheapest(items, p):
+    """The least cost of any division of ``items`` into bins, by trying all."""
+    best = [float("inf")]
+
+    def go(k, bins, cost):
+        if cost >= best[0]:
+            return
+        if k == len(items):
+            best[0] = cost
+            return
+        for i, b in enumerate(bins):
+            if b + items[k] <= p.capacities[-1]:
+                more = size(b + items[k]) - size(b)
+                go(k + 1, [*bins[:i], b + items[k], *bins[i + 1:]], cost + more)
+        go(k + 1, [*bins, items[k]], cost + size(items[k]))
+
+    def size(n):
+        return p.cost(min(c for c in p.capacities if c >= n))
+    go(0, [], 0.0)
+    return best[0]
+
+
+def packed_cost(placed, p):
+    return sum(p.cost(c) for c in {r[-4]: r[-1] for r in placed}.values())
+
+
+def test_packing_is_near_the_cheapest_division():
+    p = packing.Packing(capacities=(8, 12, 20), overhead=2, attention=40)
     rng = np.random.default_rng(3)
-    items = [(int(n), i) for i, n in enumerate(rng.integers(1, 21, 200))]
-    bins, left, want = [], sum(n for n, _ in items), {}
-    for n, name in sorted(items, key=lambda x: (-x[0], x[1])):
-        fit = [(size - used, k) for k, (used, size) in enumerate(bins) if size - used >= n]
-        if fit:
-            k = min(fit)[1]
-        else:
-            k = len(bins)
-            bins.append((0, packing.open_size(n, left, p)))
-        want[name] = (k, bins[k][0])
-        bins[k] = (bins[k][0] + n, bins[k][1])
-        left -= n
-    assert {r[0]: r[1:3] for r in packing.pack(items, p)} == want
+    ratios = []
+    for _ in range(60):
+        items = rng.integers(1, 21, rng.integers(2, 8)).tolist()
+        got = packed_cost(packing.pack([(n, i) for i, n in enumerate(items)], p), p)
+        least = cheapest(sorted(items, reverse=True), p)
+        assert got >= least - 1e-9
+        ratios.append(got / least)
+    assert max(ratios) < 1.3 and np.mean(ratios) < 1.03
+
+
+def test_packing_chooses_sizes_jointly():
+    """No single size is as cheap, and smaller sizes are opened in the middle of a group, not only at its end."""
+    rng = np.random.default_rng(5)
+    items = [(int(n), i) for i, n in enumerate(np.clip(rng.lognormal(5.5, 1.0, 3000), 1, 4096))]
+    p = packing.DEFAULT
+    placed = packing.pack(items, p)
+    order = sorted(items, key=lambda x: (-x[0], x[1:]))
+    for c in p.capacities:
+        if c == p.capacities[-1]:
+            assert packed_cost(placed, p) < packing.fit(order, (c,), p)[0]
+    sizes = {r[-4]: r[-1] for r in placed}
+    assert len(set(sizes.values())) > 2 and Counter(sizes.values())[4096] < len(sizes) / 2
 
 
 # URL rules
