@@ -41,7 +41,9 @@ class Compression:
     """``train_rows`` bounds the labelled texts learned from; ``window``: words; ``base`` and ``own``: bytes of
     the shared and the separate part of a dictionary; ``gram``: length of the byte sequences compared;
     ``ratio`` and ``texts``: how much more frequent in toxic texts, and in how many of them, a telling
-    sequence is; ``cut``: predicted is 1 from this score on."""
+    sequence is; ``cut``: predicted is 1 from this score on; ``pieces``: 4-word windows of the sampled ordinary
+    texts, in random order, that each of the two ordinary parts is trained on; ``times``: how often a text counts
+    at most for a sequence."""
 
     train_rows: int = 8000
     window: int = 16
@@ -51,6 +53,8 @@ class Compression:
     ratio: float = 8.0
     texts: float = 0.03
     cut: float = 0.7
+    pieces: int = 60_000
+    times: int = 4
 
 
 DEFAULT = Compression()
@@ -93,7 +97,7 @@ def _spans(word: bytes, good: set[bytes], n: int) -> list[bytes]:
 
 def telling_parts(toxic: list[str], ordinary: list[str], p: Compression = DEFAULT) -> Counter:
     """The parts of words of toxic texts that are far more frequent there, with their counts. A text
-    counts at most four times for a sequence, so one long text decides nothing."""
+    counts at most ``times`` for a sequence, so one long text decides nothing."""
     seen: list[Counter] = [Counter(), Counter()]
     texts: Counter = Counter()
     parts: dict[bytes, set[bytes]] = {}
@@ -107,7 +111,7 @@ def telling_parts(toxic: list[str], ordinary: list[str], p: Compression = DEFAUL
                 for x in g:
                     own[x] += n
             for x, n in own.items():
-                seen[side][x] += min(n, 4)
+                seen[side][x] += min(n, p.times)
             if side == 0:
                 texts.update(own.keys())
     least, scale = max(3, p.texts * len(toxic)), (len(ordinary) + 1) / max(1, len(toxic))
@@ -184,8 +188,8 @@ def train(texts: list[str | None], labels: list[int], p: Compression = DEFAULT)
     own = b"".join(w for w, _ in sorted(telling.items(), key=lambda x: (x[1], x[0])))[-p.own:]
     pieces = [w for t in ordinary for w in windows(t, 4)]
     order = np.random.default_rng(0).permutation(len(pieces))
-    shared = _trained([pieces[i] for i in order[: 60_000]], p.base)
-    more = _trained([pieces[i] for i in order[60_000: 120_000]], max(len(own), 256))[: len(own)]
+    shared = _trained([pieces[i] for i in order[: p.pieces]], p.base)
+    more = _trained([pieces[i] for i in order[p.pieces: 2 * p.pieces]], max(len(own), 256))[: len(own)]
     model = (shared + more + LEAD, shared + own + LEAD)
     o, t = map(compressor, model)
     x = np.array([measures(text, o, t, p.window) for text, _ in held] or np.zeros((0, 6)), float).reshape(len(held), 6)
@@ -256,7 +260,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, p: Compression = DEFAULT) ->
     """The rows of ``docs`` that are not predicted to be toxic, all columns as they were."""
     model = fit(docs, labels, "toxic", ~held_out(F.col("doc_id")), p)
     name = free_name(docs.columns, "loom_score")
-    return score(docs, model, p, into=name).where(F.col(name) < p.cut).select(*(F.col(f"`{c}`") for c in docs.columns))
+    with_text = docs if "text" in docs.columns else docs.withColumn("text", F.lit(None).cast("string"))
+    return score(with_text, model, p, into=name).where(F.col(name) < p.cut).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
