@@ -130,20 +130,56 @@ def label_propagation(pairs: DataFrame, rounds: int = 10) -> DataFrame:
     return labels
 
 
-def cycles(edges: DataFrame, kind: str = "Requires", rounds: int = 1000) -> DataFrame:
-    """(anchor): nodes on or between cycles of one edge type: nodes without in- or out-edges are cut off until
-    none is left, so an acyclic graph of any size gives no rows."""
-    left = written(edges.where(F.col("edge_type") == kind).select("src", "dst").distinct(), "cycle")
+def _trimmed(left: DataFrame) -> tuple[DataFrame, int]:
+    """Edges (src, dst) less all that begin or end where nothing comes in or goes out, until none is left to cut."""
     size = left.count()
-    for _ in range(rounds):
-        if not size:
-            break
-        left = written(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "cycle")
+    while size:
+        comes, goes = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
+        left = written(left.join(comes, "src", "left_semi").join(goes, "dst", "left_semi").select("src", "dst"), "cycle")
         now = left.count()
         if now == size:
             break
         size = now
-    return left.select(F.col("src").alias("anchor")).unionByName(left.select(F.col("dst").alias("anchor"))).distinct()
+    return left, size
+
+
+def cycles(edges: DataFrame, kind: str = "Requires") -> DataFrame:
+    """(anchor): nodes on a cycle of one edge type. There is no bound: every loop ends when nothing changes.
+
+    Edges are cut off at dead ends; what is left has cycles and paths between them. Every node takes the
+    greatest name that reaches it; the nodes that reach their own namesake back, through nodes of that
+    name, are its strongly connected component, hence on cycles. They go, and the rest is looked at again.
+    """
+    left = written(edges.where(F.col("edge_type") == kind).select("src", "dst").distinct(), "cycle")
+    found = written(left.where("src = dst").select(F.col("src").alias("anchor")), "cycle-found")
+    left, size = _trimmed(left)
+    while size:
+        names = written(left.select(F.explode(F.array("src", "dst")).alias("v")).distinct().withColumn("name", F.col("v")), "cycle-names")
+        seen = None
+        while True:
+            come = left.join(names.withColumnRenamed("v", "src"), "src").select(F.col("dst").alias("v"), "name")
+            names = written(names.unionByName(come).groupBy("v").agg(F.max("name").alias("name")), "cycle-names")
+            state = names.agg(F.sum(F.xxhash64("v", "name").cast("decimal(38,0)"))).first()[0]
+            if state == seen:
+                break
+            seen = state
+        alike = left.join(names.select(F.col("v").alias("src"), F.col("name").alias("a")), "src").join(names.select(F.col("v").alias("dst"), F.col("name").alias("b")), "dst").where("a = b").select("src", "dst")
+        alike = written(alike, "cycle-alike")
+        back = written(names.where("v = name").select("v"), "cycle-back")
+        n = back.count()
+        while True:
+            more = alike.join(back.select(F.col("v").alias("dst")), "dst", "left_semi").select(F.col("src").alias("v"))
+            back = written(back.unionByName(more).distinct(), "cycle-back")
+            now = back.count()
+            if now == n:
+                break
+            n = now
+        # A component of one node is no cycle, unless it has a loop, which was found above.
+        inner = alike.join(back.select(F.col("v").alias("src")), "src", "left_semi").join(back.select(F.col("v").alias("dst")), "dst", "left_semi").where("src <> dst")
+        found = written(found.unionByName(inner.select(F.explode(F.array("src", "dst")).alias("anchor"))).distinct(), "cycle-found")
+        rest = left.join(back.select(F.col("v").alias("src")), "src", "left_anti").join(back.select(F.col("v").alias("dst")), "dst", "left_anti")
+        left, size = _trimmed(written(rest, "cycle"))
+    return found
 
 
 def cycle_paths(edges: DataFrame, kind: str = "Requires", depth: int = 8) -> DataFrame:

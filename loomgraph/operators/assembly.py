@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 EDGE_PRIORITY = {"Calls": 0, "Invokes": 1, "Implements": 2, "IsA": 3, "PartOf": 4, "Uses": 5, "Requires": 6, "Mutates": 7, "Constrains": 8, "Tests": 9, "Verifies": 10, "Documents": 11, "Contains": 11, "Demonstrates": 11}
 #: Activation weight of edge types.
 EDGE_WEIGHT = {"IsA": 1.0, "IsEquivalentTo": 0.95, "PartOf": 0.9, "Causes": 0.9, "SynonymOf": 0.8, "Uses": 0.8, "UsedBy": 0.8, "Calls": 0.8, "Implements": 0.8, "Extends": 0.8, "SimilarTo": 0.7, "PrerequisiteFor": 0.7, "Implies": 0.7, "Constrains": 0.7, "Invokes": 0.7, "Imports": 0.6, "Tests": 0.6, "Verifies": 0.6, "DefinesTerm": 0.6, "Requires": 0.6, "Mutates": 0.6, "RelatesTo": 0.5, "AssociatedWith": 0.5, "Explains": 0.5, "Documents": 0.5, "Demonstrates": 0.5, "Contains": 0.5, "Justifies": 0.5, "Supersedes": 0.5, "Amends": 0.5, "AntonymOf": 0.4, "Mentions": 0.3}
-#: Words that show what a question is after, by intent in order of priority, and its depth.
+#: What a question is after: (intent, depth of its walk, whole words and phrases that show it), in order of priority.
 INTENTS = [
-    ("debug", 3, ["fail", "error", "panic", "crash", "broken", "break", "bug", "wrong", "hang", "debug"]),
-    ("usage", 2, ["usage", "example", "how to", "how do i"]),
-    ("refactor", 4, ["refactor", "rewrite", "rename", "restructure", "extract", "simplify"]),
-    ("impact", 3, ["depend", "caller", "consumer", "affected", "impact", "downstream", "who calls"]),
-    ("explain", 2, ["explain", "describe", "overview", "purpose", "what is", "how does"]),
-    ("list", 2, ["list", "enumerate", "which"]),
-    ("compare", 3, ["compare", "difference", "versus"]),
-    ("count", 1, ["count", "how many"]),
+    ("debug", 3, ["fails", "failing", "error", "errors", "crash", "crashes", "exception", "stack trace", "broken"]),
+    ("impact", 3, ["breaks", "affected", "impact", "downstream", "depends on", "callers", "who uses"]),
+    ("refactor", 4, ["refactor", "rename", "move", "split", "merge", "clean up"]),
+    ("usage", 2, ["use", "using", "example", "examples", "how do i", "call"]),
+    ("compare", 3, ["compare", "versus", "vs", "difference", "differences", "better"]),
+    ("locate", 1, ["where", "find", "defined", "location"]),
+    ("count", 1, ["count", "how many", "number of"]),
+    ("list", 2, ["list", "enumerate", "all of", "which"]),
+    ("explain", 2, ["explain", "describe", "why", "what is", "how does", "purpose", "overview"]),
 ]
 
 
@@ -36,10 +37,15 @@ def edge_weight(edge_type):
     return F.coalesce(F.try_element_at(map_of(EDGE_WEIGHT), edge_type), F.lit(0.5))
 
 
+def intent_pattern(words: list[str]) -> str:
+    """Any of the words or phrases, whole."""
+    return r"\b(" + "|".join(words) + r")\b"
+
+
 def classify_intent(question):
-    """The intent with the most words found, ties to the earlier; general without any."""
-    q = F.concat(F.lit(" "), F.lower(question), F.lit(" "))
-    found = [F.struct(sum((F.when(q.contains(w), 1).otherwise(0) for w in words), F.lit(0)).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("name")) for i, (name, _, words) in enumerate(INTENTS)]
+    """The intent with the most different words found whole, ties to the earlier; general without any."""
+    q = F.lower(F.coalesce(question, F.lit("")))
+    found = [F.struct(F.size(F.array_distinct(F.regexp_extract_all(q, F.lit(intent_pattern(words)), F.lit(1)))).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("name")) for i, (name, _, words) in enumerate(INTENTS)]
     best = F.array_max(F.array(*found))
     return F.when(best["n"] > 0, best["name"]).otherwise("general")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,6 +27,12 @@ def resolve_local(calls: DataFrame, names: DataFrame) -> DataFrame:
     return by.select("caller", "name", pick.alias("anchor")).where("anchor is not null")
 
 
+def link_tests(edges: DataFrame, is_test: Column) -> DataFrame:
+    """``edges`` and a Tests edge beside every Calls edge of a test symbol (``is_test`` looks at src)."""
+    tests = edges.where((F.col("edge_type") == "Calls") & is_test).withColumn("edge_type", F.lit("Tests"))
+    return edges.unionByName(tests)
+
+
 def drop_stats(calls: DataFrame, names: DataFrame) -> DataFrame:
     """(status, n) of calls (caller, name): resolved, ambiguous or unresolved."""
     n = names.groupBy("name").agg(F.countDistinct("anchor").alias("k"))

@@ -56,12 +56,12 @@ def impact(edges: DataFrame, start: DataFrame, depth: int = 3, types: list[str]
     return walk(directed(edges, wanted), start, depth)
 
 
-def dependents(edges: DataFrame, start: DataFrame, types: list[str] | None = None, max_depth: int = 10_000) -> DataFrame:
-    """(anchor): all that depends on ``start`` directly or through others, the start excluded."""
+def dependents(edges: DataFrame, start: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """(anchor): all that depends on ``start`` directly or through others, the start excluded, at any depth."""
     e = written(directed(edges, types or IMPACT_TYPES, reverse=True).select("at", "to").distinct(), "dependents-edges")
     seen = written(start.select("anchor").distinct(), "dependents")
     front, found = seen, None
-    for _ in range(max_depth):
+    while True:
         step = front.select(F.col("anchor").alias("at")).join(e, "at").select(F.col("to").alias("anchor")).distinct()
         front = written(step.join(seen, "anchor", "left_anti"), "dependents")
         if front.isEmpty():

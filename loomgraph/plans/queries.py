@@ -280,10 +280,10 @@ def risk_tiers(spark, d):
     return n.select("n", rules.risk(c("n")).alias("risk"))
 
 
-@query(f"""WITH {E}, t AS (SELECT src, dst, CASE WHEN edge_type = 'Calls' THEN 'Tests' ELSE edge_type END AS edge_type FROM edges)
-SELECT DISTINCT src AS anchor FROM t WHERE edge_type = 'Tests' AND dst IN ('part/1', 'part/2', 'part/3') AND src <> dst""")
+@query(f"""WITH {E} SELECT DISTINCT src AS anchor FROM edges WHERE edge_type = 'Calls' AND regexp_matches(src, '^order/.*[05]$') AND dst IN ('part/1', 'part/2', 'part/3')""")
 def affected_tests(spark, d):
-    tests = P.edges(spark, d).withColumn("edge_type", F.when(c("edge_type") == "Calls", "Tests").otherwise(c("edge_type")))
+    """Orders whose number ends in 0 or 5 play the tests."""
+    tests = linking.link_tests(P.edges(spark, d), c("src").rlike("^order/.*[05]$"))
     return traverse.affected_tests(tests, one(spark, "part/1", "part/2", "part/3"))
 
 
@@ -469,7 +469,8 @@ def community_edge_weights(spark, d):
     return e.groupBy(area("src").alias("a"), area("dst").alias("b")).agg(F.count(F.lit(1)).alias("weight")).where("a <> b")
 
 
-@query(f"WITH {E} SELECT DISTINCT a.src AS anchor FROM edges a WHERE edge_type = 'Requires' AND false")
+@query(f"""WITH RECURSIVE {E}, q AS (SELECT src, dst FROM edges WHERE edge_type = 'Requires'), r AS (SELECT src, dst FROM q UNION SELECT r.src, q.dst FROM r JOIN q ON q.src = r.dst)
+SELECT DISTINCT src AS anchor FROM r WHERE src = dst""")
 def requires_cycles(spark, d):
     return analytics.cycles(P.edges(spark, d))
 
@@ -608,9 +609,12 @@ def doc_word_count(spark, d):
     return P.read(spark, d, "documents").select("doc_id", F.size(F.filter(F.split("text", "[ \t\n\r]+"), lambda x: x != "")).alias("words"))
 
 
-@query("SELECT page_id FROM pages WHERE regexp_matches(url, '/[a-z]+/[0-9]+\\.html$')".replace("\\\\", "\\"))
+@query("SELECT page_id FROM pages WHERE regexp_matches(regexp_extract(url, '^[^?#]*'), '^[^/]*//[^/]*/[^/]*/[^/]*[13579]$')")
 def list_filter_glob(spark, d):
-    return P.read(spark, d, "pages").where(c("url").rlike(T.glob_to_regex("**/*/*.html")) & c("url").rlike(r"/[a-z]+/[0-9]+\.html$")).select("page_id")
+    """Pages two folders deep whose name ends in an odd digit."""
+    path = F.regexp_extract("url", "^[^?#]*", 0)
+    odd = [path.rlike(T.glob_to_regex(f"*//*/*/*{k}")) for k in "13579"]
+    return P.read(spark, d, "pages").where(odd[0] | odd[1] | odd[2] | odd[3] | odd[4]).select("page_id")
 
 
 @query(f"""SELECT source, count(*) FILTER (regexp_matches(text, '{rules.SECRET_TEXT}')) AS secret, count(*) AS docs FROM documents GROUP BY source""")
@@ -624,18 +628,26 @@ def files_by_disposition(spark, d):
     return f.groupBy(rules.disposition(c("path"), c("html")).alias("disposition")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {P.LINES_SQL} SELECT 'open-task' AS rule, count(*) FILTER (regexp_matches(text, '\\b(TODO|FIXME|XXX)\\b')) AS n FROM lines UNION ALL SELECT 'trailing-blank', count(*) FILTER (regexp_matches(text, '[ \\t]+$')) FROM lines UNION ALL SELECT 'credential', count(*) FILTER (regexp_matches(text, '{rules.SECRET_TEXT}')) FROM lines""".replace("\\\\", "\\"))
+def _rule_sql(lines: str) -> str:
+    """How many lines each rule fits, in SQL."""
+    each = (f"SELECT '{r}' AS rule, '{k}' AS category, '{s}' AS severity, count(*) AS n FROM lines WHERE regexp_matches(text, '{x.replace("'", "''")}')" for r, _, k, s, x in rules.LINE_RULES)
+    return f"WITH {lines} SELECT * FROM ({' UNION ALL '.join(each)}) WHERE n > 0"
+
+
+def _rule_counts(lines: DataFrame) -> DataFrame:
+    return rules.line_findings(lines).groupBy("rule", "category", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_rule_sql(P.LINES_SQL))
 def lint_rules(spark, d):
-    found = rules.line_findings(P.lines(spark, d)).where(c("rule").isin("open-task", "trailing-blank", "credential")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
-    names = spark.createDataFrame([("open-task",), ("trailing-blank",), ("credential",)], "rule string")
-    return names.join(found, "rule", "left").fillna(0, ["n"])
+    """All line rules over the lines of documents."""
+    return _rule_counts(P.lines(spark, d))
 
 
-@query()
+@query(_rule_sql("lines AS (SELECT unnest(string_split(html, chr(10))) AS text FROM pages)"))
 def audit_patterns(spark, d):
-    """All line rules over the lines of pages; regular expressions differ between engines, so tested on lines of code."""
-    lines = P.read(spark, d, "pages").select("page_id", F.posexplode(F.split("html", "\n")).alias("line", "text"))
-    return rules.line_findings(lines).groupBy("rule", "category", "severity").agg(F.count(F.lit(1)).alias("n"))
+    """All line rules over the lines of pages."""
+    return _rule_counts(P.read(spark, d, "pages").select("page_id", F.posexplode(F.split("html", "\n")).alias("line", "text")))
 
 
 @query("""WITH p AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos, source, greatest(1, ceil(strlen(text) / 4.0))::INT AS tokens FROM documents)
@@ -671,11 +683,18 @@ def focused_passages(spark, d):
     return assembly.passages(paras, WORDS).select("doc_id", "para", r6(c("score")).alias("score"), "r")
 
 
-@query("""SELECT conv_id, turn, CASE WHEN contains(lower(text), 'error') THEN 'debug' ELSE 'other' END AS kind FROM conversations""")
+#: What is asked about a turn's text, by the number of the turn.
+ASKED = ["why is there an error in", "where is it defined:", "how do i use", "what breaks downstream of", "compare or explain the difference of", "how many errors, crashes or examples has", ""]
+_N = ", ".join(f"len(list_distinct(regexp_extract_all(q, '{assembly.intent_pattern(w)}', 1))) AS n{i}" for i, (_, _, w) in enumerate(assembly.INTENTS))
+_MOST = f"greatest({', '.join(f'n{i}' for i in range(len(assembly.INTENTS)))})"
+_CASES = " ".join(f"WHEN n{i} = {_MOST} THEN '{n}'" for i, (n, _, _) in enumerate(assembly.INTENTS))
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, lower([{", ".join(f"'{a}'" for a in ASKED)}][((conv_id + turn) % {len(ASKED)})::INT + 1] || ' ' || text) AS q FROM conversations), n AS (SELECT conv_id, turn, {_N} FROM t)
+SELECT conv_id, turn, CASE WHEN {_MOST} = 0 THEN 'general' {_CASES} END AS intent FROM n""")
 def classify_intent(spark, d):
-    kind = F.when(assembly.classify_intent(c("q")) == "debug", "debug").otherwise("other")
-    q = F.when(F.contains(F.lower("text"), F.lit("error")), F.lit("why is there an error")).otherwise(F.lit("anything else"))
-    return P.read(spark, d, "conversations").select("conv_id", "turn", q.alias("q")).select("conv_id", "turn", kind.alias("kind"))
+    asked = F.element_at(F.array(*map(F.lit, ASKED)), ((c("conv_id") + c("turn")) % len(ASKED)).cast("int") + 1)
+    return P.read(spark, d, "conversations").select("conv_id", "turn", assembly.classify_intent(F.concat(asked, F.lit(" "), "text")).alias("intent"))
 
 
 # ---- table updates, freshness, versions ----------------------------------------------------------
@@ -787,9 +806,12 @@ def title_boost(spark, d):
     return scored.select("doc_id", r6(c("score") * retrieval.boost(none, none, c("title"), WORDS)).alias("score"))
 
 
-@query("SELECT page_id, CASE WHEN contains(html, '.agent/') THEN 0.01 WHEN contains(html, 'research/') OR contains(html, 'vendor/') OR contains(html, 'third_party/') OR contains(html, 'node_modules/') THEN 0.1 ELSE 1.0 END::DOUBLE AS penalty FROM pages")
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 1 THEN 0.01 WHEN 2 THEN 0.1 ELSE 1.0 END::DOUBLE AS penalty FROM part")
 def path_penalty(spark, d):
-    return P.read(spark, d, "pages").select("page_id", retrieval.path_penalty(c("html")).alias("penalty"))
+    """Parts filed under a folder by their number."""
+    folder = F.element_at(F.array(*map(F.lit, ["src", ".agent", "vendor", "docs"])), (c("p_partkey") % 4).cast("int") + 1)
+    path = F.concat_ws("/", folder, F.replace("p_name", F.lit(" "), F.lit("/")))
+    return P.read(spark, d, "part").select("p_partkey", retrieval.path_penalty(path).alias("penalty"))
 
 
 @query("SELECT DISTINCT p_name AS name, round(0.9 / (levenshtein(p_name, 'blue bold') + 1), 6) AS score FROM part WHERE levenshtein(p_name, 'blue bold') <= 2")

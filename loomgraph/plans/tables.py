@@ -25,7 +25,8 @@ def anchor(kind: str, *keys: Column) -> Column:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, edge_type), unique: keys as containment both ways, orders use customers and call parts,
-    parts are implemented by suppliers, a turn requires the next one."""
+    parts are implemented by suppliers, a turn requires the next one (in every seventh conversation the last
+    one the first: cycles)."""
     t = lambda name: read(spark, sf_dir, name)
 
     def edge(df: DataFrame, src: Column, dst: Column, kind: str) -> DataFrame:
@@ -46,6 +47,9 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = t("conversations").select("conv_id", "turn")
     after = turns.select("conv_id", (c("turn") - 1).alias("turn"))
     parts.append(edge(turns.join(after, ["conv_id", "turn"], "left_semi"), anchor("turn", c("conv_id"), c("turn")), anchor("turn", c("conv_id"), c("turn") + 1), "Requires"))
+    # Every seventh conversation goes round: its last turn requires its first.
+    ends = turns.where("conv_id % 7 = 0").groupBy("conv_id").agg(F.min("turn").alias("lo"), F.max("turn").alias("hi")).where("lo < hi")
+    parts.append(edge(ends, anchor("turn", c("conv_id"), c("hi")), anchor("turn", c("conv_id"), c("lo")), "Requires"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -65,6 +69,8 @@ edges AS (
   UNION ALL SELECT DISTINCT 'part/' || l_partkey, 'supplier/' || l_suppkey, 'Implements' FROM lineitem
   UNION ALL SELECT 'turn/' || a.conv_id || '/' || a.turn, 'turn/' || a.conv_id || '/' || (a.turn + 1), 'Requires'
     FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
+  UNION ALL SELECT 'turn/' || conv_id || '/' || max(turn), 'turn/' || conv_id || '/' || min(turn), 'Requires'
+    FROM conversations WHERE conv_id % 7 = 0 GROUP BY conv_id HAVING min(turn) < max(turn)
 )"""
 
 

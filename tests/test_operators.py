@@ -57,6 +57,11 @@ def test_cycles_and_paths(spark, graph):
     assert {r.anchor for r in analytics.cycles(ring).collect()} == {"a", "b", "c"}
     assert [r.path for r in analytics.cycle_paths(ring).collect()] == [["a", "b", "c"]]
     assert analytics.cycles(e).count() == 0
+    two = [("a", "b"), ("b", "a"), ("b", "m"), ("m", "n"), ("n", "c"), ("c", "d"), ("d", "c"), ("x", "x"), ("d", "z"), ("y", "a")]
+    got = analytics.cycles(spark.createDataFrame([(*p, "Requires") for p in two], "src string, dst string, edge_type string"))
+    assert {r.anchor for r in got.collect()} == {"a", "b", "c", "d", "x"}  # not m and n, which stand between cycles
+    chain = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}", "Requires") for i in range(30)], "src string, dst string, edge_type string")
+    assert analytics.cycles(chain).count() == 0
 
 
 def test_pagerank_mass_and_seeds(spark, graph):
@@ -113,8 +118,8 @@ def test_assembly_budget(spark):
     items = spark.createDataFrame([("q", "a", 1, 50, "xx yy zz"), ("q", "b", 2, 80, "other words here"), ("q", "c", 3, 30, "xx yy zz"), ("q", "d", 4, 20, "new text now")], "request string, anchor string, position int, tokens int, text string")
     pick = lambda **k: [r.anchor for r in assembly.assemble(items, 100, **k).orderBy("position").collect()]
     assert pick() == ["a"] and pick(skip=True) == ["a", "c", "d"] and pick(skip=True, similar=0.9) == ["a", "d"]
-    q = spark.createDataFrame([("why does it crash",), ("what breaks downstream if I change x",), ("hello",)], "q string")
-    assert [r[0] for r in q.select(assembly.classify_intent(F.col("q"))).collect()] == ["debug", "debug", "general"]
+    q = spark.createDataFrame([("why does it crash",), ("what breaks downstream if I change x",), ("listen, whichever",)], "q string")
+    assert [r[0] for r in q.select(assembly.classify_intent(F.col("q"))).collect()] == ["debug", "impact", "general"]
 
 
 def test_stems():
@@ -138,7 +143,7 @@ def test_secrets_and_lines(spark):
     assert got == ["secret", "secret", "indexed", "unsupported", "secret"]
     lines = spark.createDataFrame([("py", "subprocess.run(cmd, shell=True)"), ("py", "x = pickle.loads(b)"), ("ts", "eval (x)"), ("py", "eval (x)"), ("rs", "fine")], "lang string, text string")
     found = {(r.lang, r.rule) for r in rules.line_findings(lines, F.col("lang")).collect()}
-    assert found == {("py", "shell-true"), ("py", "pickle-load"), ("ts", "eval-call")}
+    assert found == {("py", "cwe-78-shell"), ("py", "cwe-502-foreign-objects"), ("ts", "cwe-95-evaluated-text"), ("py", "cwe-95-evaluated-text")}
 
 
 def test_policy_and_dependencies(spark):
