@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.operators import analytics, assembly, linking, predicates, retrieval, rules, spans, traverse
+from loomgraph.plans import store_queries
 from loomgraph.plans import tables as P
 from loomgraph.sources import files
 from loomgraph.streaming import events as stream
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(store_queries.QUERIES)
+SQL: dict[str, str] = dict(store_queries.SQL)
 c = F.col
 
 
