@@ -1,9 +1,9 @@
 """Graph traversals over (src, dst, edge_type): breadth first, first visit, bounded or to the fixpoint.
 
-Bounded walks are one lazy plan: each level joins the frontier with the edges, keeps a node's first
-visit and drops what was seen. The edge scan is filtered to the wanted types before any join; Spark
-broadcasts the frontier where its size allows. Unbounded ones write each level, so lineage stays one
-level long whatever the depth.
+A walk writes the directed edges once (filtered to the wanted types) and then each level: the frontier meets
+the edges first, and only what it meets is grouped, so the edges are never shuffled. A frontier of at most
+``SMALL`` rows, which are counted, is broadcast; a larger one is joined by its key. Lineage stays one level
+long whatever the depth.
 """
 
 from __future__ import annotations
@@ -22,21 +22,35 @@ def directed(edges: DataFrame, types: list[str] | None = None, reverse: bool = F
     return e.select(F.col(a).alias("at"), F.col(b).alias("to"), "edge_type")
 
 
+#: Rows of a written frontier that may be broadcast.
+SMALL = 100_000
+
+
+def few(df: DataFrame) -> tuple[DataFrame, bool]:
+    """A written table, marked for broadcast if it is small, and whether it has any rows."""
+    n = df.count()
+    return (F.broadcast(df) if n <= SMALL else df), n > 0
+
+
 def walk(edges: DataFrame, start: DataFrame, depth: int, *, skip_structure: bool = False) -> DataFrame:
     """(anchor, depth, parent, via): nodes reached from ``start`` (anchor) in at most ``depth`` steps, starts
     at depth 0. ``edges``: (at, to, edge_type). A node's parent is the smallest at its least depth; via are
     the sorted edge types from it. ``skip_structure``: pairs joined by containment only are not walked."""
-    text = "string"
-    seen = start.select("anchor", F.lit(0).alias("depth"), F.lit(None).cast(text).alias("parent"), F.array().cast("array<string>").alias("via"))
-    pairs = edges.groupBy("at", "to").agg(F.array_sort(F.collect_set("edge_type")).alias("via"))
-    if skip_structure:
-        pairs = pairs.where(F.size(F.array_except("via", F.array(*map(F.lit, STRUCTURE_TYPES)))) > 0)
-    front = seen
+    edges = written(edges.select("at", "to", "edge_type"), "walk-edges")
+    seen = written(start.select("anchor", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.array().cast("array<string>").alias("via")).distinct(), "walk")
+    front, any_left = few(seen)
     for d in range(1, depth + 1):
-        met = front.select(F.col("anchor").alias("at")).join(pairs, "at")
-        first = met.groupBy(F.col("to").alias("anchor")).agg(F.min_by(F.struct(F.col("at").alias("parent"), "via"), "at").alias("p"))
-        front = first.join(seen.select("anchor"), "anchor", "left_anti").select("anchor", F.lit(d).alias("depth"), "p.parent", "p.via")
-        seen = seen.unionByName(front)
+        if not any_left:
+            break
+        met = edges.join(front.select(F.col("anchor").alias("at")), "at")
+        pairs = met.groupBy("at", "to").agg(F.array_sort(F.collect_set("edge_type")).alias("via"))
+        if skip_structure:
+            pairs = pairs.where(F.size(F.array_except("via", F.array(*map(F.lit, STRUCTURE_TYPES)))) > 0)
+        first = pairs.groupBy(F.col("to").alias("anchor")).agg(F.min_by(F.struct(F.col("at").alias("parent"), "via"), "at").alias("p"))
+        new = first.join(seen.select("anchor"), "anchor", "left_anti").select("anchor", F.lit(d).alias("depth"), "p.parent", "p.via")
+        level = written(new, "walk")
+        front, any_left = few(level)
+        seen = seen.unionByName(level)
     return seen
 
 
@@ -60,15 +74,16 @@ def dependents(edges: DataFrame, start: DataFrame, types: list[str] | None = Non
     """(anchor): all that depends on ``start`` directly or through others, the start excluded, at any depth."""
     e = written(directed(edges, types or IMPACT_TYPES, reverse=True).select("at", "to").distinct(), "dependents-edges")
     seen = written(start.select("anchor").distinct(), "dependents")
-    front, found = seen, None
+    front, found = few(seen)[0], None
     while True:
-        step = front.select(F.col("anchor").alias("at")).join(e, "at").select(F.col("to").alias("anchor")).distinct()
-        front = written(step.join(seen, "anchor", "left_anti"), "dependents")
-        if front.isEmpty():
+        step = e.join(front.select(F.col("anchor").alias("at")), "at").select(F.col("to").alias("anchor")).distinct()
+        level = written(step.join(seen, "anchor", "left_anti"), "dependents")
+        front, any_left = few(level)
+        if not any_left:
             break
-        seen = seen.unionByName(front)
-        found = front if found is None else found.unionByName(front)
-    return found if found is not None else front
+        seen = seen.unionByName(level)
+        found = level if found is None else found.unionByName(level)
+    return found if found is not None else level
 
 
 def affected_tests(edges: DataFrame, touched: DataFrame) -> DataFrame:
@@ -81,18 +96,26 @@ def hub_pruned(edges: DataFrame, start: DataFrame, depth: int, hub: Column, degr
     """Nodes reached along the arrows, hubs (``hub`` of anchor and more than ``degree`` out-edges) not walked
     through beyond the start, and up to ``fan`` callers of each node folded in, smallest anchors first.
     -> (anchor, depth, role)."""
-    out = directed(edges).select("at", "to").distinct()
-    heavy = edges.groupBy(F.col("src").alias("anchor")).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > degree) & hub).select("anchor")
-    seen = start.select("anchor", F.lit(0).alias("depth"))
-    front = seen
+    edges = written(edges, "hub-edges")
+    out = directed(edges).select("at", "to")
+    seen = written(start.select("anchor", F.lit(0).alias("depth")).distinct(), "hub")
+    front, any_left = few(seen)
     for d in range(1, depth + 1):
-        source = front if d == 1 else front.join(heavy, "anchor", "left_anti")
-        step = source.select(F.col("anchor").alias("at")).join(out, "at").select(F.col("to").alias("anchor")).distinct()
-        front = step.join(seen.select("anchor"), "anchor", "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.unionByName(front)
+        if not any_left:
+            break
+        source = front.select("anchor")
+        if d > 1:
+            # Degrees are counted of the frontier's hubs only.
+            named, _ = few(written(source.where(hub), "hub-named"))
+            heavy = edges.join(named.select(F.col("anchor").alias("src")), "src").groupBy(F.col("src").alias("anchor")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > degree)
+            source, _ = few(written(source.join(heavy.select("anchor"), "anchor", "left_anti"), "hub-source"))
+        step = out.join(source.select(F.col("anchor").alias("at")), "at").select(F.col("to").alias("anchor")).distinct()
+        level = written(step.join(seen.select("anchor"), "anchor", "left_anti").withColumn("depth", F.lit(d)), "hub")
+        front, any_left = few(level)
+        seen = seen.unionByName(level)
     back = directed(edges, ["Calls", "Uses"], reverse=True).select("at", "to").distinct()
-    near = back.join(start.select(F.col("anchor").alias("at")), "at").groupBy("at").agg(F.slice(F.array_sort(F.collect_set("to")), 1, fan).alias("few"))
-    callers = near.select(F.explode("few").alias("anchor")).distinct().join(seen.select("anchor"), "anchor", "left_anti")
+    near = back.join(start.select(F.col("anchor").alias("at")), "at").groupBy("at").agg(F.slice(F.array_sort(F.collect_set("to")), 1, fan).alias("first"))
+    callers = near.select(F.explode("first").alias("anchor")).distinct().join(seen.select("anchor"), "anchor", "left_anti")
     return seen.select("anchor", "depth", F.lit("reached").alias("role")).unionByName(callers.select("anchor", F.lit(1).alias("depth"), F.lit("caller").alias("role")))
 
 

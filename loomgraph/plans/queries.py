@@ -47,12 +47,6 @@ IN_WORDS = ", ".join(f"'{w}'" for w in WORDS)
 # ---- ranking -------------------------------------------------------------------------------------
 
 
-def _stats(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = P.read(spark, d, "documents").select(P.plain_tokens(c("text")).alias("a"))
-    both = docs.agg(F.sum(F.size(F.array_distinct("a"))).alias("n"), F.avg(F.size("a")).alias("avg_len"))
-    return both.select("n"), both.select("avg_len")
-
-
 BM25_SQL = f"""{P.POSTINGS_SQL},
 stats AS (SELECT sum(len(list_distinct(a))) AS n, avg(len(a)) AS avg_len FROM toks),
 hit AS (SELECT * FROM postings WHERE token IN ({IN_WORDS})),
@@ -62,8 +56,9 @@ scored AS (SELECT doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 *
 
 
 def _bm25(spark: SparkSession, d: str, coverage: bool = False) -> DataFrame:
-    n, avg = _stats(spark, d)
-    out = retrieval.bm25(P.postings(spark, d, WORDS), n, avg, coverage)
+    hits = P.term_hits(spark, d, WORDS)
+    n, avg = hits.agg(F.sum("uniq").alias("n")), hits.agg(F.avg("len").alias("avg_len"))
+    out = retrieval.bm25(P.hit_postings(hits, WORDS), n, avg, coverage)
     return out.withColumn("score", F.round("score", 9))  # equal scores stay equal whatever the order of addition
 
 

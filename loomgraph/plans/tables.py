@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.plans.io import written
+
 #: Edge types that carry a change from one node to another.
 IMPACT_TYPES = ["Uses", "Calls", "Implements", "Mutates"]
 #: Containment, which is structure and no dependency.
@@ -117,6 +119,23 @@ def postings(spark: SparkSession, sf_dir: str, words: list[str] | None = None) -
     return docs.select("doc_id", "len", F.explode("all").alias("token")).groupBy("token", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def term_hits(spark: SparkSession, sf_dir: str, words: list[str]) -> DataFrame:
+    """(doc_id, len, uniq, tfs): of every document its token count, its distinct tokens and how often it has each
+    of the words. One scan of the texts, written: statistics and postings of a query are read from it."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", plain_tokens(F.col("text")).alias("a"))
+
+    def times(word: str) -> Column:
+        return F.size(F.filter("a", lambda x: x == word))
+    tfs = F.array(*map(times, words))
+    return written(docs.select("doc_id", F.size("a").alias("len"), F.size(F.array_distinct("a")).alias("uniq"), tfs.alias("tfs")), "term-hits")
+
+
+def hit_postings(hits: DataFrame, words: list[str]) -> DataFrame:
+    """(token, doc_id, tf, len) from ``term_hits``."""
+    tf = F.arrays_zip(F.array(*map(F.lit, words)).alias("token"), F.col("tfs").alias("tf"))
+    return hits.select("doc_id", "len", F.explode(tf).alias("p")).where("p.tf > 0").select("p.token", "doc_id", F.col("p.tf").cast("long").alias("tf"), "len")
+
+
 POSTINGS_SQL = """
 toks AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS a FROM documents),
 postings AS (
