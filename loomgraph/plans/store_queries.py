@@ -158,12 +158,12 @@ def link_includes(spark, d):
     return store.include_edges(includes, files)
 
 
-@query("""WITH p AS (SELECT 'part/' || p_partkey AS anchor, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[-1] AS b FROM part), nm AS (SELECT a || '::' || b AS name, anchor FROM p UNION SELECT a, anchor FROM p UNION SELECT b, anchor FROM p),
-u AS (SELECT name, min(anchor) AS anchor FROM nm GROUP BY name HAVING count(DISTINCT anchor) = 1), t AS (SELECT anchor AS src, unnest([a || '::' || b, a, b]) AS name, unnest([0, 1, 2]) AS tier FROM (SELECT 'claim/' || p_partkey AS anchor, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[-1] AS b FROM part))
+@query("""WITH p AS (SELECT 'part/' || p_partkey AS anchor, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[-1] || (p_partkey % 1500) AS b FROM part), nm AS (SELECT a || '::' || b AS name, anchor FROM p UNION SELECT a, anchor FROM p UNION SELECT b, anchor FROM p),
+u AS (SELECT name, min(anchor) AS anchor FROM nm GROUP BY name HAVING count(DISTINCT anchor) = 1), t AS (SELECT anchor AS src, unnest([a || '::' || b, a, b]) AS name, unnest([0, 1, 2]) AS tier FROM (SELECT 'claim/' || p_partkey AS anchor, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[-1] || (p_partkey % 1500) AS b FROM part))
 SELECT src, arg_min(u.anchor, tier) AS dst FROM t JOIN u USING (name) GROUP BY src""")
 def link_implements(spark, d):
     words = F.split("p_name", " ")
-    p = P.read(spark, d, "part").select("p_partkey", words[0].alias("a"), F.element_at(words, -1).alias("b")).withColumn("full", F.concat_ws("::", "a", "b"))
+    p = P.read(spark, d, "part").select("p_partkey", words[0].alias("a"), F.concat(F.element_at(words, -1), (c("p_partkey") % 1500).cast("string")).alias("b")).withColumn("full", F.concat_ws("::", "a", "b"))
     names = p.select(P.anchor("part", c("p_partkey")).alias("anchor"), F.explode(F.array("full", "a", "b")).alias("name")).distinct()
     return store.implements(p.select(P.anchor("claim", c("p_partkey")).alias("src"), c("full").alias("target")), names)
 
