@@ -7,9 +7,11 @@ model gives every text a probability that can be compared with the unigram base.
 is its class's times its own within the class, 64 of 64, so a token costs two short softmaxes.
 
 The network (a few hundred thousand numbers) learns by truncated backpropagation over windows of
-``unroll`` tokens from a bounded sample of training documents, in one task, and is broadcast. Scoring
-runs many documents side by side, window after window, with the state carried over to a document's
-end, so the log-likelihood is that of the complete document however long it is.
+``unroll`` tokens. A bounded sample gives it a start in one task; then all training documents are learned
+once, whole: in each of ``rounds`` rounds every task takes the network, learns its part of the round's
+documents, and the networks are averaged by their tokens, 32 at a time, for the next round. Scoring runs
+many documents side by side, window after window, with the state carried over to a document's end, so
+the log-likelihood is that of the complete document however long it is.
 
 Counts follow the corpus. Each task counts before it shuffles; the ``head`` most frequent words are
 broadcast (a fixed number), and only what documents have beyond them is joined with the count table.
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm._common import durable, fold, table
+from loomgraph.llm._common import durable, fold, remove, table
 
 #: The end of a document among the words: no word is empty.
 END = b""
@@ -37,8 +39,10 @@ END = b""
 
 @dataclass(frozen=True)
 class Gru:
-    """``train_rows`` bounds the documents that the network learns from (first by the hash of their id);
-    counts are always those of all training documents."""
+    """``train_rows`` bounds the documents that give the network its start (first by the hash of their id); what
+    it learns after that, in ``rounds`` rounds, and all counts are of all training documents. ``lanes`` rows are
+    learned side by side, ``block`` tokens are held at once, and a task learns about ``share`` tokens or one
+    partition of the input, whichever is more."""
 
     outputs: int = 3968
     buckets: int = 128
@@ -50,6 +54,10 @@ class Gru:
     streams: int = 64
     unroll: int = 32
     rate: float = 6e-3
+    rounds: int = 3
+    lanes: int = 256
+    block: int = 1_000_000
+    share: int = 1_000_000
     together: int = 512
     window: int = 64
 
@@ -70,7 +78,12 @@ def bucket_of(word: bytes, buckets: int) -> int:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x += 1
+    x *= 0.5
+    return x
 
 
 class Network:
@@ -115,8 +128,12 @@ class Network:
             g = hp @ w["u"]
             zr = _sigmoid(xs[t, :, : 2 * n] + g[:, : 2 * n])
             z, r = zr[:, :n], zr[:, n:]
-            new = np.tanh(xs[t, :, 2 * n:] + r * g[:, 2 * n:])
-            h = new + z * (hp - new)
+            new = r * g[:, 2 * n:]
+            new += xs[t, :, 2 * n:]
+            np.tanh(new, out=new)
+            h = hp - new
+            h *= z
+            h += new
             states[t] = h
             if keep is not None:
                 tape.append((hp, z, r, new, g[:, 2 * n:]))
@@ -128,56 +145,67 @@ class Network:
         w = self.parts
         cls, at = np.divmod(targets, self.width)
 
-        def soft(logits, want):
-            top = logits.max(axis=1, keepdims=True)
-            e = np.exp(logits - top)
-            total = e.sum(axis=1, keepdims=True)
-            got = logits[np.arange(len(want)), want] - top[:, 0] - np.log(total[:, 0])
+        def soft(e, want):
+            here = np.arange(len(want))
+            e -= e.max(axis=1, keepdims=True)
+            got = e[here, want]
+            np.exp(e, out=e)
+            total = e @ np.ones(e.shape[1], e.dtype)
+            got -= np.log(total)
             if grads is not None:
-                e /= total
-                e[np.arange(len(want)), want] -= 1
+                e /= total[:, None]
+                e[here, want] -= 1
             return got, e
 
-        out, e = soft(states @ w["wc"] + w["bc"], cls)
-        d = None
+        order = np.argsort(cls.astype(np.int16), kind="stable")  # by class: each class's rows are a slice
+        edges = np.searchsorted(cls[order], np.arange(self.p.classes + 1))
+        states, at = states[order], at[order]
+        got, e = soft(states @ w["wc"] + w["bc"], cls[order])
+        by = None
         if grads is not None:
             grads["wc"] += states.T @ e
             grads["bc"] += e.sum(axis=0)
-            d = e @ w["wc"].T
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.p.classes + 1))
+            by = e @ w["wc"].T
         for c in range(self.p.classes):
-            rows = order[edges[c]:edges[c + 1]]
-            if not len(rows):
+            rows = slice(edges[c], edges[c + 1])
+            if edges[c] == edges[c + 1]:
                 continue
             s = states[rows]
-            got, e = soft(s @ w["ww"][c] + w["bw"][c], at[rows])
-            out[rows] += got
+            logits = s @ w["ww"][c]
+            logits += w["bw"][c]
+            inner, e = soft(logits, at[rows])
+            got[rows] += inner
             if grads is not None:
                 grads["ww"][c] += s.T @ e
                 grads["bw"][c] += e.sum(axis=0)
-                d[rows] += e @ w["ww"][c].T
+                by[rows] += e @ w["ww"][c].T
+        out, d = np.empty_like(got), None
+        out[order] = got
+        if grads is not None:
+            d = np.empty_like(by)
+            d[order] = by
         return out, d
 
-    def learn(self, tokens: np.ndarray, end: int) -> None:
-        """Truncated backpropagation (Adam) over one long row of tokens, cut into streams."""
+    def learn(self, tokens: np.ndarray, end: int, streams: int, epochs: int = 1, rate: float = 1.0, last: float = 1.0) -> None:
+        """Truncated backpropagation (Adam) over one long row of tokens, cut into streams; the rate, as a part of
+        the parameter's, goes from ``rate`` to ``last``."""
         p, w, n = self.p, self.parts, self.p.hidden
-        steps = (len(tokens) - 1) // p.streams
+        steps = (len(tokens) - 1) // streams
         if steps < 1:
             return
-        at = np.arange(steps)[:, None] + np.arange(p.streams)[None, :] * steps
+        at = np.arange(steps)[:, None] + np.arange(streams)[None, :] * steps
         before, target = tokens[at], tokens[at + 1]
-        m = {k: np.zeros_like(v) for k, v in w.items()}
-        v2 = {k: np.zeros_like(v) for k, v in w.items()}
-        count, total = 0, p.epochs * -(-steps // p.unroll)
-        for _ in range(p.epochs):
-            h = np.zeros((p.streams, n), np.float32)
+        m, v2, grads = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(3))
+        count, total = 0, epochs * -(-steps // p.unroll)
+        for _ in range(epochs):
+            h = np.zeros((streams, n), np.float32)
             for s in range(0, steps, p.unroll):
                 ids, want = before[s:s + p.unroll], target[s:s + p.unroll]
                 keep = (ids != end).astype(np.float32)
                 states, tape = self.run(h, ids, keep)
                 h = states[-1]
-                grads = {k: np.zeros_like(v) for k, v in w.items()}
+                for g in grads.values():
+                    g.fill(0)
                 _, d = self.log_p(states.reshape(-1, n), want.ravel(), grads)
                 d = d.reshape(states.shape)
                 after = np.zeros_like(h)
@@ -186,24 +214,37 @@ class Network:
                     hp, z, r, new, gn = tape[t]
                     dh = d[t] + after
                     dn = dh * (1 - z) * (1 - new * new)
-                    dz = dh * (hp - new) * z * (1 - z)
-                    dr = dn * gn * r * (1 - r)
-                    dg = np.concatenate([dz, dr, dn * r], axis=1)
-                    da[t] = np.concatenate([dz, dr, dn], axis=1)
+                    dg, a = np.empty((streams, 3 * n), np.float32), da[t]
+                    a[:, :n] = dh * (hp - new) * z * (1 - z)
+                    a[:, n:2 * n] = dn * gn * r * (1 - r)
+                    a[:, 2 * n:] = dn
+                    dg[:, :2 * n] = a[:, :2 * n]
+                    np.multiply(dn, r, out=dg[:, 2 * n:])
                     grads["u"] += hp.T @ dg
                     after = (dh * z + dg @ w["u"].T) * keep[t][:, None]
-                grads["b"] += da.sum(axis=(0, 1))
-                np.add.at(grads["x"], ids.ravel(), da.reshape(-1, 3 * n))
+                flat, rows = ids.ravel(), da.reshape(-1, 3 * n)
+                grads["b"] += rows.sum(axis=0)
+                order = np.argsort(flat, kind="stable")
+                first = np.flatnonzero(np.r_[True, np.diff(flat[order]) != 0])
+                grads["x"][flat[order[first]]] = np.add.reduceat(rows[order], first, axis=0)
                 count += 1
                 scale = 1.0 / ids.size
-                norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) * scale
+                norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) * scale
                 scale *= min(1.0, 1.0 / max(norm, 1e-9))
-                rate = p.rate * (1 - 0.9 * count / total) * np.sqrt(1 - 0.99 ** count) / (1 - 0.9 ** count)
+                now = p.rate * (rate + (last - rate) * count / total) * np.sqrt(1 - 0.99 ** count) / (1 - 0.9 ** count)
                 for k, g in grads.items():
                     g *= scale
-                    m[k] += 0.1 * (g - m[k])
-                    v2[k] += 0.01 * (g * g - v2[k])
-                    w[k] -= rate * m[k] / (np.sqrt(v2[k]) + 1e-6)
+                    m[k] *= 0.9
+                    v2[k] *= 0.99
+                    m[k] += 0.1 * g
+                    g *= g
+                    g *= 0.01
+                    v2[k] += g
+                    np.sqrt(v2[k], out=g)
+                    g += 1e-6
+                    np.divide(m[k], g, out=g)
+                    g *= now
+                    w[k] -= g
 
     def score(self, documents: list[np.ndarray], end: int) -> np.ndarray:
         """Natural log-likelihood of each document's complete token row (its end included)."""
@@ -358,10 +399,81 @@ def train(texts: list[str | None], v: Vocabulary, p: Gru = DEFAULT) -> Network:
     net = Network.new(p, frequency)
     rows = [e(t)[0] for t in texts]
     if rows:
-        net.learn(np.concatenate([[e.end], *rows]), e.end)
+        net.learn(np.concatenate([[e.end], *rows]), e.end, p.streams, p.epochs, 1.0, 0.5)
     return net
 
 
+class Spelled(dict):
+    """The model's id of each word: those of the outputs are given, others follow from the spelling and are kept."""
+
+    def __init__(self, outputs: list[bytes], p: Gru):
+        super().__init__((w, i) for i, w in enumerate(outputs))
+        self.p = p
+
+    def __missing__(self, word: bytes) -> int:
+        got = self.p.outputs + bucket_of(word, self.p.buckets)
+        if len(self) < 500_000:
+            self[word] = got
+        return got
+
+
+def _merged(networks: DataFrame, p: Gru) -> bytes | None:
+    """The mean of networks (network, tokens) by their tokens, 32 to a task until one is left; None if there are none."""
+    def mean(batches):
+        total, parts = 0, {}
+        for b in batches:
+            for raw, n in zip(b.column("network"), b.column("tokens").to_pylist()):
+                total += n
+                for k, x in Network.load(p, raw.as_py()).parts.items():
+                    parts[k] = parts.get(k, 0.0) + x.astype(np.float64) * n
+        if total:
+            out = Network(p, {k: (x / total).astype(np.float32) for k, x in parts.items()}).dump()
+            yield pa.RecordBatch.from_arrays([pa.array([out], pa.binary()), pa.array([total], pa.int64())], ["network", "tokens"])
+    written, left = [durable(networks, "networks")], 0
+    while True:
+        left = written[-1].count()
+        if left < 2:
+            break
+        written.append(durable(written[-1].repartition(-(-left // 32)).mapInArrow(mean, "network binary, tokens long"), "networks"))
+    got = written[-1].first()
+    remove(*written)
+    return bytes(got["network"]) if got else None
+
+
+def learn_all(learned: DataFrame, network: bytes, v: Vocabulary, p: Gru) -> bytes:
+    """The network after it has learned every document of ``learned`` (doc_id, text) once, in rounds by the id's hash."""
+    spark = learned.sparkSession.sparkContext
+    names = v.words[: p.outputs]
+    for turn in range(p.rounds):
+        sent = spark.broadcast((names, network))
+        rate = 0.5 - 0.45 * turn / max(p.rounds - 1, 1)
+
+        def learn(batches, sent=sent, rate=rate):
+            names, raw = sent.value
+            net, at = Network.load(p, raw), Spelled(names, p)
+            end = at.get(END, len(names))
+            held, n, total = [end], 0, 0
+            for b in batches:
+                for t in b.column("text"):
+                    held.extend(map(at.__getitem__, words_of(t.as_py())))
+                    held.append(end)
+                    while len(held) > p.block:
+                        net.learn(np.array(held[:p.block], np.int64), end, p.lanes, 1, rate, rate)
+                        total += p.block - 1
+                        del held[:p.block - 1]
+            n = len(held) - 1
+            if n:
+                net.learn(np.array(held, np.int64), end, max(1, min(p.lanes, n // p.unroll)), 1, rate, rate)
+                total += n
+            if total:
+                yield pa.RecordBatch.from_arrays([pa.array([net.dump()], pa.binary()), pa.array([total], pa.int64())], ["network", "tokens"])
+        part = learned.where(F.pmod(F.xxhash64("doc_id"), F.lit(p.rounds)) == turn).select("text")
+        tasks = max(1, -(-v.total // (p.share * p.rounds)))
+        network = _merged(part.coalesce(tasks).mapInArrow(learn, "network binary, tokens long"), p) or network
+        sent.unpersist()
+    return network
+
+
 def held_out(doc_id: Column) -> Column:
     return fold(doc_id, 10) == 0
 
@@ -382,7 +494,8 @@ def score_documents(docs: DataFrame, p: Gru = DEFAULT) -> DataFrame:
     shipped = spark.sparkContext.broadcast(v)
     ids = learned.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.train_rows)
     sample = learned.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    network = spark.sparkContext.broadcast(_train_task(sample.select(F.xxhash64("doc_id").alias("at"), "doc_id", "text"), shipped, p))
+    start = _train_task(sample.select(F.xxhash64("doc_id").alias("at"), "doc_id", "text"), shipped, p)
+    network = spark.sparkContext.broadcast(learn_all(learned, start, v, p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, net = Encoder(shipped.value, p), Network.load(p, network.value)

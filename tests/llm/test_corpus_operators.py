@@ -324,7 +324,7 @@ def test_network_is_a_distribution_and_carries_state():
     p = grulm.Gru(outputs=10, buckets=6, classes=4, hidden=5, train_rows=1, streams=2, unroll=4, window=3, together=2)
     net = grulm.Network.new(p, np.arange(16.0))
     rng = np.random.default_rng(0)
-    net.learn(rng.integers(0, 16, 200), 0)
+    net.learn(rng.integers(0, 16, 200), 0, p.streams)
     h = rng.normal(size=(3, 5)).astype(np.float32)
     total = sum(np.exp(net.log_p(h, np.full(3, t))[0]) for t in range(16))
     assert np.allclose(total, 1, atol=1e-4)
@@ -362,6 +362,29 @@ def test_model_beats_the_base_on_held_out_text(spark):
     assert got[0] > got[1]
 
 
+def test_the_whole_fold_is_learned(spark):
+    """The rounds alone make the likelihood better, in any partitions; no documents change nothing; means are by weight."""
+    p = grulm.Gru(outputs=28, buckets=4, classes=4, hidden=8, train_rows=1, epochs=1, streams=2, unroll=8, rounds=2, lanes=8, block=300, share=400)
+    rows = [(i, "one two three four " * (12 if i % 7 else 40)) for i in range(150)]
+    got = {}
+    for parts in (1, 6):
+        d = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id")
+        n = d.where(~grulm.held_out(F.col("doc_id"))).agg(F.sum(F.size(F.split(F.trim("text"), " ")) + 1)).first()[0]
+        learned = d.where(~grulm.held_out(F.col("doc_id")))
+        v = grulm.vocabulary(grulm.count_words(learned), p)
+        assert v.total == n
+        start = grulm.train([], v, p)
+        net = grulm.Network.load(p, grulm.learn_all(learned, start.dump(), v, p))
+        e = grulm.Encoder(v, p)
+        text = e("one two three four " * 12)[0]
+        got[parts] = (start.score([text], e.end)[0], net.score([text], e.end)[0])
+        assert got[parts][1] > got[parts][0]
+        assert grulm.learn_all(learned.where("false"), start.dump(), v, p) == start.dump()
+    networks = spark.createDataFrame([(bytearray(start.dump()), 3)] * 70, "network binary, tokens long")
+    same = grulm.Network.load(p, grulm._merged(networks, p)).parts
+    assert all(np.allclose(same[k], start.parts[k], atol=1e-6) for k in same)
+
+
 def test_language_model_odd_rows(odd, none):
     p = grulm.Gru(outputs=96, buckets=32, classes=8, hidden=8, head=50, train_rows=5, epochs=1, streams=2)
     got = grulm.score_documents(odd, p)
