@@ -77,13 +77,21 @@ def bucket_of(word: bytes, buckets: int) -> int:
     return zlib.crc32(word[:1] + word[-2:]) % buckets
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    x *= 0.5
-    np.tanh(x, out=x)
-    x += 1
-    x *= 0.5
-    return x
+def _add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray, often: int = 12) -> None:
+    """Adds each of ``rows`` to the row of ``to`` that ``at`` names, repeats included: ids that stand ``often`` or
+    more times by a product with ones, the others occurrence by occurrence."""
+    order = np.argsort(at.astype(np.int16 if len(to) < 1 << 15 else np.int64), kind="stable")
+    ids = at[order]
+    rows = rows[order]
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    size = np.diff(np.r_[first, len(ids)])
+    many = size >= often
+    for i, k in zip(first[many].tolist(), size[many].tolist()):
+        to[ids[i]] += np.ones(k, rows.dtype) @ rows[i:i + k]
+    first, size = first[~many], size[~many]
+    for k in range(often - 1):
+        first, size = first[size > k], size[size > k]
+        to[ids[first]] += rows[first + k]
 
 
 class Network:
@@ -119,24 +127,31 @@ class Network:
             return cls(p, {k: z[k] for k in z.files})
 
     def run(self, h: np.ndarray, ids: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, list]:
-        """States after each of the tokens ``ids`` (steps x rows), from state ``h``; ``keep`` zeroes states where 0."""
+        """States (steps x hidden x rows) after each of the tokens ``ids`` (steps x rows), from state ``h`` (hidden x
+        rows); ``keep`` zeroes states where 0. Rows stand last, so that every part of a step is one block of memory."""
         w, n = self.parts, self.p.hidden
-        xs = w["x"][ids] + w["b"]
-        states, tape = np.empty((*ids.shape, n), np.float32), []
+        half = np.repeat(np.float32([0.5, 1.0]), [2 * n, n])  # sigmoid(a) is (1 + tanh(a / 2)) / 2
+        u = np.ascontiguousarray((w["u"] * half).T)
+        xs = np.ascontiguousarray(((w["x"] + w["b"]) * half)[ids].transpose(0, 2, 1))
+        states, tape = np.empty((len(ids), n, ids.shape[1]), np.float32), []
         for t in range(len(ids)):
-            hp = h if keep is None else h * keep[t][:, None]
-            g = hp @ w["u"]
-            zr = _sigmoid(xs[t, :, : 2 * n] + g[:, : 2 * n])
-            z, r = zr[:, :n], zr[:, n:]
-            new = r * g[:, 2 * n:]
-            new += xs[t, :, 2 * n:]
+            hp = h if keep is None else h * keep[t]
+            g = u @ hp
+            gates = g[: 2 * n]
+            gates += xs[t, : 2 * n]
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            z, r = g[:n], g[n:2 * n]
+            new = r * g[2 * n:]
+            new += xs[t, 2 * n:]
             np.tanh(new, out=new)
-            h = hp - new
+            h = states[t]
+            np.subtract(hp, new, out=h)
             h *= z
             h += new
-            states[t] = h
             if keep is not None:
-                tape.append((hp, z, r, new, g[:, 2 * n:]))
+                tape.append((hp, z, r, new, g[2 * n:]))
         return states, tape
 
     def log_p(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -144,46 +159,47 @@ class Network:
         gradients of the summed loss there and returns the states' gradient."""
         w = self.parts
         cls, at = np.divmod(targets, self.width)
+        order = np.argsort(cls.astype(np.int16), kind="stable")  # by class: each class's rows are a slice
+        edges = np.searchsorted(cls[order], np.arange(self.p.classes + 1)).tolist()
+        slices = [(c, slice(edges[c], edges[c + 1])) for c in range(self.p.classes) if edges[c] < edges[c + 1]]
+        here = np.arange(len(order))
+        one = np.ones((len(order), self.p.hidden + 1), np.float32)  # the last column carries the biases
+        one[:, :-1] = states[order]
+        turned = one.T
 
         def soft(e, want):
-            here = np.arange(len(want))
-            e -= e.max(axis=1, keepdims=True)
-            got = e[here, want]
+            e -= e.max(axis=0)
+            got = e[want, here]
             np.exp(e, out=e)
-            total = e @ np.ones(e.shape[1], e.dtype)
+            total = e.sum(axis=0)
             got -= np.log(total)
             if grads is not None:
-                e /= total[:, None]
-                e[here, want] -= 1
-            return got, e
-
-        order = np.argsort(cls.astype(np.int16), kind="stable")  # by class: each class's rows are a slice
-        edges = np.searchsorted(cls[order], np.arange(self.p.classes + 1))
-        states, at = states[order], at[order]
-        got, e = soft(states @ w["wc"] + w["bc"], cls[order])
-        by = None
-        if grads is not None:
-            grads["wc"] += states.T @ e
-            grads["bc"] += e.sum(axis=0)
-            by = e @ w["wc"].T
-        for c in range(self.p.classes):
-            rows = slice(edges[c], edges[c + 1])
-            if edges[c] == edges[c + 1]:
-                continue
-            s = states[rows]
-            logits = s @ w["ww"][c]
-            logits += w["bw"][c]
-            inner, e = soft(logits, at[rows])
-            got[rows] += inner
-            if grads is not None:
-                grads["ww"][c] += s.T @ e
-                grads["bw"][c] += e.sum(axis=0)
-                by[rows] += e @ w["ww"][c].T
+                e *= 1 / total
+                e[want, here] -= 1
+            return got
+
+        outer = np.vstack([w["wc"], w["bc"]]).T @ turned
+        got = soft(outer, cls[order])
+        within = np.concatenate([w["ww"], w["bw"][:, None]], axis=1)
+        inner = np.empty((self.width, len(order)), np.float32)
+        for c, rows in slices:
+            np.matmul(within[c].T, turned[:, rows], out=inner[:, rows])
+        got += soft(inner, at[order])
         out, d = np.empty_like(got), None
         out[order] = got
         if grads is not None:
-            d = np.empty_like(by)
-            d[order] = by
+            g = outer @ one
+            grads["wc"] += g[:, :-1].T
+            grads["bc"] += g[:, -1]
+            by = w["wc"] @ outer
+            for c, rows in slices:
+                e = inner[:, rows]
+                g = e @ one[rows]
+                grads["ww"][c] += g[:, :-1].T
+                grads["bw"][c] += g[:, -1]
+                by[:, rows] += w["ww"][c] @ e
+            d = np.empty_like(by.T, order="C")
+            d[order] = by.T
         return out, d
 
     def learn(self, tokens: np.ndarray, end: int, streams: int, epochs: int = 1, rate: float = 1.0, last: float = 1.0) -> None:
@@ -198,7 +214,7 @@ class Network:
         m, v2, grads = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(3))
         count, total = 0, epochs * -(-steps // p.unroll)
         for _ in range(epochs):
-            h = np.zeros((streams, n), np.float32)
+            h = np.zeros((n, streams), np.float32)
             for s in range(0, steps, p.unroll):
                 ids, want = before[s:s + p.unroll], target[s:s + p.unroll]
                 keep = (ids != end).astype(np.float32)
@@ -206,27 +222,36 @@ class Network:
                 h = states[-1]
                 for g in grads.values():
                     g.fill(0)
-                _, d = self.log_p(states.reshape(-1, n), want.ravel(), grads)
-                d = d.reshape(states.shape)
-                after = np.zeros_like(h)
-                da = np.empty((*ids.shape, 3 * n), np.float32)
+                _, d = self.log_p(states.transpose(0, 2, 1).reshape(-1, n), want.ravel(), grads)
+                d = np.ascontiguousarray(d.reshape(*ids.shape, n).transpose(0, 2, 1))
+                after, back = np.zeros_like(h), np.ascontiguousarray(w["u"])
+                da = np.empty((len(ids), 3 * n, streams), np.float32)
                 for t in range(len(ids) - 1, -1, -1):
                     hp, z, r, new, gn = tape[t]
-                    dh = d[t] + after
-                    dn = dh * (1 - z) * (1 - new * new)
-                    dg, a = np.empty((streams, 3 * n), np.float32), da[t]
-                    a[:, :n] = dh * (hp - new) * z * (1 - z)
-                    a[:, n:2 * n] = dn * gn * r * (1 - r)
-                    a[:, 2 * n:] = dn
-                    dg[:, :2 * n] = a[:, :2 * n]
-                    np.multiply(dn, r, out=dg[:, 2 * n:])
-                    grads["u"] += hp.T @ dg
-                    after = (dh * z + dg @ w["u"].T) * keep[t][:, None]
-                flat, rows = ids.ravel(), da.reshape(-1, 3 * n)
-                grads["b"] += rows.sum(axis=0)
-                order = np.argsort(flat, kind="stable")
-                first = np.flatnonzero(np.r_[True, np.diff(flat[order]) != 0])
-                grads["x"][flat[order[first]]] = np.add.reduceat(rows[order], first, axis=0)
+                    dh = d[t]
+                    dh += after
+                    a = da[t]
+                    dn, rest = a[2 * n:], 1 - z
+                    np.multiply(dh, rest, out=dn)
+                    np.subtract(hp, new, out=a[:n])
+                    a[:n] *= dh
+                    a[:n] *= z
+                    a[:n] *= rest
+                    new *= new
+                    np.subtract(1, new, out=new)
+                    dn *= new
+                    np.multiply(dn, r, out=rest)
+                    np.multiply(rest, gn, out=a[n:2 * n])
+                    np.subtract(1, r, out=r)
+                    a[n:2 * n] *= r
+                    dg = np.concatenate([a[:2 * n], rest])
+                    grads["u"] += (dg @ hp.T).T
+                    after = back @ dg
+                    dh *= z
+                    after += dh
+                    after *= keep[t]
+                grads["b"] += da.sum(axis=(0, 2))
+                _add_rows(grads["x"], ids.ravel(), da.transpose(0, 2, 1).reshape(-1, 3 * n))
                 count += 1
                 scale = 1.0 / ids.size
                 norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) * scale
@@ -254,7 +279,7 @@ class Network:
         for s in range(0, len(order), p.together):
             group = order[s:s + p.together]
             sizes = np.array([len(documents[i]) for i in group])
-            h = np.zeros((len(group), p.hidden), np.float32)
+            h = np.zeros((p.hidden, len(group)), np.float32)
             last = np.full(len(group), end)
             for a in range(0, int(sizes[0]), p.window):
                 live = int((sizes > a).sum())  # longest first: those still running stand in front
@@ -265,10 +290,10 @@ class Network:
                     target[: len(part), j] = part
                 ids = np.empty((steps, live), np.int64)
                 ids[0], ids[1:] = last[:live], np.maximum(target[:-1], 0)
-                states, _ = self.run(h[:live], ids)
+                states, _ = self.run(np.ascontiguousarray(h[:, :live]), ids)
                 h, last = states[-1], target[-1]
                 inside = target >= 0
-                got, _ = self.log_p(states[inside], target[inside])
+                got, _ = self.log_p(states.transpose(0, 2, 1)[inside], target[inside])
                 who = np.broadcast_to(np.arange(live), target.shape)[inside]
                 out[group[:live]] += np.bincount(who, weights=got, minlength=live)
         return out
