@@ -127,6 +127,11 @@ class Network:
             return cls(p, {k: z[k] for k in z.files})
 
     def run(self, h: np.ndarray, ids: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, list]:
+        """``turned`` with rows before what is hidden, in ``h`` and in the states."""
+        states, tape = self.turned(np.ascontiguousarray(h.T), ids, keep)
+        return states.transpose(0, 2, 1), tape
+
+    def turned(self, h: np.ndarray, ids: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, list]:
         """States (steps x hidden x rows) after each of the tokens ``ids`` (steps x rows), from state ``h`` (hidden x
         rows); ``keep`` zeroes states where 0. Rows stand last, so that every part of a step is one block of memory."""
         w, n = self.parts, self.p.hidden
@@ -163,7 +168,7 @@ class Network:
         edges = np.searchsorted(cls[order], np.arange(self.p.classes + 1)).tolist()
         slices = [(c, slice(edges[c], edges[c + 1])) for c in range(self.p.classes) if edges[c] < edges[c + 1]]
         here = np.arange(len(order))
-        one = np.ones((len(order), self.p.hidden + 1), np.float32)  # the last column carries the biases
+        one = np.ones((len(order), self.p.hidden + 1), w["wc"].dtype)  # the last column carries the biases
         one[:, :-1] = states[order]
         turned = one.T
 
@@ -181,7 +186,7 @@ class Network:
         outer = np.vstack([w["wc"], w["bc"]]).T @ turned
         got = soft(outer, cls[order])
         within = np.concatenate([w["ww"], w["bw"][:, None]], axis=1)
-        inner = np.empty((self.width, len(order)), np.float32)
+        inner = np.empty((self.width, len(order)), one.dtype)
         for c, rows in slices:
             np.matmul(within[c].T, turned[:, rows], out=inner[:, rows])
         got += soft(inner, at[order])
@@ -218,7 +223,7 @@ class Network:
             for s in range(0, steps, p.unroll):
                 ids, want = before[s:s + p.unroll], target[s:s + p.unroll]
                 keep = (ids != end).astype(np.float32)
-                states, tape = self.run(h, ids, keep)
+                states, tape = self.turned(h, ids, keep)
                 h = states[-1]
                 for g in grads.values():
                     g.fill(0)
@@ -290,7 +295,7 @@ class Network:
                     target[: len(part), j] = part
                 ids = np.empty((steps, live), np.int64)
                 ids[0], ids[1:] = last[:live], np.maximum(target[:-1], 0)
-                states, _ = self.run(np.ascontiguousarray(h[:, :live]), ids)
+                states, _ = self.turned(np.ascontiguousarray(h[:, :live]), ids)
                 h, last = states[-1], target[-1]
                 inside = target >= 0
                 got, _ = self.log_p(states.transpose(0, 2, 1)[inside], target[inside])
