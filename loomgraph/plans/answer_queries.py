@@ -257,10 +257,10 @@ def locate(spark, d):
     return A.locate(names, spans, texts, "Supplier#000000003").unionByName(A.locate(names, spans, texts, "n7"))
 
 
-@query("WITH l AS (SELECT l_orderkey, max(l_shipdate) AS day, list_sort(list_distinct(list(l_partkey))) AS f FROM lineitem GROUP BY 1 ORDER BY day DESC, 1 LIMIT 50) SELECT l_orderkey AS commit_id, day, array_to_string(f, ',') AS files FROM l")
+@query("WITH l AS (SELECT l_orderkey, max(l_shipdate) AS day, list_sort(list_distinct(list(l_partkey))) AS f FROM lineitem GROUP BY 1 ORDER BY day DESC, 1 LIMIT 50) SELECT l_orderkey AS commit_id, strftime(day, '%Y-%m-%d') AS day, array_to_string(f, ',') AS files FROM l")
 def commit_activity(spark, d):
     lines = P.read(spark, d, "lineitem").select(c("l_orderkey").alias("commit_id"), c("l_shipdate").alias("at"), c("l_partkey").alias("file"))
-    return A.activity(lines, 50).select("commit_id", c("at").alias("day"), F.array_join(c("files").cast("array<string>"), ",").alias("files"))
+    return A.activity(lines, 50).select("commit_id", F.date_format("at", "yyyy-MM-dd").alias("day"), F.array_join(c("files").cast("array<string>"), ",").alias("files"))
 
 
 @query(f"WITH {N} SELECT round(avg(CASE WHEN node_type IN ('Module', 'Type', 'Function') THEN 1.0 ELSE 0 END), 9) AS fraction FROM nodes")
