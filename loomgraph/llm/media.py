@@ -9,12 +9,11 @@ in at most two bits are sure to meet, others may. Whatever meets is compared: a
 The matches of two images vote for a shift at a scale and a turn, in half-overlapping bins. ``votes``
 different table entries in one bin are a geometric consensus, hence a link. Components of the links follow.
 
-Every pair of images that shares an entry can vote. An entry with at most ``direct`` images gives all its
-pairs. One with more gives the pairs with its first image, which join a group of copies in one step;
-where it still spans several components, the pairs between these are looked for as well: two images
-need ``votes`` common entries, so each leaves out its ``votes`` - 1 most frequent ones when candidates are
-sought, and no pair is lost. Equal media are one node throughout. What travels is packed by bucket: a row is
-a block of entries, about 18 bytes each, not an entry.
+Every pair of images that shares an entry can vote, and every pair with a consensus is a link. An entry with
+at most ``direct`` images gives all its pairs at once. Where entries have more, pairs are first sought: two images
+need ``votes`` common entries, so each leaves out its ``votes`` - 1 most frequent ones, and no pair is lost; each
+pair found is then voted on by all entries of both, in tiles. Equal media are one node throughout. What travels is
+packed by bucket: a row is a block of entries, about 18 bytes each, not an entry.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm._common import durable, remove, shuffle_partitions, table
@@ -424,11 +423,14 @@ def met(dealt: DataFrame, p: Descriptors = DEFAULT) -> DataFrame:
     return dealt.mapInArrow(run, PACKED)
 
 
-def _bins(voted: DataFrame, p: Descriptors) -> DataFrame:
-    """Of votes (a, b, shift, votes): (a, b) with a consensus. A pair's votes meet once; pairs with too few in
-    all go before the bins."""
-    pairs = voted.groupBy("a", "b").agg(F.collect_list(F.struct("shift", "votes")).alias("s"), F.sum("votes").alias("all")).where(F.col("all") >= p.votes)
-    each = pairs.select("a", "b", F.explode("s").alias("s")).select("a", "b", "s.*")
+def _by_pair(voted: DataFrame) -> DataFrame:
+    """Votes (a, b, shift, votes) by pair: (a, b, s: shifts and votes, all: their sum)."""
+    return voted.groupBy("a", "b").agg(F.collect_list(F.struct("shift", "votes")).alias("s"), F.sum("votes").alias("all"))
+
+
+def _bins(pairs: DataFrame, p: Descriptors) -> DataFrame:
+    """Of pairs (a, b, s, all): (a, b) with a consensus. Pairs with too few votes in all go before the bins."""
+    each = pairs.where(F.col("all") >= p.votes).select("a", "b", F.explode("s").alias("s")).select("a", "b", "s.*")
     half = F.sequence(F.lit(0), F.lit(1))
     each = each.withColumn("oy", F.explode(half)).withColumn("ox", F.explode(half))
     dy, dx = F.shiftright("shift", 26).bitwiseAND(F.lit(2 * MID - 1)) - MID, F.col("shift").bitwiseAND(F.lit(2 * MID - 1)) - MID
@@ -438,67 +440,176 @@ def _bins(voted: DataFrame, p: Descriptors) -> DataFrame:
 
 
 SPOT = ["y", "x", "m", "d0", "d1"]
-#: Steps that join components at most, before all pairs are looked for; pairs a row that are few enough for that.
-JOINING, FEW_PAIRS = 1, 16
-
-
-def _matched(both: DataFrame, p: Descriptors) -> DataFrame:
-    """(a, b, shift, votes): one vote for each row of (a, b, *SPOT_a, *SPOT_b) within the Hamming distance."""
-    bits = F.bit_count(F.col("d0_a").bitwiseXOR(F.col("d0_b"))) + F.bit_count(F.col("d1_a").bitwiseXOR(F.col("d1_b")))
-    scale = {s: F.shiftright(f"m_{s}", 4) for s in "ab"}
-    turn = {s: F.col(f"m_{s}").bitwiseAND(F.lit(15)) for s in "ab"}
-    ratio = F.pow(F.lit(2.0), scale["b"] - scale["a"])
-    dy, dx = ((F.rint(F.col(f"{c}_b") - F.col(f"{c}_a") * ratio)).cast("long") + MID for c in "yx")
-    st = ((scale["b"] - scale["a"] + 8) * 16 + F.pmod(turn["b"] - turn["a"], F.lit(p.turns))).cast("long")
-    shift = F.shiftleft(st, 52).bitwiseOR(F.shiftleft(dy, 26)).bitwiseOR(dx)
-    return both.where(bits <= p.distance).groupBy("a", "b", shift.alias("shift")).agg(F.count(F.lit(1)).cast("int").alias("votes"))
-
-
-def _side(d: DataFrame, s: str, *keep: str) -> DataFrame:
-    return d.select(*keep, F.col("digest").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in SPOT))
-
-
-def _with_first(hot: DataFrame, p: Descriptors) -> DataFrame:
-    """Votes of every entry with the first of its token."""
-    lead = hot.groupBy("token").agg(F.min(F.struct("digest", *SPOT)).alias("l")).select("token", "l.*")
-    return _matched(_side(hot, "b", "token").join(_side(lead, "a", "token"), "token").where("a < b"), p)
-
-
-def _between(voted: DataFrame, hot: DataFrame, linked: DataFrame, classes: DataFrame, p: Descriptors) -> DataFrame:
-    """(a, b): ``linked`` and the links between components that tokens with many nodes still span. ``voted``: of
-    the other tokens. While all pairs would be many, components are first joined through one image of each; the
-    last step looks for all pairs that are left, so no link hangs on how many steps there were."""
-    apart = F.col("ra") != F.col("rb")
-    end = lambda d, s, *keep: d.select(*keep, F.col("digest").alias(s), F.col("root").alias(f"r{s}"))
-    common = F.row_number().over(Window.partitionBy("digest").orderBy(F.col("n").desc(), "token"))
-    for last in (*[False] * JOINING, True):
-        root = components(_as_ids(linked, classes), "media-first").withColumnRenamed("node", "id")
-        named = durable(classes.select("digest", "id").join(root, "id", "left").select("digest", F.coalesce("root", "id").alias("root")), "media-roots")
-        known = hot.join(named, "digest")
-        spread = known.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        still = durable(known.join(spread.select("token", "n"), "token").withColumn("r", common), "media-open")
-        rare = still.where(F.col("r") >= p.votes)
-        each = rare.groupBy("token").agg(F.count(F.lit(1)).cast("double").alias("k"))
-        rows, all_pairs = each.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum(F.col("k") * F.col("k")), F.lit(0))).first()
-        last = last or all_pairs <= FEW_PAIRS * rows
-        if last:
-            pairs = end(rare, "a", "token").join(end(rare, "b", "token"), "token").where(apart & F.expr("a < b")).select("a", "b")
-            # Pairs that have met in other tokens lack so many votes; they matter only if both have as many open entries.
-            many = still.groupBy("digest", "root").agg(F.count(F.lit(1)).alias("n"))
-            side = lambda s: many.select(F.col("digest").alias(s), F.col("root").alias(f"r{s}"), F.col("n").alias(f"n{s}"))
-            weak = voted.groupBy("a", "b").agg(F.sum("votes").alias("w")).join(side("a"), "a").join(side("b"), "b")
-            pairs = pairs.unionByName(weak.where(apart & (F.least("na", "nb") >= p.votes - F.col("w"))).select("a", "b"))
-        else:
-            one = rare.groupBy("token", "root").agg(F.min("digest").alias("digest"))
-            first = one.groupBy("token").agg(F.min(F.struct("root", "digest")).alias("f")).select("token", F.col("f.digest").alias("first"))
-            pairs = one.join(first, "token").where("digest <> first").select(F.least("digest", "first").alias("a"), F.greatest("digest", "first").alias("b"))
-        asked = durable(pairs.distinct(), "media-asked")
-        both = asked.join(_side(still, "a", "token"), "a").join(_side(still, "b", "token"), ["token", "b"])
-        more = _bins(_matched(both, p).unionByName(voted.join(asked, ["a", "b"], "left_semi").select("a", "b", "shift", "votes")), p)
-        less, linked = linked, durable(linked.unionByName(more).distinct(), "media-all-links")
-        remove(less, named, still, asked)
-        if last:
-            return linked
+#: Images of a token, or of a block of images, that are dealt together.
+TILE = 1024
+
+
+def _met_often(rows: DataFrame) -> DataFrame:
+    """Rows (lead, tile, token, digest) sorted by (lead, tile, token) in each partition -> pairs (a, b) with a
+    token in common, a < b; repeats go where rows are held together."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def pairs() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            names, node = _names_in_order(t["digest"].to_pylist())
+            group = np.column_stack([t["tile"].to_numpy(), t["token"].to_numpy()])
+            start = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1)])
+            found, size, known = [], 0, pa.array(names, pa.binary())
+            for i, j in zip(start.tolist(), [*start[1:].tolist(), len(node)]):
+                own = np.unique(node[i:j])
+                x, y = np.triu_indices(len(own), 1)
+                found.append(own[x] * len(names) + own[y])
+                size += len(x)
+                if size > 2_000_000:
+                    found, size = [np.unique(np.concatenate(found))], 0
+            code = np.unique(np.concatenate(found))
+            for s in range(0, len(code), 100_000):
+                part = code[s:s + 100_000]
+                yield pa.RecordBatch.from_arrays([known.take(pa.array(part // len(names))), known.take(pa.array(part % len(names)))], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held and sum(h.num_rows for h in held) > 200_000:
+                # Only whole tokens are let go.
+                end = lambda x, at: tuple(x.column(c)[at].as_py() for c in ("lead", "tile", "token"))
+                if end(held[-1], -1) != end(batch, 0):
+                    yield from pairs()
+                    held.clear()
+            held.append(batch)
+        if held:
+            yield from pairs()
+    return rows.select("lead", "tile", "token", "digest").mapInArrow(run, "a binary, b binary")
+
+
+def _consensus(pair: np.ndarray, shift: np.ndarray, votes: np.ndarray, p: Descriptors) -> np.ndarray:
+    """The pairs (numbers) of which one bin has enough of the votes (pair, shift, votes)."""
+    total = np.bincount(pair, weights=votes)
+    live = total[pair] >= p.votes
+    pair, shift, votes = pair[live], shift[live], votes[live]
+    dy, dx = (shift >> 26 & (2 * MID - 1)) - MID, (shift & (2 * MID - 1)) - MID
+    found = []
+    for oy in (0, p.bin // 2):
+        for ox in (0, p.bin // 2):
+            at = (shift >> 52) << 52 | ((dy + oy) // p.bin + MID) << 26 | ((dx + ox) // p.bin + MID)
+            order = np.lexsort((at, pair))
+            at, of = at[order], pair[order]
+            first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (of[1:] != of[:-1])]) if len(at) else np.zeros(0, np.int64)
+            if len(first):
+                found.append(of[first][np.add.reduceat(votes[order], first) >= p.votes])
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Of each of n nodes the smallest that the links (a, b) reach."""
+    root = np.arange(n)
+    while len(a):
+        x, y = root[a], root[b]
+        open_ = x != y
+        a, b = a[open_], b[open_]
+        np.minimum.at(root, np.maximum(x, y)[open_], np.minimum(x, y)[open_])
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
+def _tile_links(pairs: pa.Table, packs: pa.Table, p: Descriptors) -> pa.Table:
+    """The links among ``pairs`` (a, b, s: shifts and votes of other tokens, or null), which have a consensus with
+    the entries of ``packs`` (digest, e) that both have: (a, null, n) for each image a with n links, and (a, b, 0)
+    that join the same images as the links do, one for an image at most."""
+    named = packs["digest"].combine_chunks()
+    e = packs["e"].combine_chunks()
+    owner = np.repeat(np.arange(len(e)), pc.list_value_length(e).to_numpy())
+    e = e.flatten()
+    x = np.zeros(len(owner), ENTRY)
+    d0 = e.field("d0").to_numpy().view(np.uint64)
+    x["b0"], x["b1"], x["b2"] = d0 & np.uint64(0xFFFFFFFF), d0 >> np.uint64(32), e.field("d1").to_numpy()
+    x["y"], x["x"], x["m"] = (e.field(c).to_numpy() for c in "yxm")
+    kinds, kind = np.unique(e.field("token").to_numpy(), return_inverse=True)
+    key = owner * len(kinds) + kind
+    order = np.argsort(key)
+    x, key, kind = x[order], key[order], kind[order]
+    edge = np.searchsorted(key, np.arange(len(named) + 1) * len(kinds))
+    a, b = (pc.index_in(pairs[c], value_set=named).to_numpy() for c in "ab")
+    codes, number = np.unique(a * len(named) + b, return_inverse=True)
+    a, b = codes // len(named), codes % len(named)
+    # Votes of the other tokens.
+    s = pairs["s"].combine_chunks()
+    n = pc.fill_null(pc.list_value_length(s), 0).to_numpy()
+    s = s.flatten()
+    held_pair, held_shift, held_votes = np.repeat(number, n), s.field("shift").to_numpy(), s.field("votes").to_numpy()
+    order = np.argsort(held_pair, kind="stable")
+    held_pair, held_shift, held_votes = held_pair[order], held_shift[order], held_votes[order]
+    linked = []
+    size = edge[a + 1] - edge[a]
+    cut = np.r_[0, np.cumsum(size)]
+    i = 0
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(cut, cut[i] + 2_000_000, side="right")) - 1)
+        pair = np.repeat(np.arange(i, j), size[i:j])
+        left = np.arange(cut[j] - cut[i]) - (cut[pair] - cut[i]) + edge[a[pair]]
+        want = b[pair] * len(kinds) + kind[left]
+        right = np.minimum(np.searchsorted(key, want), len(key) - 1)
+        both = key[right] == want
+        pair, left, right = pair[both], x[left[both]], x[right[both]]
+        ok = near(left, right, p)
+        pair, shift = pair[ok], shifts(left[ok], right[ok], p)
+        u, v = np.searchsorted(held_pair, [i, j])
+        every = np.r_[pair, held_pair[u:v]] - i
+        got = _consensus(every, np.r_[shift, held_shift[u:v]], np.r_[np.ones(len(pair), np.int64), held_votes[u:v]], p)
+        linked.append(got + i)
+        i = j
+    at = np.concatenate(linked) if linked else np.zeros(0, np.int64)
+    a, b = a[at], b[at]
+    links, root = np.bincount(np.r_[a, b], minlength=len(named)), _roots(a, b, len(named))
+    own, far = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(named)))
+    left, right = named.take(pa.array(np.r_[own, root[far]])), named.take(pa.array(far))
+    return pa.table({"a": left, "b": pa.concat_arrays([pa.nulls(len(own), right.type), right]), "n": np.r_[links[own], np.zeros(len(far), np.int64)]})
+
+
+def _links(voted: DataFrame, hot: DataFrame, p: Descriptors) -> tuple[DataFrame, DataFrame]:
+    """All links: (digest, n), n links of an image, and (a, b) that join the same images as the links do. ``hot``:
+    the entries of tokens with many nodes; ``voted``: of the other tokens. A group of copies has links that grow
+    with its square, so these are counted where they are found and only what joins the group is sent on.
+
+    A pair of images with such entries is decided in one tile, any other by ``voted`` alone. A pair without votes of other tokens needs ``votes`` common ones, so it meets in one that is not among the
+    ``votes`` - 1 most frequent of either. These pairs and those with votes of other tokens are asked for, each in
+    the tile of its two images' blocks, where all entries of both are.
+    """
+    spark = hot.sparkSession
+    parts = shuffle_partitions(spark)
+    n = hot.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    entry = F.struct((-F.col("n")).alias("often"), "token", *SPOT)
+    packs = durable(hot.join(n, "token").groupBy("digest").agg(F.sort_array(F.collect_list(entry)).alias("e")), "media-packs")
+    rare = packs.where(F.size("e") >= p.votes).select("digest", F.explode(F.slice("e", F.lit(p.votes), F.size("e"))["token"]).alias("token"))
+    # Tokens with the same smallest image are dealt together: copies share many, and each pair is sent on once.
+    each = rare.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("long").alias("k"), F.min("digest").alias("lead"), F.max("digest").alias("most")).where("lead < most")
+    both = rare.join(each.drop("most"), "token").withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("k")))
+    both = both.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    tiled = both.select("lead", (F.least("chunk", "other") * F.col("k") + F.greatest("chunk", "other")).alias("tile"), "token", "digest")
+    met_rare = _met_often(tiled.repartition(parts, "lead", "tile").sortWithinPartitions("lead", "tile", "token"))
+    size = lambda c: packs.select(F.col("digest").alias(c), F.size("e").alias(f"n{c}"))
+    known = _by_pair(voted).join(size("a"), "a", "left").join(size("b"), "b", "left").withColumn("open", F.col("na").isNotNull() & F.col("nb").isNotNull())
+    known = durable(known.where(F.col("all") + F.when(F.col("open"), F.least("na", "nb")).otherwise(0) >= p.votes), "media-known")
+    weak = known.where("open").select("a", "b", "s")
+    images = packs.count()
+    blocks = max(-(-images // TILE), int(np.ceil(np.sqrt(2 * parts))))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    pairs = met_rare.withColumn("s", F.lit(None).cast(weak.schema["s"].dataType)).unionByName(weak)
+    asked = durable(pairs.withColumn("tile", F.least(block("a"), block("b")) * blocks + F.greatest(block("a"), block("b"))), "media-asked")
+    needed = asked.select(F.col("tile").alias("of"), F.explode(F.array("a", "b")).alias("digest")).distinct().join(packs, "digest")
+    run = lambda left, right: _tile_links(left, right, p)
+    often = durable(asked.groupBy("tile").cogroup(needed.groupBy("of")).applyInArrow(run, "a binary, b binary, n long"), "media-often")
+    seldom = durable(_bins(known.where("not open"), p), "media-links")
+    remove(packs, asked, known)
+    counts = _degrees(seldom).unionByName(often.where("b is null").select(F.col("a").alias("digest"), "n")).groupBy("digest").agg(F.sum("n").alias("n"))
+    return counts, seldom.unionByName(often.where("b is not null").select("a", "b"))
+
+
+def _degrees(links: DataFrame) -> DataFrame:
+    """(digest, n) of the ends of distinct links (a, b)."""
+    return links.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _as_ids(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -510,8 +621,7 @@ def copies(media: DataFrame, p: Descriptors = DEFAULT, html: bool = False) -> Da
     """(id, copies, links, component_id) of every row of ``media`` (id long, media).
 
     component_id is the smallest id that links reach, the row's own included; copies counts the rows with
-    equal media, this one included; links counts the different media linked with this one's (in a group
-    that shares entries with more than ``direct`` images, those that span it). Null media stand alone;
+    equal media, this one included; links counts the different media linked with this one's, all of them. Null media stand alone;
     empty and damaged media link only with equal ones. A null id is kept, with itself null; rows that
     repeat an id are taken as one image in the result and stay repeated. Extra columns are not read. An empty
     table gives no rows.
@@ -524,19 +634,17 @@ def copies(media: DataFrame, p: Descriptors = DEFAULT, html: bool = False) -> Da
     found = durable(met(filed(known, buckets, p, html).repartitionById(buckets, F.col("bucket")), p), "media-votes")
     voted = found.where("kind = 0").select("a", "b", "shift", "votes")
     hot = found.where("kind = 1").select(F.col("a").alias("digest"), "token", *SPOT).dropDuplicates(["token", "digest"])
+    hot = durable(hot, "media-common")
     if hot.isEmpty():
-        linked = durable(_bins(voted, p), "media-links")
+        linked = durable(_bins(_by_pair(voted), p), "media-links")
+        degree = _degrees(linked)
     else:
-        hot = durable(hot, "media-common")
-        linked = durable(_bins(voted.unionByName(_with_first(hot, p)), p), "media-links")
-        linked = _between(voted, hot, linked, classes, p)
-    ids = durable(_as_ids(linked, classes), "media-ids")
+        degree, linked = _links(voted, hot, p)
     # Rows that share an id are one image: their media are linked through it.
     same = known.select("id", "digest").join(classes.select("digest", F.col("id").alias("first")), "digest")
-    edges = ids.unionByName(same.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")))
+    edges = _as_ids(linked, classes).unionByName(same.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")))
     roots = components(edges, "media")
-    degree = ids.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count(F.lit(1)).alias("links"))
-    by_class = classes.select("digest", F.col("id").alias("first"), "rows").join(degree, "first", "left").select("digest", "rows", "links")
+    by_class = classes.select("digest", "rows").join(degree.withColumnRenamed("n", "links"), "digest", "left")
     out = marked.select("id", "digest").join(by_class, "digest", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
     return out.select("id", F.coalesce(F.when(F.col("id").isNotNull(), F.col("rows")), F.lit(1)).cast("long").alias("copies"), F.coalesce(F.when(F.col("id").isNotNull(), F.col("links")), F.lit(0)).cast("long").alias("links"), F.coalesce("root", "id").alias("component_id"))
 

@@ -617,6 +617,36 @@ def test_media_links_across_keys_that_others_crowd(spark):
     assert {r.id: r.component_id for r in got.collect()} == want
 
 
+def test_media_counts_every_link_in_groups_of_near_copies(spark):
+    """Near copies share entries that many have: links are those of all pairs, not what spans the group."""
+    rng = np.random.default_rng(9)
+    p = dataclasses.replace(media.PAGES, direct=4)
+    shared = [glyphs(rng, 8, 12, 4) for _ in range(9)]
+    images = {}
+    for i in range(30):
+        parts = [shared[k] for k in range(9) if k != i % 9][: 3 + i % 6]
+        parts.insert(i % 3, glyphs(rng, 2 + i % 4, 12, 4))
+        images[i] = np.concatenate(parts)
+    images |= {100 + i: glyphs(rng, 30, 12, 4) for i in range(3)}
+    rows = [(i, media.encode_pgm(m)) for i, m in images.items()]
+    rows = sorted(rows, key=lambda r: hashlib.md5(r[1]).digest())  # votes go from the smaller digest to the greater
+    found = {i: media.entries(*media.describe([images[i]], p)) for i, _ in rows}
+    want = Counter()
+    for x, (i, _) in enumerate(rows):
+        for j, _ in rows[x + 1:]:
+            both, u, v = np.intersect1d(media.token(found[i]), media.token(found[j]), return_indices=True)
+            a, b = found[i][u], found[j][v]
+            ok = media.near(a, b, p)
+            s = media.shifts(a[ok], b[ok], p)
+            dy, dx = (s >> 26) % (2 * media.MID) - media.MID, s % (2 * media.MID) - media.MID
+            bins = [Counter(zip(s >> 52, (dy + oy) // p.bin, (dx + ox) // p.bin)) for oy in (0, p.bin // 2) for ox in (0, p.bin // 2)]
+            if max(max(c.values(), default=0) for c in bins) >= p.votes:
+                want.update((i, j))
+    got = {r.id: r.links for r in media.copies(as_media(spark, rows).repartition(5), p).collect()}
+    assert got == {i: want[i] for i in images}
+    assert sum(want.values()) > 2 * len(images) and want[100] == 0
+
+
 def test_media_finds_crops_edits_and_noise(spark):
     rng = np.random.default_rng(2)
     ims = [glyphs(rng, 24, 16, 10) for _ in range(6)]
