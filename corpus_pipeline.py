@@ -24,7 +24,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: 5-word shingles, similarity 0.8 or more."""
+    """One document of each group of near duplicates stays: SimHash fingerprints of 5-word shingles (and MinHash
+    keys) say what is compared, and the sets of shingles are 0.8 alike or more."""
     return simhash.keep_one(docs)
 
 

@@ -12,8 +12,9 @@ A key with more than ``tile`` fingerprints (a large group of near copies) is dea
 fingerprints are put in chunks by hash and each pair of chunks is a task's work of bounded size, so
 nothing is dropped and no task holds the whole key. Components of the links follow, on all machines.
 
-``keep_one`` asks for a Jaccard similarity instead: MinHash bands only say which sets of shingles to compare,
-and a link is made after the sets themselves are compared.
+``keep_one`` asks for a Jaccard similarity. Sets of shingles whose fingerprints are near enough are found as above
+and are compared; as a pair at exactly the least similarity differs in about ten bits, MinHash bands name further
+sets to compare. A link is made after the sets themselves are compared.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ CONTRACT = SimHash()
 @dataclass(frozen=True)
 class Similar:
     """``at_least``: the Jaccard similarity of two shingle sets that links them, as a fraction (numerator,
-    denominator). Sets are candidates if one of ``bands`` groups of ``rows`` least hashes agrees: of pairs at
+    denominator). Sets are candidates if their fingerprints, of distinct shingles, are linked by ``prints``, or if one of ``bands`` groups of ``rows`` least hashes agrees: of pairs at
     similarity s, (1 - s ** rows) ** bands are never compared, 5 in a million at 0.8, 7 in a thousand million
     at 0.85. ``tile``: sets of a group of candidates that are compared at once."""
 
@@ -67,6 +68,7 @@ class Similar:
     bands: int = 40
     rows: int = 6
     tile: int = 512
+    prints: SimHash = CONTRACT
 
 
 SIMILAR = Similar()
@@ -95,7 +97,11 @@ def shingles(text: str | None, size: int) -> np.ndarray:
 
 def fingerprint(text: str | None, p: SimHash = CONTRACT) -> np.ndarray:
     """The ``p.words`` words of a text's fingerprint; all zero if it has no words."""
-    h = shingles(text, p.shingle)
+    return majority(shingles(text, p.shingle), p)
+
+
+def majority(h: np.ndarray, p: SimHash) -> np.ndarray:
+    """The ``p.words`` words of the fingerprint of the hashes ``h``."""
     if not len(h):
         return np.zeros(p.words, np.uint64)
     out = np.empty(p.words, np.uint64)
@@ -264,23 +270,26 @@ def band_keys(distinct: np.ndarray, p: Similar = SIMILAR) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, p: Similar, also: tuple[str, ...]) -> DataFrame:
-    """(*also, node, keys) of every row of ``docs`` (text, *also): node is the digest of its set of shingles,
-    keys those of its bands; texts without words have none."""
+    """(*also, node, keys, f0 ..) of every row of ``docs`` (text, *also): node is the digest of its set of shingles,
+    keys those of its bands (texts without words have none), f0 .. the words of the set's fingerprint."""
+    words = [f"f{k}" for k in range(p.prints.words)]
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            nodes, keys, size = [], [], []
+            nodes, keys, size, prints = [], [], [], []
             for t in batch.column("text"):
                 h = np.unique(shingles(t.as_py(), p.shingle))
                 nodes.append(xxhash.xxh64_intdigest(h.tobytes()))
                 size.append(p.bands if len(h) else 0)
+                prints.append(majority(h, p.prints))
                 if len(h):
                     keys.append(band_keys(h, p))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *size]), pa.int32()), pa.array(flat.view(np.int64)))
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in also), pa.array(np.array(nodes, np.uint64).view(np.int64)), lists], [*also, "node", "keys"])
+            cols = np.array(prints, np.uint64).reshape(len(prints), len(words)).view(np.int64)
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in also), pa.array(np.array(nodes, np.uint64).view(np.int64)), lists, *(pa.array(cols[:, k]) for k in range(len(words)))], [*also, "node", "keys", *words])
         return step
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in also]
-    return map_arrow(docs.select("text", *also), make, ", ".join([*kinds, "node long", "keys array<long>"]))
+    return map_arrow(docs.select("text", *also), make, ", ".join([*kinds, "node long", "keys array<long>", *(f"{w} long" for w in words)]))
 
 
 def set_forest(sets: list[np.ndarray], p: Similar = SIMILAR) -> list[tuple[int, int]]:
@@ -340,15 +349,16 @@ def _verified_links(rows: DataFrame, p: Similar) -> DataFrame:
 
 def link_sets(nodes: DataFrame, texts: DataFrame, p: Similar = SIMILAR) -> DataFrame:
     """(a, b): nodes linked directly or through others by sets as similar as ``p`` asks. ``nodes``: (node,
-    keys), one row a set; ``texts``: (node, text), one row or more a set.
+    keys, f0 ..), one row a set; ``texts``: (node, text), one row or more a set.
 
-    Sets that share a key, or that others connect by keys, are a group; all pairs of a group are compared
+    Sets with near fingerprints or that share a key, or that others connect so, are a group; all pairs of a group are compared
     on their whole sets. A group with more than ``tile`` sets is dealt as pairs of chunks.
     """
     keyed = nodes.select(F.explode("keys").alias("key"), "node")
     shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
     meet = keyed.join(shared, "key").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    rough = durable(components(meet, "candidates"), "groups")
+    alike = link_fingerprints(nodes.where(F.size("keys") > 0).select("node", *(f"f{k}" for k in range(p.prints.words))), p.prints)
+    rough = durable(components(meet.unionByName(alike), "candidates"), "groups")
     count = rough.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(p.tile)).cast("long").alias("n"))
     both = rough.join(count, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("n")))
     both = both.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
@@ -370,7 +380,7 @@ def keep_one(docs: DataFrame, p: Similar = SIMILAR) -> DataFrame:
     keyed = docs.withColumn(row, F.xxhash64(*plain)).withColumn(key, F.coalesce(F.col("doc_id"), F.lit(-1)))
     made = durable(shingle_sets(keyed, p, ("doc_id", row)), "shingle-sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", f"`{row}`")).alias("first")
-    nodes = durable(made.groupBy("node").agg(F.first("keys").alias("keys"), first), "nodes")
+    nodes = durable(made.groupBy("node").agg(*(F.first(c).alias(c) for c in ("keys", *(f"f{k}" for k in range(p.prints.words)))), first), "nodes")
     pick = nodes.where(F.size("keys") > 0).select("node", F.coalesce(F.col("first.doc_id"), F.lit(-1)).alias(key), F.col(f"first.{row}").alias(row))
     texts = keyed.select(key, row, "text").join(pick, [key, row]).select("node", "text")
     linked = components(link_sets(nodes, texts, p), "links")

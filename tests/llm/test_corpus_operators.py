@@ -140,6 +140,19 @@ def test_keep_one_keeps_columns_and_one_of_each(spark, odd, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_keep_one_compares_what_fingerprints_bring_together(spark):
+    """With bands that no two of these sets share, near copies meet by their fingerprints alone."""
+    words = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(words), " ".join([*words[:900], "other", *words[901:]]), " ".join(f"v{i}" for i in range(2000))]
+    p = simhash.Similar(bands=1, rows=4000)
+    sets = [np.unique(simhash.shingles(t, p.shingle)) for t in texts]
+    assert len({simhash.band_keys(s, p)[0] for s in sets}) == 3
+    a, b = (int(simhash.majority(s, p.prints)[0]) for s in sets[:2])
+    assert (a ^ b).bit_count() <= p.prints.distance
+    got = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), p)
+    assert sorted(r.doc_id for r in got.collect()) == [0, 2]
+
+
 def test_keep_one_equals_brute_force_on_shingle_sets(spark, sf):
     rows = [(r.doc_id, r.text) for r in docs(spark, sf).select("doc_id", "text").collect()]
     base = [f"w{i}" for i in range(400)]
