@@ -440,47 +440,30 @@ def _bins(pairs: DataFrame, p: Descriptors) -> DataFrame:
 
 
 SPOT = ["y", "x", "m", "d0", "d1"]
-#: Images of a token, or of a block of images, that are dealt together.
-TILE = 1024
-
-
-def _met_often(rows: DataFrame) -> DataFrame:
-    """Rows (lead, tile, token, digest) sorted by (lead, tile, token) in each partition -> pairs (a, b) with a
-    token in common, a < b; repeats go where rows are held together."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def pairs() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held)
-            names, node = _names_in_order(t["digest"].to_pylist())
-            group = np.column_stack([t["tile"].to_numpy(), t["token"].to_numpy()])
-            start = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1)])
-            found, size, known = [], 0, pa.array(names, pa.binary())
-            for i, j in zip(start.tolist(), [*start[1:].tolist(), len(node)]):
-                own = np.unique(node[i:j])
-                x, y = np.triu_indices(len(own), 1)
-                found.append(own[x] * len(names) + own[y])
-                size += len(x)
-                if size > 2_000_000:
-                    found, size = [np.unique(np.concatenate(found))], 0
-            code = np.unique(np.concatenate(found))
-            for s in range(0, len(code), 100_000):
-                part = code[s:s + 100_000]
-                yield pa.RecordBatch.from_arrays([known.take(pa.array(part // len(names))), known.take(pa.array(part % len(names)))], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held and sum(h.num_rows for h in held) > 200_000:
-                # Only whole tokens are let go.
-                end = lambda x, at: tuple(x.column(c)[at].as_py() for c in ("lead", "tile", "token"))
-                if end(held[-1], -1) != end(batch, 0):
-                    yield from pairs()
-                    held.clear()
-            held.append(batch)
-        if held:
-            yield from pairs()
-    return rows.select("lead", "tile", "token", "digest").mapInArrow(run, "a binary, b binary")
+#: Images of a block; those of two blocks are compared in one tile.
+TILE = 512
+
+
+def _sought(node: np.ndarray, kind: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
+    """The pairs (a * n + b, a < b) of n nodes that have a token in common, of entries (node, kind: the token's
+    number); ``block``: of each node. Where there are two blocks, only pairs across them."""
+    order = np.lexsort((node, kind))
+    node, kind = node[order], kind[order]
+    start = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]]) if len(kind) else np.zeros(0, np.int64)
+    across = len(np.unique(block)) > 1
+    found, size = [np.zeros(0, np.int64)], 0
+    for i, j in zip(start.tolist(), [*start[1:].tolist(), len(node)]):
+        own = node[i:j]
+        x, y = np.triu_indices(len(own), 1)
+        a, b = own[x], own[y]
+        if across:
+            other = block[a] != block[b]
+            a, b = a[other], b[other]
+        found.append(a * n + b)
+        size += len(a)
+        if size > 2_000_000:
+            found, size = [np.unique(np.concatenate(found))], 0
+    return np.unique(np.concatenate(found))
 
 
 def _consensus(pair: np.ndarray, shift: np.ndarray, votes: np.ndarray, p: Descriptors) -> np.ndarray:
@@ -515,30 +498,36 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def _tile_links(pairs: pa.Table, packs: pa.Table, p: Descriptors) -> pa.Table:
-    """The links among ``pairs`` (a, b, s: shifts and votes of other tokens, or null), which have a consensus with
-    the entries of ``packs`` (digest, e) that both have: (a, null, n) for each image a with n links, and (a, b, 0)
-    that join the same images as the links do, one for an image at most."""
+    """The links of a tile: ``pairs`` (a, b, s: shifts and votes of other tokens) and those that the entries of
+    ``packs`` (digest, block, e) bring together, if they have a consensus with the entries that both have: (a, null, n)
+    for each image a with n links, and (a, b, 0) that join the same images as the links do, one for an image at most."""
+    packs = packs.sort_by("digest")
     named = packs["digest"].combine_chunks()
     e = packs["e"].combine_chunks()
-    owner = np.repeat(np.arange(len(e)), pc.list_value_length(e).to_numpy())
+    long = pc.list_value_length(e).to_numpy()
+    owner = np.repeat(np.arange(len(e)), long)
+    rare = np.arange(len(owner)) - np.repeat(np.cumsum(long) - long, long) >= p.votes - 1
     e = e.flatten()
     x = np.zeros(len(owner), ENTRY)
     d0 = e.field("d0").to_numpy().view(np.uint64)
     x["b0"], x["b1"], x["b2"] = d0 & np.uint64(0xFFFFFFFF), d0 >> np.uint64(32), e.field("d1").to_numpy()
     x["y"], x["x"], x["m"] = (e.field(c).to_numpy() for c in "yxm")
     kinds, kind = np.unique(e.field("token").to_numpy(), return_inverse=True)
+    codes = _sought(owner[rare], kind[rare], packs["block"].to_numpy(), len(named))
     key = owner * len(kinds) + kind
     order = np.argsort(key)
     x, key, kind = x[order], key[order], kind[order]
     edge = np.searchsorted(key, np.arange(len(named) + 1) * len(kinds))
-    a, b = (pc.index_in(pairs[c], value_set=named).to_numpy() for c in "ab")
-    codes, number = np.unique(a * len(named) + b, return_inverse=True)
-    a, b = codes // len(named), codes % len(named)
     # Votes of the other tokens.
-    s = pairs["s"].combine_chunks()
-    n = pc.fill_null(pc.list_value_length(s), 0).to_numpy()
-    s = s.flatten()
-    held_pair, held_shift, held_votes = np.repeat(number, n), s.field("shift").to_numpy(), s.field("votes").to_numpy()
+    held_pair = held_shift = held_votes = np.zeros(0, np.int64)
+    if pairs.num_rows:
+        a, b = (pc.index_in(pairs[c], value_set=named).to_numpy().astype(np.int64) for c in "ab")
+        s = pairs["s"].combine_chunks()
+        held_pair, s = np.repeat(a * len(named) + b, pc.list_value_length(s).to_numpy()), s.flatten()
+        held_shift, held_votes = s.field("shift").to_numpy(), s.field("votes").to_numpy()
+        codes = np.union1d(codes, held_pair)
+        held_pair = np.searchsorted(codes, held_pair)
+    a, b = codes // len(named), codes % len(named)
     order = np.argsort(held_pair, kind="stable")
     held_pair, held_shift, held_votes = held_pair[order], held_shift[order], held_votes[order]
     linked = []
@@ -573,32 +562,28 @@ def _links(voted: DataFrame, hot: DataFrame, p: Descriptors) -> tuple[DataFrame,
     the entries of tokens with many nodes; ``voted``: of the other tokens. A group of copies has links that grow
     with its square, so these are counted where they are found and only what joins the group is sent on.
 
-    A pair of images with such entries is decided in one tile, any other by ``voted`` alone. A pair without votes of other tokens needs ``votes`` common ones, so it meets in one that is not among the
-    ``votes`` - 1 most frequent of either. These pairs and those with votes of other tokens are asked for, each in
-    the tile of its two images' blocks, where all entries of both are.
+    A pair of images with such entries is decided in one tile, any other by ``voted`` alone. A pair without votes of
+    other tokens needs ``votes`` common ones, so it meets in one that is not among the ``votes`` - 1 most frequent of
+    either. These pairs and those with votes of other tokens are looked at in the tile of their two images' blocks,
+    where all entries of both are.
     """
-    spark = hot.sparkSession
-    parts = shuffle_partitions(spark)
     n = hot.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     entry = F.struct((-F.col("n")).alias("often"), "token", *SPOT)
     packs = durable(hot.join(n, "token").groupBy("digest").agg(F.sort_array(F.collect_list(entry)).alias("e")), "media-packs")
     rare = packs.where(F.size("e") >= p.votes).select("digest", F.explode(F.slice("e", F.lit(p.votes), F.size("e"))["token"]).alias("token"))
-    # Tokens with the same smallest image are dealt together: copies share many, and each pair is sent on once.
-    each = rare.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("long").alias("k"), F.min("digest").alias("lead"), F.max("digest").alias("most")).where("lead < most")
-    both = rare.join(each.drop("most"), "token").withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("k")))
-    both = both.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    tiled = both.select("lead", (F.least("chunk", "other") * F.col("k") + F.greatest("chunk", "other")).alias("tile"), "token", "digest")
-    met_rare = _met_often(tiled.repartition(parts, "lead", "tile").sortWithinPartitions("lead", "tile", "token"))
+    # Blocks in which a token occurs, and from there those that an image is compared with: no pair is written.
+    blocks = max(1, -(-packs.count() // TILE))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    tile = lambda a, b: F.least(a, b) * blocks + F.greatest(a, b)
+    each = rare.groupBy("token").agg(F.collect_set(block("digest")).alias("met"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    reach = rare.join(each.select("token", "met"), "token").groupBy("digest").agg(F.array_distinct(F.flatten(F.collect_set("met"))).alias("met"))
     size = lambda c: packs.select(F.col("digest").alias(c), F.size("e").alias(f"n{c}"))
     known = _by_pair(voted).join(size("a"), "a", "left").join(size("b"), "b", "left").withColumn("open", F.col("na").isNotNull() & F.col("nb").isNotNull())
     known = durable(known.where(F.col("all") + F.when(F.col("open"), F.least("na", "nb")).otherwise(0) >= p.votes), "media-known")
-    weak = known.where("open").select("a", "b", "s")
-    images = packs.count()
-    blocks = max(-(-images // TILE), int(np.ceil(np.sqrt(2 * parts))))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    pairs = met_rare.withColumn("s", F.lit(None).cast(weak.schema["s"].dataType)).unionByName(weak)
-    asked = durable(pairs.withColumn("tile", F.least(block("a"), block("b")) * blocks + F.greatest(block("a"), block("b"))), "media-asked")
-    needed = asked.select(F.col("tile").alias("of"), F.explode(F.array("a", "b")).alias("digest")).distinct().join(packs, "digest")
+    asked = durable(known.where("open").select("a", "b", "s", tile(block("a"), block("b")).alias("tile")), "media-asked")
+    places = reach.select("digest", F.explode("met").alias("other")).select(tile(block("digest"), F.col("other")).alias("of"), "digest")
+    places = places.unionByName(asked.select(F.col("tile").alias("of"), F.explode(F.array("a", "b")).alias("digest"))).distinct()
+    needed = places.join(packs, "digest").withColumn("block", block("digest"))
     run = lambda left, right: _tile_links(left, right, p)
     often = durable(asked.groupBy("tile").cogroup(needed.groupBy("of")).applyInArrow(run, "a binary, b binary, n long"), "media-often")
     seldom = durable(_bins(known.where("not open"), p), "media-links")

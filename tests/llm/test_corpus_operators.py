@@ -630,9 +630,11 @@ def test_media_links_across_keys_that_others_crowd(spark):
     assert {r.id: r.component_id for r in got.collect()} == want
 
 
-def test_media_counts_every_link_in_groups_of_near_copies(spark):
+@pytest.mark.parametrize("tile", [512, 8])
+def test_media_counts_every_link_in_groups_of_near_copies(spark, monkeypatch, tile):
     """Near copies share entries that many have: links are those of all pairs, not what spans the group."""
     rng = np.random.default_rng(9)
+    monkeypatch.setattr(media, "TILE", tile)
     p = dataclasses.replace(media.PAGES, direct=4)
     shared = [glyphs(rng, 8, 12, 4) for _ in range(9)]
     images = {}
