@@ -25,9 +25,11 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from io import BytesIO
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +43,8 @@ END = b""
 class Gru:
     """``train_rows`` bounds the documents that give the network its start (first by the hash of their id); what
     it learns after that, in ``rounds`` rounds, and all counts are of all training documents. ``lanes`` rows are
-    learned side by side, ``block`` tokens are held at once, and a task learns about ``share`` tokens or one
+    learned side by side, ``block`` tokens are held at once, of which ``near``
+    go through a softmax together so that its numbers stay in a core's cache, and a task learns about ``share`` tokens or one
     partition of the input, whichever is more."""
 
     outputs: int = 3968
@@ -60,38 +63,46 @@ class Gru:
     share: int = 1_000_000
     together: int = 512
     window: int = 64
+    near: int = 4096
 
     @property
     def size(self) -> int:
         return self.outputs + self.buckets
 
-
-DEFAULT = Gru()
+    @property
+    def kind(self) -> np.dtype:
+        """The type that ids are stored as."""
+        return np.dtype("<u2" if self.size < 1 << 16 else "<i4")
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode().lower().split() if text else []
+DEFAULT = Gru()
 
 
 def bucket_of(word: bytes, buckets: int) -> int:
     return zlib.crc32(word[:1] + word[-2:]) % buckets
 
 
-def _add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray, often: int = 12) -> None:
+def _add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray, often: int = 48) -> None:
     """Adds each of ``rows`` to the row of ``to`` that ``at`` names, repeats included: ids that stand ``often`` or
     more times by a product with ones, the others occurrence by occurrence."""
     order = np.argsort(at.astype(np.int16 if len(to) < 1 << 15 else np.int64), kind="stable")
     ids = at[order]
-    rows = rows[order]
     first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
     size = np.diff(np.r_[first, len(ids)])
-    many = size >= often
-    for i, k in zip(first[many].tolist(), size[many].tolist()):
-        to[ids[i]] += np.ones(k, rows.dtype) @ rows[i:i + k]
-    first, size = first[~many], size[~many]
-    for k in range(often - 1):
-        first, size = first[size > k], size[size > k]
-        to[ids[first]] += rows[first + k]
+    by = np.argsort(-size, kind="stable")
+    first, size = first[by], size[by]
+    more = np.searchsorted(-size, -np.arange(often)).tolist()  # how many ids stand more than 0, 1, ... times
+    many = more[-1]
+    ones = np.ones(size[0], rows.dtype)
+    for i, k in zip(first[:many].tolist(), size[:many].tolist()):
+        to[ids[i]] += ones[:k] @ rows.take(order[i:i + k], axis=0)
+    first = first[many:]
+    total = rows.take(order[first], axis=0)
+    for k in range(1, often - 1):
+        if more[k] == many:
+            break
+        total[: more[k] - many] += rows.take(order[first[: more[k] - many] + k], axis=0)
+    to[ids[first]] += total
 
 
 class Network:
@@ -137,19 +148,21 @@ class Network:
         w, n = self.parts, self.p.hidden
         half = np.repeat(np.float32([0.5, 1.0]), [2 * n, n])  # sigmoid(a) is (1 + tanh(a / 2)) / 2
         u = np.ascontiguousarray((w["u"] * half).T)
-        xs = np.ascontiguousarray(((w["x"] + w["b"]) * half)[ids].transpose(0, 2, 1))
+        inputs = (w["x"] + w["b"]) * half
         states, tape = np.empty((len(ids), n, ids.shape[1]), np.float32), []
+        x = np.empty((3 * n, ids.shape[1]), inputs.dtype)
         for t in range(len(ids)):
             hp = h if keep is None else h * keep[t]
             g = u @ hp
+            x[...] = inputs.take(ids[t], axis=0).T
             gates = g[: 2 * n]
-            gates += xs[t, : 2 * n]
+            gates += x[: 2 * n]
             np.tanh(gates, out=gates)
             gates *= 0.5
             gates += 0.5
             z, r = g[:n], g[n:2 * n]
             new = r * g[2 * n:]
-            new += xs[t, 2 * n:]
+            new += x[2 * n:]
             np.tanh(new, out=new)
             h = states[t]
             np.subtract(hp, new, out=h)
@@ -162,17 +175,16 @@ class Network:
     def log_p(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log of each target's probability given its state (rows x hidden); with ``grads``, adds the
         gradients of the summed loss there and returns the states' gradient."""
-        w = self.parts
+        w, n = self.parts, self.p.hidden
         cls, at = np.divmod(targets, self.width)
         order = np.argsort(cls.astype(np.int16), kind="stable")  # by class: each class's rows are a slice
-        edges = np.searchsorted(cls[order], np.arange(self.p.classes + 1)).tolist()
-        slices = [(c, slice(edges[c], edges[c + 1])) for c in range(self.p.classes) if edges[c] < edges[c + 1]]
-        here = np.arange(len(order))
-        one = np.ones((len(order), self.p.hidden + 1), w["wc"].dtype)  # the last column carries the biases
-        one[:, :-1] = states[order]
-        turned = one.T
+        cls, at = cls[order], at[order]
+        edges = np.searchsorted(cls, np.arange(self.p.classes + 1)).tolist()
+        outside = np.vstack([w["wc"], w["bc"]]).T
+        within = np.concatenate([w["ww"], w["bw"][:, None]], axis=1).transpose(0, 2, 1)
 
         def soft(e, want):
+            here = np.arange(len(want))
             e -= e.max(axis=0)
             got = e[want, here]
             np.exp(e, out=e)
@@ -183,28 +195,34 @@ class Network:
                 e[want, here] -= 1
             return got
 
-        outer = np.vstack([w["wc"], w["bc"]]).T @ turned
-        got = soft(outer, cls[order])
-        within = np.concatenate([w["ww"], w["bw"][:, None]], axis=1)
-        inner = np.empty((self.width, len(order)), one.dtype)
-        for c, rows in slices:
-            np.matmul(within[c].T, turned[:, rows], out=inner[:, rows])
-        got += soft(inner, at[order])
-        out, d = np.empty_like(got), None
-        out[order] = got
-        if grads is not None:
-            g = outer @ one
-            grads["wc"] += g[:, :-1].T
-            grads["bc"] += g[:, -1]
-            by = w["wc"] @ outer
-            for c, rows in slices:
-                e = inner[:, rows]
-                g = e @ one[rows]
-                grads["ww"][c] += g[:, :-1].T
-                grads["bw"][c] += g[:, -1]
-                by[:, rows] += w["ww"][c] @ e
-            d = np.empty_like(by.T, order="C")
-            d[order] = by.T
+        out = np.empty(len(order), w["wc"].dtype)
+        d = None if grads is None else np.empty((len(order), n), out.dtype)
+        for a in range(0, len(order), self.p.near):
+            rows = order[a:a + self.p.near]
+            one = np.ones((len(rows), n + 1), out.dtype)  # the last column carries the biases
+            one[:, :-1] = states.take(rows, axis=0)
+            own, ends = cls[a:a + len(rows)], a + len(rows)
+            slices = [(c, slice(max(edges[c], a) - a, min(edges[c + 1], ends) - a)) for c in range(own[0], own[-1] + 1) if edges[c] < edges[c + 1]]
+            outer = outside @ one.T
+            got = soft(outer, own)
+            inner = np.empty((self.width, len(rows)), out.dtype)
+            for c, part in slices:
+                np.matmul(within[c], one[part].T, out=inner[:, part])
+            got += soft(inner, at[a:ends])
+            out[rows] = got
+            if grads is not None:
+                g = outer @ one
+                grads["wc"] += g[:, :-1].T
+                grads["bc"] += g[:, -1]
+                by, more = outer.T @ w["wc"].T, np.empty((len(rows), n), out.dtype)
+                for c, part in slices:
+                    e = inner[:, part]
+                    g = e @ one[part]
+                    grads["ww"][c] += g[:, :-1].T
+                    grads["bw"][c] += g[:, -1]
+                    np.matmul(e.T, w["ww"][c].T, out=more[part])
+                by += more
+                d[rows] = by
         return out, d
 
     def learn(self, tokens: np.ndarray, end: int, streams: int, epochs: int = 1, rate: float = 1.0, last: float = 1.0) -> None:
@@ -230,13 +248,13 @@ class Network:
                 _, d = self.log_p(states.transpose(0, 2, 1).reshape(-1, n), want.ravel(), grads)
                 d = np.ascontiguousarray(d.reshape(*ids.shape, n).transpose(0, 2, 1))
                 after, back = np.zeros_like(h), np.ascontiguousarray(w["u"])
-                da = np.empty((len(ids), 3 * n, streams), np.float32)
+                a, dg = np.empty((2, 3 * n, streams), np.float32)
+                inputs, du = np.empty((*ids.shape, 3 * n), np.float32), np.zeros((3 * n, n), np.float32)
                 for t in range(len(ids) - 1, -1, -1):
                     hp, z, r, new, gn = tape[t]
                     dh = d[t]
                     dh += after
-                    a = da[t]
-                    dn, rest = a[2 * n:], 1 - z
+                    dn, rest = a[2 * n:], np.subtract(1, z, out=dg[2 * n:])
                     np.multiply(dh, rest, out=dn)
                     np.subtract(hp, new, out=a[:n])
                     a[:n] *= dh
@@ -249,14 +267,17 @@ class Network:
                     np.multiply(rest, gn, out=a[n:2 * n])
                     np.subtract(1, r, out=r)
                     a[n:2 * n] *= r
-                    dg = np.concatenate([a[:2 * n], rest])
-                    grads["u"] += (dg @ hp.T).T
+                    dg[:2 * n] = a[:2 * n]
+                    inputs[t] = a.T
+                    du += dg @ hp.T
                     after = back @ dg
                     dh *= z
                     after += dh
                     after *= keep[t]
-                grads["b"] += da.sum(axis=(0, 2))
-                _add_rows(grads["x"], ids.ravel(), da.transpose(0, 2, 1).reshape(-1, 3 * n))
+                grads["u"] += du.T
+                inputs = inputs.reshape(-1, 3 * n)
+                grads["b"] += np.ones(len(inputs), np.float32) @ inputs
+                _add_rows(grads["x"], ids.ravel(), inputs)
                 count += 1
                 scale = 1.0 / ids.size
                 norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) * scale
@@ -304,22 +325,48 @@ class Network:
         return out
 
 
+def tokens_of(texts: pa.Array, most: int = 8_000_000) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """The tokens of ``texts`` (their words, A-Z lower-cased, and an end each), by runs of rows of about ``most`` bytes: the
+    run's different words with the end as last, its tokens as numbers of those, and where in them each row ends."""
+    texts = pc.ascii_lower(pc.fill_null(texts, ""))
+    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(size, most + (size[at - 1] if at else 0), "right")))
+        words = pc.ascii_split_whitespace(texts.slice(at, to - at))  # with empty ones before and after outer whitespace
+        found = words.flatten().dictionary_encode()
+        number, names = found.indices.to_numpy(), found.dictionary.cast(pa.binary())
+        real = (pc.binary_length(names).to_numpy() > 0)[number]
+        before = np.r_[0, np.cumsum(real)][np.cumsum(pc.list_value_length(words).to_numpy())]
+        ends = before + np.arange(to - at)
+        tokens = np.empty(len(ends) + (int(before[-1])), np.int32)
+        inside = np.ones(len(tokens), bool)
+        inside[ends] = False
+        tokens[inside], tokens[ends] = number[real], len(names)
+        yield pa.concat_arrays([names, pa.array([END], pa.binary())]), tokens, ends
+        at = to
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(word binary, n): how often each token occurs in ``docs`` (text), ends included; counted in each task first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
+        held: list[pa.Table] = []
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
+        def one() -> pa.Table:
+            got = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            return pa.table([got["word"], got["n_sum"]], ["word", "n"])
         for b in batches:
-            for t in b.column("text"):
-                c.update(words_of(t.as_py()))
-                c[END] += 1
-                if len(c) > 400_000:
-                    yield out()
-                    c.clear()
-        if c:
-            yield out()
+            for words, tokens, _ in tokens_of(b.column("text")):
+                n = np.bincount(tokens, minlength=len(words))
+                seen = n > 0
+                held.append(pa.table([words.filter(pa.array(seen)), pa.array(n[seen], pa.int64())], ["word", "n"]))
+                if sum(map(len, held)) > 400_000:
+                    held = [one()]
+                    if len(held[0]) > 400_000:
+                        yield from held[0].to_batches()
+                        held = []
+        if held:
+            yield from one().to_batches()
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -378,34 +425,42 @@ class Encoder:
         n = len(self.at)
         counts = np.zeros(n)
         counts[: len(v.counts)] = v.counts
-        self.log_count = np.log10(counts + 0.1)
+        self.log_count, self.log_mass = np.log10(counts + 0.1), np.log10(v.mass)
         ids, share = np.arange(n), np.zeros(n)
-        names = sorted(self.at, key=self.at.__getitem__)
-        for i in range(p.outputs, n):
-            b = bucket_of(names[i], p.buckets)
-            ids[i] = p.outputs + b
-            share[i] = self.log_count[i] - np.log10(v.mass[b])
+        if n > p.outputs:
+            names = [*v.words, END][:n]
+            ids[p.outputs:] = p.outputs + self.buckets(names[p.outputs:])
+            share[p.outputs:] = self.log_count[p.outputs:] - self.log_mass[ids[p.outputs:] - p.outputs]
         self.ids, self.share, self.known = ids, share, counts > 0
-        self.log_mass = np.log10(v.mass)
         self.end = int(ids[self.at[END]])
 
+    def buckets(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter((bucket_of(w, self.p.buckets) for w in words), np.int64, len(words))
+
     def __call__(self, text: str | None) -> tuple[np.ndarray, dict]:
         """The ids of a text and its end; and sums over its tokens."""
-        w = words_of(text)
-        w.append(END)
-        at = np.fromiter(map(self.at.get, w, [-1] * len(w)), np.int64, len(w))
-        head = at >= 0
-        ids = self.ids[at]
-        rest: Counter = Counter()
-        share = 0.0
-        if not head.all():
-            for i in np.flatnonzero(~head).tolist():
-                b = bucket_of(w[i], self.p.buckets)
-                ids[i] = self.p.outputs + b
-                share -= self.log_mass[b]
-                rest[w[i]] += 1
-            at = at[head]
-        return ids, {"n": len(w), "known": int(self.known[at].sum()), "log_count": float(self.log_count[at].sum()), "share": share + float(self.share[at].sum()), "rest": rest}
+        ids, _, sums, rest = next(self.coded(pa.array([text], pa.string())))
+        more = Counter({r["word"]: r["times"] for r in rest.to_pylist()[0]})
+        return ids, {**{k: x.tolist()[0] for k, x in sums.items()}, "rest": more}
+
+    def coded(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, dict, pa.Array]]:
+        """Of runs of rows of ``texts``: the ids of all their tokens, where in them each row ends, each row's sums, and
+        each row's words beyond the head, with how often they occur."""
+        for words, tokens, ends in tokens_of(texts):
+            names = words.to_pylist()
+            at = np.fromiter(map(self.at.get, names, repeat(-1)), np.int64, len(names))
+            rare = np.flatnonzero(at < 0)
+            ids, known, log_count, share = self.ids[at], self.known[at], self.log_count[at], self.share[at]
+            bucket = self.buckets([names[i] for i in rare.tolist()])
+            ids[rare], known[rare], log_count[rare], share[rare] = self.p.outputs + bucket, False, 0, -self.log_mass[bucket]
+            first = np.r_[0, ends[:-1] + 1]
+            sums = {"n": ends + 1 - first, "known": np.add.reduceat(known[tokens].astype(np.int64), first)}
+            sums |= {k: np.add.reduceat(x[tokens], first) for k, x in (("log_count", log_count), ("share", share))}
+            where = np.flatnonzero((at < 0)[tokens])
+            key, times = np.unique(np.searchsorted(ends, where) * len(names) + tokens[where], return_counts=True)
+            cut = np.searchsorted(key, np.arange(len(ends) + 1) * len(names))
+            rest = pa.StructArray.from_arrays([words.take(pa.array(key % len(names))), pa.array(times, pa.int64())], ["word", "times"])
+            yield ids[tokens], ends, sums, pa.ListArray.from_arrays(pa.array(cut, pa.int32()), rest)
 
 
 def _train_task(sample: DataFrame, v, p: Gru) -> bytes:
@@ -427,24 +482,33 @@ def train(texts: list[str | None], v: Vocabulary, p: Gru = DEFAULT) -> Network:
     frequency[:k] = v.counts[:k]
     frequency[p.outputs:] = v.mass
     net = Network.new(p, frequency)
-    rows = [e(t)[0] for t in texts]
-    if rows:
+    if texts:
+        rows = [ids for ids, *_ in e.coded(pa.array(texts, pa.string()))]
         net.learn(np.concatenate([[e.end], *rows]), e.end, p.streams, p.epochs, 1.0, 0.5)
     return net
 
 
-class Spelled(dict):
-    """The model's id of each word: those of the outputs are given, others follow from the spelling and are kept."""
-
-    def __init__(self, outputs: list[bytes], p: Gru):
-        super().__init__((w, i) for i, w in enumerate(outputs))
-        self.p = p
-
-    def __missing__(self, word: bytes) -> int:
-        got = self.p.outputs + bucket_of(word, self.p.buckets)
-        if len(self) < 500_000:
-            self[word] = got
-        return got
+def encoded(docs: DataFrame, shipped, p: Gru) -> DataFrame:
+    """Every row of ``docs`` (doc_id, text) as the model reads it: its ids (one after the other, as ``p.kind``), the
+    round that learns it (null: held out), its sums, its words beyond the head, and a number of its own. Written once:
+    that number, drawn at random, holds from here on, and texts are cut into words for the last time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = Encoder(shipped.value, p)
+        salt = int.from_bytes(os.urandom(8), "little") >> 1
+        row = 0
+        for b in batches:
+            at = 0
+            for ids, ends, sums, rest in e.coded(b.column("text")):
+                n = len(ends)
+                keys = [(salt + (row + i) * 0x9E3779B97F4A7C15) % (1 << 63) for i in range(n)]
+                cut = np.r_[0, ends + 1] * p.kind.itemsize
+                raw = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(ids.astype(p.kind))])
+                cols = [b.column("doc_id").slice(at, n), b.column("turn").slice(at, n), pa.array(keys, pa.int64()), *(pa.array(sums[k]) for k in ("n", "known", "log_count", "share")), raw, rest]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "turn", "row", "n_tokens", "known", "log_count", "share", "ids", "rest"])
+                at, row = at + n, row + n
+    turn = F.when(~held_out(F.col("doc_id")), F.pmod(F.xxhash64("doc_id"), F.lit(p.rounds)))
+    schema = "doc_id long, turn long, row long, n_tokens long, known long, log_count double, share double, ids binary, rest array<struct<word:binary,times:bigint>>"
+    return durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), turn.alias("turn"), "text").mapInArrow(run, schema), "encoded")
 
 
 def _merged(networks: DataFrame, p: Gru) -> bytes | None:
@@ -472,32 +536,37 @@ def _merged(networks: DataFrame, p: Gru) -> bytes | None:
 
 def learn_all(learned: DataFrame, network: bytes, v: Vocabulary, p: Gru) -> bytes:
     """The network after it has learned every document of ``learned`` (doc_id, text) once, in rounds by the id's hash."""
-    spark = learned.sparkSession.sparkContext
-    names = v.words[: p.outputs]
+    shipped = learned.sparkSession.sparkContext.broadcast(v)
+    rows = encoded(learned, shipped, p)
+    out = learn_rounds(rows, network, v, p)
+    remove(rows)
+    return out
+
+
+def learn_rounds(rows: DataFrame, network: bytes, v: Vocabulary, p: Gru) -> bytes:
+    """The network after it has learned, in rounds, every row of ``encoded`` that is not held out."""
+    spark = rows.sparkSession.sparkContext
+    end = v.index(p)[END]
     for turn in range(p.rounds):
-        sent = spark.broadcast((names, network))
+        sent = spark.broadcast(network)
         rate = 0.5 - 0.45 * turn / max(p.rounds - 1, 1)
 
         def learn(batches, sent=sent, rate=rate):
-            names, raw = sent.value
-            net, at = Network.load(p, raw), Spelled(names, p)
-            end = at.get(END, len(names))
-            held, n, total = [end], 0, 0
+            net = Network.load(p, sent.value)
+            held, total = np.array([end], p.kind), 0
             for b in batches:
-                for t in b.column("text"):
-                    held.extend(map(at.__getitem__, words_of(t.as_py())))
-                    held.append(end)
-                    while len(held) > p.block:
-                        net.learn(np.array(held[:p.block], np.int64), end, p.lanes, 1, rate, rate)
-                        total += p.block - 1
-                        del held[:p.block - 1]
+                held = np.r_[held, np.frombuffer(b"".join(b.column("ids").to_pylist()), p.kind)]
+                while len(held) > p.block:
+                    net.learn(held[:p.block].astype(np.int64), end, p.lanes, 1, rate, rate)
+                    total += p.block - 1
+                    held = held[p.block - 1:]
             n = len(held) - 1
             if n:
-                net.learn(np.array(held, np.int64), end, max(1, min(p.lanes, n // p.unroll)), 1, rate, rate)
+                net.learn(held.astype(np.int64), end, max(1, min(p.lanes, n // p.unroll)), 1, rate, rate)
                 total += n
             if total:
                 yield pa.RecordBatch.from_arrays([pa.array([net.dump()], pa.binary()), pa.array([total], pa.int64())], ["network", "tokens"])
-        part = learned.where(F.pmod(F.xxhash64("doc_id"), F.lit(p.rounds)) == turn).select("text")
+        part = rows.where(F.col("turn") == turn).select("ids")
         tasks = max(1, -(-v.total // (p.share * p.rounds)))
         network = _merged(part.coalesce(tasks).mapInArrow(learn, "network binary, tokens long"), p) or network
         sent.unpersist()
@@ -525,41 +594,28 @@ def score_documents(docs: DataFrame, p: Gru = DEFAULT) -> DataFrame:
     ids = learned.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.train_rows)
     sample = learned.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     start = _train_task(sample.select(F.xxhash64("doc_id").alias("at"), "doc_id", "text"), shipped, p)
-    network = spark.sparkContext.broadcast(learn_all(learned, start, v, p))
+    rows = encoded(mine, shipped, p)
+    network = spark.sparkContext.broadcast(learn_rounds(rows, start, v, p))
+    end = v.index(p)[END]
+    same = ["doc_id", "row", "n_tokens", "known", "log_count"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, net = Encoder(shipped.value, p), Network.load(p, network.value)
-        salt = int.from_bytes(os.urandom(8), "little") >> 1
-        row = 0
-
-        def done(doc_ids: list, coded: list) -> pa.RecordBatch:
-            nonlocal row
-            got = net.score([c[0] for c in coded], e.end) / np.log(10)
-            s = [c[1] for c in coded]
-            rest = pa.array([list(x["rest"].items()) for x in s], pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))
-            keys = [(salt + (row + i) * 0x9E3779B97F4A7C15) % (1 << 63) for i in range(len(s))]
-            row += len(s)
-            cols = [pa.array(doc_ids, pa.int64()), pa.array(keys, pa.int64()), pa.array([x["n"] for x in s], pa.int64()), pa.array([x["known"] for x in s], pa.int64()), pa.array([x["log_count"] for x in s]), pa.array([g + x["share"] for g, x in zip(got, s)]), rest]
-            return pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "n_tokens", "known", "log_count", "model", "rest"])
+        net = Network.load(p, network.value)
         for b in batches:
-            doc_ids, coded, held = [], [], 0
-            for d, t in zip(b.column("doc_id"), b.column("text")):
-                c = e(t.as_py())
-                doc_ids.append(d.as_py())
-                coded.append(c)
-                held += len(c[0])
-                if held > 1_500_000:
-                    yield done(doc_ids, coded)
-                    doc_ids, coded, held = [], [], 0
-            if coded:
-                yield done(doc_ids, coded)
-    schema = "doc_id long, row long, n_tokens long, known long, log_count double, model double, rest array<struct<word:binary,times:bigint>>"
-    # Written once: the row's number, drawn at random, holds from here on.
-    part = durable(mine.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "scored")
-    rest = part.where(F.size("rest") > 0).select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.times")
+            to = np.cumsum(b.column("n_tokens").to_numpy())
+            at = 0
+            while at < len(to):
+                n = max(1, int(np.searchsorted(to, 1_500_000 + (to[at - 1] if at else 0), "right")) - at)
+                part = b.slice(at, n)
+                got = net.score([np.frombuffer(x.as_buffer(), p.kind) for x in part.column("ids")], end) / np.log(10)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in same), pa.array(got + part.column("share").to_numpy())], [*same, "model"])
+                at += n
+    schema = "doc_id long, row long, n_tokens long, known long, log_count double, model double"
+    part = durable(rows.select(*same, "share", "ids").mapInArrow(run, schema), "scored")
+    rest = rows.where(F.size("rest") > 0).select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.times")
     counted = rest.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("rest_log"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rest_known"))
-    both = part.drop("rest").join(counted, "row", "left")
+    both = part.join(counted, "row", "left")
     more = F.coalesce("rest_log", F.lit(0.0))
     norm = float(np.log10(v.total + 0.1 * (v.distinct + 1)))
     return both.select(

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -398,6 +399,66 @@ def test_the_whole_fold_is_learned(spark):
     assert all(np.allclose(same[k], start.parts[k], atol=1e-6) for k in same)
 
 
+def test_texts_are_cut_into_words_by_runs():
+    """Tokens, ids, sums and rare words are those of a plain loop over words, however the rows are divided."""
+    texts = [" One  two\tTWO ", "", None, "\x1ca\x0b\x85b \x0c\u0130A one", "rare rare new one " * 9, "é"]
+    want = [(t or "").encode().lower().split() + [b""] for t in texts]
+    for most in (1, 30, 1 << 20):
+        got = []
+        for words, tokens, ends in grulm.tokens_of(pa.array(texts, pa.string()), most):
+            got += [[words[i].as_py() for i in row.tolist()] for row in np.split(tokens, ends[:-1] + 1)]
+            assert ends[-1] == len(tokens) - 1
+        assert got == want
+    p = grulm.Gru(outputs=2, buckets=3, classes=2, hidden=4)
+    known = {b"": 9, b"one": 5, b"two": 4, b"a": 1}
+    v = grulm.Vocabulary(list(known), np.array(list(known.values())), 19, 4, np.array([2.5, 1.5, 0.5]))
+    e, at = grulm.Encoder(v, p), list(known)
+    for text, words in zip(texts, want):
+        ids, s = e(text)
+        assert ids.tolist() == [at.index(w) if w in at[:2] else 2 + grulm.bucket_of(w, 3) for w in words]
+        assert (s["n"], s["known"], s["rest"]) == (len(words), sum(w in known for w in words), Counter(w for w in words if w not in known))
+        assert s["log_count"] == pytest.approx(sum(np.log10(known[w] + 0.1) for w in words if w in known))
+        assert s["share"] == pytest.approx(sum((np.log10(known[w] + 0.1) if w in known else 0) - np.log10(v.mass[grulm.bucket_of(w, 3)]) for w in words if w not in at[:2]))
+
+
+def test_rounds_and_scores_read_ids_not_texts(spark):
+    """What is learned and scored is the ids written once: they say what the texts say, and no round needs a text."""
+    p = grulm.Gru(outputs=28, buckets=4, classes=4, hidden=8, rounds=2, lanes=8, unroll=8, block=300, share=400)
+    d = spark.createDataFrame([(i, "one two three four " * (i % 9)) for i in range(60)], "doc_id long, text string").coalesce(1)
+    learned = d.where(~grulm.held_out(F.col("doc_id")))
+    v = grulm.vocabulary(grulm.count_words(learned), p)
+    rows = grulm.encoded(d, spark.sparkContext.broadcast(v), p)
+    e = grulm.Encoder(v, p)
+    got = {r.doc_id: r for r in rows.collect()}
+    assert len({r.row for r in got.values()}) == 60
+    for r in d.collect():
+        assert np.frombuffer(got[r.doc_id].ids, p.kind).tolist() == e(r.text)[0].tolist()
+        assert (got[r.doc_id].turn is None) == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0)
+    start = grulm.train([], v, p).dump()
+    one = grulm.Network.load(p, grulm.learn_rounds(rows, start, v, p)).parts
+    two = grulm.Network.load(p, grulm.learn_all(learned, start, v, p)).parts
+    assert "text" not in rows.columns and all(np.allclose(one[k], two[k], atol=1e-5) for k in one)
+
+
+def test_blocks_of_a_softmax_and_sums_by_row_change_nothing():
+    rng = np.random.default_rng(3)
+    s, t = rng.normal(size=(50, 4)).astype(np.float32), rng.integers(0, 8, 50)
+    got = []
+    for near in (1, 7, 1000):
+        net = grulm.Network.new(grulm.Gru(outputs=6, buckets=2, classes=2, hidden=4, near=near), np.ones(8))
+        grads = {k: np.zeros_like(x) for k, x in net.parts.items()}
+        got.append((*net.log_p(s, t, grads), *grads.values()))
+    for other in got[1:]:
+        assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(got[0], other))
+    rows = rng.normal(size=(50, 3))
+    want = np.zeros((8, 3))
+    np.add.at(want, t, rows)
+    for often in (2, 5, 48):
+        have = np.zeros((8, 3))
+        grulm._add_rows(have, t, rows, often)
+        assert np.allclose(want, have)
+
+
 def test_language_model_odd_rows(odd, none):
     p = grulm.Gru(outputs=96, buckets=32, classes=8, hidden=8, head=50, train_rows=5, epochs=1, streams=2)
     got = grulm.score_documents(odd, p)
