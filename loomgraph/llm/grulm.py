@@ -148,13 +148,15 @@ class Network:
         w, n = self.parts, self.p.hidden
         half = np.repeat(np.float32([0.5, 1.0]), [2 * n, n])  # sigmoid(a) is (1 + tanh(a / 2)) / 2
         u = np.ascontiguousarray((w["u"] * half).T)
-        inputs = (w["x"] + w["b"]) * half
         states, tape = np.empty((len(ids), n, ids.shape[1]), np.float32), []
-        x = np.empty((3 * n, ids.shape[1]), inputs.dtype)
+        x = np.empty((3 * n, ids.shape[1]), np.float32)
         for t in range(len(ids)):
             hp = h if keep is None else h * keep[t]
             g = u @ hp
-            x[...] = inputs.take(ids[t], axis=0).T
+            own = w["x"].take(ids[t], axis=0)
+            own += w["b"]
+            own *= half
+            x[...] = own.T
             gates = g[: 2 * n]
             gates += x[: 2 * n]
             np.tanh(gates, out=gates)
@@ -228,13 +230,17 @@ class Network:
     def learn(self, tokens: np.ndarray, end: int, streams: int, epochs: int = 1, rate: float = 1.0, last: float = 1.0) -> None:
         """Truncated backpropagation (Adam) over one long row of tokens, cut into streams; the rate, as a part of
         the parameter's, goes from ``rate`` to ``last``."""
-        p, w, n = self.p, self.parts, self.p.hidden
+        p, n = self.p, self.p.hidden
         steps = (len(tokens) - 1) // streams
         if steps < 1:
             return
         at = np.arange(steps)[:, None] + np.arange(streams)[None, :] * steps
         before, target = tokens[at], tokens[at + 1]
-        m, v2, grads = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(3))
+        flat = np.concatenate([x.ravel() for x in self.parts.values()])
+        m, v2, g = np.zeros((3, len(flat)), flat.dtype)
+        cut = np.cumsum([x.size for x in self.parts.values()])[:-1]
+        w, grads = ({k: y.reshape(x.shape) for (k, x), y in zip(self.parts.items(), np.split(whole, cut))} for whole in (flat, g))
+        self.parts = w
         count, total = 0, epochs * -(-steps // p.unroll)
         for _ in range(epochs):
             h = np.zeros((n, streams), np.float32)
@@ -243,8 +249,7 @@ class Network:
                 keep = (ids != end).astype(np.float32)
                 states, tape = self.turned(h, ids, keep)
                 h = states[-1]
-                for g in grads.values():
-                    g.fill(0)
+                g.fill(0)
                 _, d = self.log_p(states.transpose(0, 2, 1).reshape(-1, n), want.ravel(), grads)
                 d = np.ascontiguousarray(d.reshape(*ids.shape, n).transpose(0, 2, 1))
                 after, back = np.zeros_like(h), np.ascontiguousarray(w["u"])
@@ -280,22 +285,23 @@ class Network:
                 _add_rows(grads["x"], ids.ravel(), inputs)
                 count += 1
                 scale = 1.0 / ids.size
-                norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) * scale
+                norm = np.sqrt(sum(float(np.vdot(x, x)) for x in grads.values())) * scale
                 scale *= min(1.0, 1.0 / max(norm, 1e-9))
                 now = p.rate * (rate + (last - rate) * count / total) * np.sqrt(1 - 0.99 ** count) / (1 - 0.9 ** count)
-                for k, g in grads.items():
-                    g *= scale
-                    m[k] *= 0.9
-                    v2[k] *= 0.99
-                    m[k] += 0.1 * g
-                    g *= g
-                    g *= 0.01
-                    v2[k] += g
-                    np.sqrt(v2[k], out=g)
-                    g += 1e-6
-                    np.divide(m[k], g, out=g)
-                    g *= now
-                    w[k] -= g
+                for i in range(0, len(flat), 16_384):  # a part at a time, which stays in a core's cache
+                    one, first, second = g[i:i + 16_384], m[i:i + 16_384], v2[i:i + 16_384]
+                    one *= scale
+                    first *= 0.9
+                    second *= 0.99
+                    first += 0.1 * one
+                    one *= one
+                    one *= 0.01
+                    second += one
+                    np.sqrt(second, out=one)
+                    one += 1e-6
+                    np.divide(first, one, out=one)
+                    one *= now
+                    flat[i:i + 16_384] -= one
 
     def score(self, documents: list[np.ndarray], end: int) -> np.ndarray:
         """Natural log-likelihood of each document's complete token row (its end included)."""
@@ -319,7 +325,8 @@ class Network:
                 states, _ = self.turned(np.ascontiguousarray(h[:, :live]), ids)
                 h, last = states[-1], target[-1]
                 inside = target >= 0
-                got, _ = self.log_p(states.transpose(0, 2, 1)[inside], target[inside])
+                rows = states.transpose(0, 2, 1).reshape(-1, p.hidden)
+                got, _ = self.log_p(rows if inside.all() else rows.take(np.flatnonzero(inside), axis=0), target[inside])
                 who = np.broadcast_to(np.arange(live), target.shape)[inside]
                 out[group[:live]] += np.bincount(who, weights=got, minlength=live)
         return out
