@@ -106,3 +106,47 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colum
         found.join(F.broadcast(ids), "doc_id")
         .groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     )
+
+
+def numbered(rows: DataFrame, order: list[Column], into: str, label: str) -> DataFrame:
+    """The columns of ``rows`` and ``into``: 1, 2, 3... in the order given, without a window over one partition.
+
+    Rows are range-partitioned (a last key tells equal rows apart, so that ties can be split too), written in
+    order with their place in their partition, and the partitions' sizes, one number each, are added up.
+    ``rows`` is computed twice (once to choose the ranges), so let it be something written.
+    """
+    spark = rows.sparkSession
+    at, part = free_name(rows.columns, "loom_at"), free_name([*rows.columns, "loom_at"], "loom_part")
+    keys = [*order, F.col(at)]
+    ranged = rows.withColumn(at, F.monotonically_increasing_id()).repartitionByRange(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys)
+    # Written in this order by the task that sorted it: the low 33 bits of the id are the row's place.
+    placed = durable(ranged.select(*(F.col(f"`{c}`") for c in rows.columns), F.monotonically_increasing_id().alias(at)), label)
+    placed = placed.select("*", F.shiftright(at, 33).alias(part))
+    sizes = sorted((r[0], r[1]) for r in placed.groupBy(part).count().collect())
+    starts, n = [], 0
+    for p, k in sizes:
+        starts.append((p, n))
+        n += k
+    begins = spark.createDataFrame(starts, f"`{part}` long, loom_start long")
+    place = F.col("loom_start") + F.col(at).bitwiseAND((1 << 33) - 1) + 1
+    return placed.join(F.broadcast(begins), part).select(*(F.col(f"`{c}`") for c in rows.columns), place.alias(into))
+
+
+#: Rows and bytes of keys up to which ``with_values`` sends its table to all executors.
+LOOKUP_ROWS, LOOKUP_BYTES, SALTS = 100_000, 8 << 20, 64
+
+
+def with_values(rows: DataFrame, values: DataFrame, key: str, salt: Column) -> DataFrame:
+    """``rows`` with the columns that ``values`` (one row a key, null being a key) has for their key.
+
+    A table of counted, small size is broadcast. Beyond that both sides are shuffled by (key, salt), with each
+    value repeated for every salt, so that a key with a third of all rows is dealt over ``SALTS`` tasks.
+    """
+    n, size = values.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.col(key).cast("string"))), F.lit(0))).first()
+    side = values.withColumnRenamed(key, "loom_key")
+    if n <= LOOKUP_ROWS and size * 4 <= LOOKUP_BYTES:
+        return rows.join(F.broadcast(side), F.col(key).eqNullSafe(F.col("loom_key")), "left").drop("loom_key")
+    side = side.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("loom_side"))
+    salted = rows.withColumn("loom_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+    on = F.col(key).eqNullSafe(F.col("loom_key")) & (F.col("loom_salt") == F.col("loom_side"))
+    return salted.join(side, on, "left").drop("loom_key", "loom_side", "loom_salt")

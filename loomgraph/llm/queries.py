@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe, grulm, iblt, media, packing, quality, simhash, toxicity, urlrules, warc
+from loomgraph.llm import bpe, grulm, iblt, media, mixing, packing, quality, resampling, simhash, toxicity, urlrules, vectorcodes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_gru": grulm.op1_gru,
@@ -19,8 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": bpe.op8_bpe,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_warc": warc.op10_warc,
+    "op11_resampling": resampling.op11_resampling,
+    "op12_codes": vectorcodes.op12_codes,
+    "op13_mixing": mixing.op13_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op10_warc": warc.OP10_SQL,
+    "op12_codes": vectorcodes.OP12_SQL,
 }
