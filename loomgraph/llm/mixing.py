@@ -31,7 +31,7 @@ class Mix:
 
     weights: tuple[int, ...] = (1, 2, 3)
     most: int = 3
-    leaf_rows: int = 50_000
+    leaf_rows: int = 4096
     fan: int = 64
     seed: int = 42
 
