@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.operators import traverse
+from loomgraph.operators import nearest, traverse
 
 c = F.col
 
@@ -136,15 +136,15 @@ def needs_regex(pattern: Column) -> Column:
 
 def stale_refs(refs: DataFrame, nodes: DataFrame, prefixes: list[str]) -> DataFrame:
     """(src, target, suggestion): references (src, target) with a known prefix to no node, and the node of that prefix
-    that is nearest in edits, if within a third of its length; ties by name. Prefix and length bound what is compared."""
+    that is nearest in edits, if within a third of the reference's length and 16 edits; ties by name."""
     kind = lambda a: F.regexp_extract(a, "^(" + "|".join(prefixes) + ")", 1)
     known = nodes.select("anchor").distinct()
     gone = refs.select("src", "target", kind("target").alias("p")).where("p <> ''").join(known.withColumnRenamed("anchor", "target"), "target", "left_anti")
-    asked = gone.select("target", "p").distinct().select("target", "p", F.explode(F.sequence(F.length("target") - 1, F.length("target") + 1)).alias("n"))
-    near = asked.join(known.select("anchor", kind("anchor").alias("p"), F.length("anchor").alias("n")), ["p", "n"])
-    d = F.levenshtein("target", "anchor")
-    best = near.select("target", F.struct(d.alias("d"), "anchor").alias("best")).where(c("best.d") * 3 <= F.length("target")).groupBy("target").agg(F.min("best.anchor").alias("any"), F.min("best").alias("best"))
-    return gone.join(best, "target", "left").select("src", "target", c("best.anchor").alias("suggestion"))
+    best = None
+    for p in prefixes:
+        found = nearest.nearest(gone.where(c("p") == p).select("target"), known.where(kind("anchor") == p)).select("target", c("anchor").alias("suggestion"))
+        best = found if best is None else best.unionByName(found)
+    return gone.join(best, "target", "left").select("src", "target", "suggestion")
 
 
 def missing_sources(nodes: DataFrame, files: DataFrame) -> DataFrame:
@@ -248,9 +248,13 @@ def message_class(message: Column) -> Column:
 
 
 def code_only(line: Column) -> Column:
-    """A line of code without what stands in quotes (the quotes stay) and without a comment at its end."""
-    bare = F.regexp_replace(line, r'"(?:\\.|[^"\\])*"', '""')
-    return F.rtrim(F.regexp_replace(bare, r"(//|#).*$", ""))
+    """A line of code without what stands in double or single quotes (the quotes stay) and without a comment, // or #,
+    at its end. Quotes and comments are read from the left: a mark inside quotes is no comment, a quote inside a comment
+    opens nothing, and a quote that is never closed is an ordinary sign."""
+    # Whatever comes first at a place is taken whole: a string, a comment up to the end, or one other sign.
+    pieces = F.regexp_extract_all(F.coalesce(line, F.lit("")), F.lit(r'''(?s)"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|(?://|#).*|.'''), F.lit(0))
+    plain = F.transform(pieces, lambda x: F.when(x.startswith("//") | x.startswith("#"), "").when((F.length(x) > 1) & x.startswith('"'), '""').when((F.length(x) > 1) & x.startswith("'"), "''").otherwise(x))
+    return F.when(line.isNotNull(), F.rtrim(F.array_join(plain, "")))
 
 
 def locate(names: DataFrame, spans: DataFrame, texts: DataFrame, wanted: str) -> DataFrame:

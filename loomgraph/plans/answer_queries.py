@@ -135,14 +135,14 @@ def requires_regex(spark, d):
     return P.read(spark, d, "part").select("p_partkey", A.needs_regex(text).alias("regex"))
 
 
-@query("""WITH r AS (SELECT s_suppkey AS src, CASE WHEN s_suppkey % 4 = 0 THEN 'adr-nothing-like-it-at-all' WHEN s_suppkey % 4 = 1 THEN 'adr-supplierx' || s_suppkey ELSE 'adr-supplier' || s_suppkey END AS target FROM supplier), n AS (SELECT 'adr-supplier' || s_suppkey AS anchor FROM supplier),
-m AS (SELECT DISTINCT target, anchor, levenshtein(target, anchor) AS dist FROM r JOIN n ON abs(length(target) - length(anchor)) <= 1 WHERE target NOT IN (SELECT anchor FROM n) AND levenshtein(target, anchor) * 3 <= length(target))
+@query("""WITH r AS (SELECT s_suppkey AS src, CASE WHEN s_suppkey % 4 = 0 THEN 'adr-nothing-like-it-at-all' WHEN s_suppkey % 4 = 1 THEN 'adr-supplierx' || s_suppkey WHEN s_suppkey % 4 = 2 THEN 'adr-the-supplier' || s_suppkey ELSE 'adr-supplier' || s_suppkey END AS target FROM supplier), n AS (SELECT 'adr-supplier' || s_suppkey AS anchor FROM supplier),
+m AS (SELECT DISTINCT target, anchor, levenshtein(target, anchor) AS dist FROM r, n WHERE target NOT IN (SELECT anchor FROM n) AND levenshtein(target, anchor) * 3 <= length(target))
 SELECT src, target, suggestion FROM r LEFT JOIN (SELECT target, arg_min(anchor, (dist, anchor)) AS suggestion FROM m GROUP BY 1) USING (target) WHERE target NOT IN (SELECT anchor FROM n)""")
 def scan_stale_refs(spark, d):
-    """References to suppliers, one in four misspelled and one in four like none."""
+    """References to suppliers: misspelled by one letter, by four, like none, and right ones, by turns."""
     s = P.read(spark, d, "supplier")
     own = F.concat(F.lit("adr-supplier"), "s_suppkey")
-    target = F.when(c("s_suppkey") % 4 == 0, "adr-nothing-like-it-at-all").when(c("s_suppkey") % 4 == 1, F.concat(F.lit("adr-supplierx"), "s_suppkey")).otherwise(own)
+    target = F.when(c("s_suppkey") % 4 == 0, "adr-nothing-like-it-at-all").when(c("s_suppkey") % 4 == 1, F.concat(F.lit("adr-supplierx"), "s_suppkey")).when(c("s_suppkey") % 4 == 2, F.concat(F.lit("adr-the-supplier"), "s_suppkey")).otherwise(own)
     return A.stale_refs(s.select(c("s_suppkey").alias("src"), target.alias("target")), s.select(own.alias("anchor")), ["adr-", "plan-"])
 
 
@@ -243,9 +243,13 @@ def message_classes(spark, d):
     return P.read(spark, d, "events").groupBy(A.message_class(text).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'let x = "";' WHEN 1 THEN 'let x = ' || p_size || ';' ELSE '' END AS code FROM part""")
+@query("""SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'let x = "";' WHEN 1 THEN 'let x = ' || p_size || ';' WHEN 2 THEN 'let x = ''''; y = "";' WHEN 3 THEN 'x = it''s ' || p_name ELSE '' END AS code FROM part""")
 def code_only(spark, d):
-    line = F.when(c("p_size") % 3 == 0, F.concat(F.lit('let x = "a // \\" b '), "p_name", F.lit('"; // note'))).when(c("p_size") % 3 == 1, F.concat(F.lit("let x = "), "p_size", F.lit("; # note"))).otherwise(F.lit("// note"))
+    kind = c("p_size") % 5
+    line = (F.when(kind == 0, F.concat(F.lit('let x = "a // \\" b '), "p_name", F.lit('"; // note')))
+            .when(kind == 1, F.concat(F.lit("let x = "), "p_size", F.lit("; # note")))
+            .when(kind == 2, F.concat(F.lit("let x = 'http://"), "p_name", F.lit("#1'; y = \"it's\"; # it's a \"note\"")))
+            .when(kind == 3, F.concat(F.lit("x = it's "), "p_name", F.lit(" // no string was opened"))).otherwise(F.lit("// note")))
     return P.read(spark, d, "part").select("p_partkey", A.code_only(line).alias("code"))
 
 

@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators.index import TextIndex
+from loomgraph.operators.nearest import nearest
 from loomgraph.operators.upkeep import Links, changed_files, decision
 from loomgraph.plans import tables as P
 from loomgraph.plans.io import shared_dir, written
+from loomgraph.sources import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -108,7 +110,7 @@ def links_kept_up(spark, d):
     before = _titles(pages.where(~F.coalesce(edited, F.lit(False)))).unionByName(
         pages.where(edited).select(P.anchor("page", c("page_id")).alias("file"), F.explode(F.array_distinct(P.plain_tokens("url"))).alias("name")).withColumn("anchor", c("file")))
     gone = P.read(spark, d, "benchmark").select(F.lit("page/gone").alias("file"), F.get(P.plain_tokens(c("text")), F.lit(3)).alias("name"), F.lit("page/gone").alias("anchor"))
-    links = Links(spark, fresh(spark, "links"))
+    links = Links(spark, fresh(spark, "links"), buckets=16)
     every = pages.select(P.anchor("page", c("page_id")).alias("file")).unionByName(gone.select("file").distinct())
     links.update(every, before.unionByName(gone), _hrefs(pages))
     now = pages.where(edited)
@@ -129,3 +131,25 @@ def freshness_decision(spark, d):
     return decision(changed_files(stored, now), now.count())
 
 
+
+
+@query("""WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS anchor FROM documents), w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark),
+t AS (SELECT DISTINCT left(w, 2) || substr(w, 4) || left(w, 1) AS target FROM w WHERE length(w) >= 5)
+SELECT target, arg_min(anchor, (dist, anchor)) AS anchor, min(dist)::INT AS distance FROM (SELECT target, anchor, levenshtein(target, anchor) AS dist FROM t, v WHERE abs(length(target) - length(anchor)) * 3 <= length(target)) WHERE dist * 3 <= length(target) GROUP BY target""")
+def nearest_words(spark, d):
+    """For words of the benchmark with a letter dropped and one added, the nearest word of all documents."""
+    known = P.read(spark, d, "documents").select(F.explode(F.array_distinct(P.plain_tokens(c("text")))).alias("anchor"))
+    w = P.read(spark, d, "benchmark").select(F.explode(P.plain_tokens(c("text"))).alias("w")).where(F.length("w") >= 5)
+    return nearest(w.select(F.concat(F.left("w", F.lit(2)), F.substring("w", 4, 1 << 20), F.left("w", F.lit(1))).alias("target")), known)
+
+
+@query("""SELECT 'doc/' || doc_id AS anchor, 'Note' AS node_type, lang, source, text IS NULL AS absent, length(text) AS chars, sha256(text) AS digest FROM documents""")
+def documents_emitted(spark, d):
+    """All documents written as markup files by the document sink and read back by the source."""
+    documents.register(spark)
+    docs = P.read(spark, d, "documents")
+    attributes = F.map_from_arrays(F.array(F.lit("lang"), F.lit("source")), F.array("lang", "source"))
+    path = fresh(spark, "emitted")
+    docs.select(P.anchor("doc", c("doc_id")).alias("anchor"), F.lit("Note").alias("node_type"), "text", attributes.alias("attributes")).write.format("loom_documents").mode("overwrite").save(path)
+    back = spark.read.format("loom_documents").schema("anchor string, node_type string, text string, attributes map<string,string>").load(path)
+    return back.select("anchor", "node_type", c("attributes")["lang"].alias("lang"), c("attributes")["source"].alias("source"), c("text").isNull().alias("absent"), F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("digest"))

@@ -661,10 +661,10 @@ def _candidates(spark, d):
 
 @query("""WITH RECURSIVE p AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT AS pos, source, greatest(1, ceil(strlen(text) / 4.0))::INT AS tokens FROM documents),
 f AS (SELECT source, 0 AS pos, 0 AS used, false AS took, 0::BIGINT AS doc_id, 0 AS tokens FROM p WHERE pos = 1
-UNION ALL SELECT p.source, p.pos, CASE WHEN f.used + p.tokens <= 2000 THEN f.used + p.tokens ELSE f.used END, f.used + p.tokens <= 2000, p.doc_id, p.tokens FROM f JOIN p ON p.source = f.source AND p.pos = f.pos + 1 WHERE p.pos <= 200)
+UNION ALL SELECT p.source, p.pos, CASE WHEN f.used + p.tokens <= 2000 THEN f.used + p.tokens ELSE f.used END, f.used + p.tokens <= 2000, p.doc_id, p.tokens FROM f JOIN p ON p.source = f.source AND p.pos = f.pos + 1)
 SELECT source AS request, 'doc/' || doc_id AS anchor, pos AS position, tokens, used AS running FROM f WHERE took""")
 def gather_then_select(spark, d):
-    return assembly.assemble(_candidates(spark, d).where("position <= 200"), 2000, skip=True)
+    return assembly.assemble(_candidates(spark, d), 2000, skip=True)
 
 
 @query()

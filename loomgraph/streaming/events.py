@@ -38,18 +38,36 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
 
 
 def deduplicated(events: DataFrame, keys: list[str], late: str = "10 minutes") -> DataFrame:
-    return _timed(events, late).dropDuplicates(keys)
+    """Each key once. On a stream a key is forgotten once the watermark has passed its event by ``late``, so state is
+    bounded by the keys of that time; an event with a forgotten key counts as new."""
+    timed = _timed(events, late)
+    return timed.dropDuplicatesWithinWatermark(keys) if events.isStreaming else timed.dropDuplicates(keys)
 
 
-def running_totals(events: DataFrame) -> DataFrame:
-    """(user_id, n, total) kept as state for each user, given out after each batch."""
+def running_totals(events: DataFrame, idle: str | None = None, late: str = "10 minutes") -> DataFrame:
+    """(user_id, n, total) kept as state for each user, given out after each batch.
+
+    ``idle`` (on streams): a user's state is dropped once the watermark is so far beyond their last event, so state is
+    bounded by the users of that time; one who comes back starts anew. Without it totals are of all time.
+    """
+    wait = None if idle is None else int(pd.Timedelta(idle).total_seconds() * 1000)
+    if wait is not None:
+        events = _timed(events, late)
+
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, total = state.get if state.exists else (0, 0.0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, total, last = state.get if state.exists else (0, 0.0, 0)
         for f in frames:
             n, total = n + len(f), total + float(f["value"].sum())
-        state.update((n, total))
+            last = max(last, int(f["ts"].max().timestamp() * 1000))
+        state.update((n, total, last))
+        if wait is not None:
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + wait)
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
-    return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, total double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if wait is None else GroupStateTimeout.EventTimeTimeout
+    return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, total double", "n long, total double, last long", "update", timeout)
 
 
 def ingest(spark: SparkSession, source: str, schema: str, fold: Callable[[DataFrame, int], None], name: str):

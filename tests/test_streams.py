@@ -39,3 +39,29 @@ def test_ingest_is_once(spark, sf, tmp_path):
     for _ in range(2):
         S.ingest(spark, str(tmp_path / "in"), batch.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", "), lambda df, i: seen.append(df.count()), name).awaitTermination()
     assert sum(seen) == batch.count()
+
+
+def _in_batches(spark, tmp_path, batches):
+    """A stream that brings each list of (user_id, ts, value) as a batch of its own, then an empty-handed last one."""
+    schema, at = "user_id long, ts timestamp, value double", str(tmp_path / uuid.uuid4().hex)
+    for rows in batches:
+        spark.createDataFrame(rows, "user_id long, ts string, value double").selectExpr("user_id", "cast(ts as timestamp) as ts", "value").coalesce(1).write.mode("append").parquet(at)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(at)
+
+
+def test_state_of_idle_users_goes(spark, tmp_path):
+    stream = _in_batches(spark, tmp_path, [[(1, "2024-01-01 00:00:00", 1.0)], [(2, "2024-01-03 00:00:00", 2.0)], [(2, "2024-01-03 00:01:00", 2.0)], [(1, "2024-01-03 00:02:00", 5.0), (2, "2024-01-03 00:02:00", 1.0)]])
+    rows = _run(spark, S.running_totals(stream, idle="1 hour"), "idle", "update").collect()
+    assert [(r.n, r.total) for r in rows if r.user_id == 1] == [(1, 1.0), (1, 5.0)]
+    assert [(r.n, r.total) for r in rows if r.user_id == 2][-1] == (3, 5.0)
+
+
+def test_keys_are_forgotten_behind_the_watermark(spark, tmp_path):
+    stream = _in_batches(spark, tmp_path, [[(1, "2024-01-01 00:00:00", 1.0), (1, "2024-01-01 00:01:00", 2.0)], [(2, "2024-01-02 00:00:00", 3.0)], [(3, "2024-01-02 00:00:30", 4.0)], [(1, "2024-01-02 00:01:00", 5.0), (2, "2024-01-02 00:01:00", 6.0)]])
+    out = S.deduplicated(stream, ["user_id"])
+    query = out.writeStream.format("memory").queryName("keys").outputMode("append").start()
+    query.processAllAvailable()
+    state = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    query.stop()
+    assert sorted(r.user_id for r in spark.table("keys").collect()) == [1, 1, 2, 3]
+    assert state <= 3
