@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgraph.plans.io import written
+
 #: Lines of a bin. Spans are filed under every bin they touch, so the range join has an equality key.
 BIN = 16
 
@@ -28,6 +30,14 @@ def matches(lines: DataFrame, pattern: str, *, literal: bool = True, ignore_case
     return lines.where(text.contains(what) if literal else F.col("text").rlike(("(?i)" if ignore_case else "") + pattern))
 
 
+def counted_top(rows: DataFrame, order: list[Column], k: int) -> tuple[DataFrame, int]:
+    """The first ``k`` rows in order, written, and the exact number of all rows, from one pass over ``rows``: each task
+    keeps a heap of ``k`` and counts what it has seen."""
+    seen = Observation()
+    top = written(rows.observe(seen, F.count(F.lit(1)).alias("total")).orderBy(*order).limit(k), "top")
+    return top, seen.get["total"]
+
+
 def changed_lines(diffs: DataFrame) -> DataFrame:
     """(file, line) of unified diffs (id, text): every line of each hunk's new range; an empty range is its join point."""
     rows = diffs.select("id", F.posexplode(F.split("text", "\n")).alias("at", "row"))

@@ -11,12 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.operators import spans
 from loomgraph.operators.index import TextIndex
 from loomgraph.operators.nearest import nearest
 from loomgraph.operators.upkeep import Links, changed_files, decision
 from loomgraph.plans import tables as P
 from loomgraph.plans.io import shared_dir, written
-from loomgraph.sources import documents
+from loomgraph.sources import documents, includes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -153,3 +154,33 @@ def documents_emitted(spark, d):
     docs.select(P.anchor("doc", c("doc_id")).alias("anchor"), F.lit("Note").alias("node_type"), "text", attributes.alias("attributes")).write.format("loom_documents").mode("overwrite").save(path)
     back = spark.read.format("loom_documents").schema("anchor string, node_type string, text string, attributes map<string,string>").load(path)
     return back.select("anchor", "node_type", c("attributes")["lang"].alias("lang"), c("attributes")["source"].alias("source"), c("text").isNull().alias("absent"), F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("digest"))
+
+
+@query("""WITH s AS (SELECT s_nationkey AS k, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) AS i FROM supplier),
+l AS (SELECT r_regionkey AS r, 0 AS n, 0 AS i, 'heading' AS kind, '= ' || r_name AS text, 'docs/r' || r_regionkey || '.adoc' AS path FROM region
+UNION ALL SELECT n_regionkey, 1 + n_nationkey, 0, 'heading', '== ' || n_name, 'docs/n/n' || n_nationkey || '.adoc' FROM nation
+UNION ALL SELECT n_regionkey, 1 + n_nationkey, 1, 'line', 'full text of loom', 'docs/n/n' || n_nationkey || '.adoc' FROM nation
+UNION ALL SELECT n_regionkey, 1 + n_nationkey, 2 + i, 'line', s_name, 'docs/n/s' || n_nationkey || '.adoc' FROM nation JOIN s ON k = n_nationkey WHERE i BETWEEN 2 AND 4
+UNION ALL SELECT n_regionkey, 1 + n_nationkey, 9, 'missing', 'docs/n/s' || n_nationkey || '.adoc', 'docs/n/n' || n_nationkey || '.adoc' FROM nation WHERE n_nationkey NOT IN (SELECT k FROM s)
+UNION ALL SELECT n_regionkey, 1 + n_nationkey, 10, 'cycle', 'docs/r' || n_regionkey || '.adoc', 'docs/n/n' || n_nationkey || '.adoc' FROM nation)
+SELECT 'docs/r' || r || '.adoc' AS root, row_number() OVER (PARTITION BY r ORDER BY n, i) AS position, kind, text, path FROM l""")
+def includes_spliced(spark, d):
+    """A file a region that includes one a nation, each with some of its suppliers' file and, by mistake, its region's."""
+    region, nation, supplier = (P.read(spark, d, t) for t in ("region", "nation", "supplier"))
+    name = lambda kind, k: F.concat(F.lit(f"docs/{kind}"), c(k).cast("string"), F.lit(".adoc"))
+    listed = nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_nationkey")).alias("k"))
+    of_region = F.array_join(F.transform("k", lambda k: F.concat(F.lit("include::n/n"), k.cast("string"), F.lit(".adoc[leveloffset=1]"))), "\n")
+    files = region.join(listed, c("r_regionkey") == c("n_regionkey"), "left").select(name("r", "r_regionkey").alias("path"), F.concat(F.lit("= "), "r_name", F.lit("\n"), F.coalesce(of_region, F.lit("endif::[]"))).alias("text"))
+    own = F.concat(F.lit("= "), c("n_name"), F.lit("\nifdef::absent[]\ninclude::nowhere.adoc[]\nendif::[]\nifeval::[{depth} > 1]\n{size} text of {engine}\nendif::[]\ninclude::s"), c("n_nationkey").cast("string"),
+                   F.lit(".adoc[lines=2..4]\ninclude::../r"), c("n_regionkey").cast("string"), F.lit(".adoc[]"))
+    suppliers = supplier.groupBy("s_nationkey").agg(F.array_join(F.array_sort(F.collect_list("s_name")), "\n").alias("text"))
+    files = files.unionByName(nation.select(name("n/n", "n_nationkey").alias("path"), own.alias("text"))).unionByName(suppliers.select(name("n/s", "s_nationkey").alias("path"), "text"))
+    return includes.spliced(files, region.select(name("r", "r_regionkey").alias("path")), {"depth": "2", "size": "full", "engine": "loom"})
+
+
+@query(f"""WITH {P.LINES_SQL}, hit AS (SELECT doc_id, line, text FROM lines WHERE contains(text, 'thing'))
+SELECT doc_id, line, (SELECT count(*) FROM hit) AS total FROM hit ORDER BY doc_id, line LIMIT 500""")
+def grep_with_total(spark, d):
+    """The first lines that hold a word, with the exact number of all that do, from one scan."""
+    top, total = spans.counted_top(spans.matches(P.lines(spark, d), "thing").select("doc_id", "line"), [c("doc_id"), c("line")], 500)
+    return top.withColumn("total", F.lit(total).cast("long"))
