@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+from itertools import groupby
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -103,6 +107,55 @@ def assemble(items: DataFrame, budget: int, *, skip: bool = False, similar: floa
     return dealt.mapInPandas(fold, "request string, anchor string, position int, tokens int, running int")
 
 
+def select_relevant(items: DataFrame, budget: int, trade: float = 0.7) -> DataFrame:
+    """(request, anchor, place, tokens, running, score): items chosen one after the other by marginal relevance.
+
+    ``items``: request, anchor, relevance, tokens, text. Each step takes, of those that still fit, the item with the
+    greatest ``trade`` * relevance - (1 - ``trade``) * its greatest likeness (Jaccard, of words) to one already taken;
+    ties to the first by anchor. A score only falls as more is taken, so an item's last known score bounds it from
+    above: items are read by falling relevance, no further than the best known score, and scored again only when they
+    lead the heap. What doesn't fit any more is let go, so a request may be larger than memory. Nulls: a null relevance is
+    0, a null text has no words; items without an anchor or with more tokens than the budget are never taken.
+    """
+    names = ["request", "anchor", "place", "tokens", "running", "score"]
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
+
+    def rows(batches):
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns))
+
+    def greedy(items):
+        heap, taken, used = [], [], 0
+        ahead = next(items, None)
+        while heap or ahead is not None:
+            while ahead is not None and (not heap or trade * ahead[2] >= -heap[0][0]):
+                _, anchor, relevance, tokens, text = ahead
+                if used + tokens <= budget:
+                    heapq.heappush(heap, (-trade * relevance, anchor, relevance, tokens, {w for w in (text or "").lower().split() if len(w) > 1}, 0.0, 0))
+                ahead = next(items, None)
+            if not heap:
+                continue
+            _, anchor, relevance, tokens, words, like, seen = heapq.heappop(heap)
+            if used + tokens > budget:
+                continue
+            if seen < len(taken):
+                like = max(like, max(_jaccard(words, t[1]) for t in taken[seen:]))
+                heapq.heappush(heap, (-(trade * relevance - (1 - trade) * like), anchor, relevance, tokens, words, like, len(taken)))
+                continue
+            used += tokens
+            taken.append((anchor, words))
+            yield anchor, len(taken), tokens, used, trade * relevance - (1 - trade) * like
+
+    def run(batches):
+        for request, items in groupby(rows(batches), key=lambda r: r[0]):
+            chosen = [(request, *x) for x in greedy(items)]
+            if chosen:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*chosen), kinds)], names)
+    given = items.where(F.col("anchor").isNotNull() & (F.col("tokens") <= budget)).select("request", "anchor", F.coalesce(F.col("relevance").cast("double"), F.lit(0.0)).alias("relevance"), F.col("tokens").cast("int").alias("tokens"), "text")
+    dealt = given.repartition("request").sortWithinPartitions("request", F.col("relevance").desc(), "anchor")
+    return dealt.mapInArrow(run, "request string, anchor string, place int, tokens int, running int, score double")
+
+
 def passages(paragraphs: DataFrame, terms: list[str], k: int = 4) -> DataFrame:
     """(doc_id, para, score, r): each document's best ``k`` paragraphs (doc_id, para, text) by the summed idf of
     the query terms they hold."""

@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators import spans
+from loomgraph.functions import text as T
+from loomgraph.operators import assembly, checks, rules, spans
 from loomgraph.operators.index import TextIndex
 from loomgraph.operators.nearest import nearest
 from loomgraph.operators.upkeep import Links, changed_files, decision
@@ -184,3 +185,41 @@ def grep_with_total(spark, d):
     """The first lines that hold a word, with the exact number of all that do, from one scan."""
     top, total = spans.counted_top(spans.matches(P.lines(spark, d), "thing").select("doc_id", "line"), [c("doc_id"), c("line")], 500)
     return top.withColumn("total", F.lit(total).cast("long"))
+
+
+class RepeatedLine(checks.Check):
+    """A text in which a line that isn't blank follows itself."""
+
+    needs, partition_by, order_by = ("text",), ("doc_id",), ("line",)
+
+    def __init__(self):
+        self.last, self.found = None, None
+
+    def row(self, row):
+        if row.text.strip() and row.text == self.last:
+            self.found = row.doc_id
+        self.last = row.text
+
+    def end(self):
+        return [] if self.found is None else [("warning", f"doc/{self.found}")]
+
+
+@query(f"""WITH {P.EDGES_SQL}, {P.NODES_SQL}, {P.LINES_SQL}, i AS (SELECT 'orphan' AS category, 'warning' AS severity, anchor FROM nodes WHERE anchor NOT IN (SELECT src FROM edges UNION ALL SELECT dst FROM edges)
+UNION ALL SELECT DISTINCT 'repeated_line', 'warning', 'doc/' || doc_id FROM (SELECT doc_id, text, lag(text) OVER (PARTITION BY doc_id ORDER BY line) AS before FROM lines) WHERE text = before AND trim(text) <> '')
+SELECT category, severity, anchor FROM i""")
+def diagnose_custom(spark, d):
+    """The graph's scans and a check of one's own over the lines of all documents."""
+    checks.register_check(spark, "repeated_line", RepeatedLine)
+    none = spark.createDataFrame([], "src string, target string")
+    return rules.diagnose(P.nodes(spark, d), P.edges(spark, d), none, custom={"repeated_line": P.lines(spark, d)})
+
+
+@query()
+def relevant_selection(spark, d):
+    """For each source its documents that match the words, chosen by marginal relevance; tested against plain greedy."""
+    index = TextIndex(spark, fresh(spark, "index"))
+    docs = P.read(spark, d, "documents").select("doc_id", "source", "text")
+    index.append(docs)
+    scored = index.bm25(WORDS).select("doc_id", F.round("score", 6).alias("score"))
+    items = docs.join(scored, "doc_id").select(c("source").alias("request"), P.anchor("doc", c("doc_id")).alias("anchor"), c("score").alias("relevance"), T.estimate_tokens(c("text")).alias("tokens"), "text")
+    return assembly.select_relevant(items, 4000).withColumn("score", F.round("score", 6))
