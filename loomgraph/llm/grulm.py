@@ -227,14 +227,18 @@ class Network:
                 d[rows] = by
         return out, d
 
-    def learn(self, tokens: np.ndarray, end: int, streams: int, epochs: int = 1, rate: float = 1.0, last: float = 1.0) -> None:
+    def learn(self, tokens: np.ndarray, end: int, streams: int, epochs: int = 1, rate: float = 1.0, last: float = 1.0) -> int:
         """Truncated backpropagation (Adam) over one long row of tokens, cut into streams; the rate, as a part of
-        the parameter's, goes from ``rate`` to ``last``."""
+        the parameter's, goes from ``rate`` to ``last``. Every token but the first is a target, in each epoch once: where
+        streams don't divide the row, the last ones end early and what is beyond is masked. Gives back how many."""
         p, n = self.p, self.p.hidden
-        steps = (len(tokens) - 1) // streams
+        targets = len(tokens) - 1
+        steps = -(-targets // streams)
         if steps < 1:
-            return
+            return 0
         at = np.arange(steps)[:, None] + np.arange(streams)[None, :] * steps
+        real = at < targets
+        tokens = np.r_[tokens, np.full(steps * streams - targets, end, tokens.dtype)]
         before, target = tokens[at], tokens[at + 1]
         flat = np.concatenate([x.ravel() for x in self.parts.values()])
         m, v2, g = np.zeros((3, len(flat)), flat.dtype)
@@ -250,7 +254,12 @@ class Network:
                 states, tape = self.turned(h, ids, keep)
                 h = states[-1]
                 g.fill(0)
-                _, d = self.log_p(states.transpose(0, 2, 1).reshape(-1, n), want.ravel(), grads)
+                here = real[s:s + p.unroll].ravel()
+                if here.all():
+                    _, d = self.log_p(states.transpose(0, 2, 1).reshape(-1, n), want.ravel(), grads)
+                else:
+                    d = np.zeros((ids.size, n), flat.dtype)
+                    d[here] = self.log_p(states.transpose(0, 2, 1).reshape(-1, n)[here], want.ravel()[here], grads)[1]
                 d = np.ascontiguousarray(d.reshape(*ids.shape, n).transpose(0, 2, 1))
                 after, back = np.zeros_like(h), np.ascontiguousarray(w["u"])
                 a, dg = np.empty((2, 3 * n, streams), np.float32)
@@ -284,7 +293,7 @@ class Network:
                 grads["b"] += np.ones(len(inputs), np.float32) @ inputs
                 _add_rows(grads["x"], ids.ravel(), inputs)
                 count += 1
-                scale = 1.0 / ids.size
+                scale = 1.0 / max(1, np.count_nonzero(here))
                 norm = np.sqrt(sum(float(np.vdot(x, x)) for x in grads.values())) * scale
                 scale *= min(1.0, 1.0 / max(norm, 1e-9))
                 now = p.rate * (rate + (last - rate) * count / total) * np.sqrt(1 - 0.99 ** count) / (1 - 0.9 ** count)
@@ -302,6 +311,7 @@ class Network:
                     np.divide(first, one, out=one)
                     one *= now
                     flat[i:i + 16_384] -= one
+        return targets
 
     def score(self, documents: list[np.ndarray], end: int) -> np.ndarray:
         """Natural log-likelihood of each document's complete token row (its end included)."""
@@ -564,13 +574,11 @@ def learn_rounds(rows: DataFrame, network: bytes, v: Vocabulary, p: Gru) -> byte
             for b in batches:
                 held = np.r_[held, np.frombuffer(b"".join(b.column("ids").to_pylist()), p.kind)]
                 while len(held) > p.block:
-                    net.learn(held[:p.block].astype(np.int64), end, p.lanes, 1, rate, rate)
-                    total += p.block - 1
+                    total += net.learn(held[:p.block].astype(np.int64), end, p.lanes, 1, rate, rate)
                     held = held[p.block - 1:]
             n = len(held) - 1
             if n:
-                net.learn(held.astype(np.int64), end, max(1, min(p.lanes, n // p.unroll)), 1, rate, rate)
-                total += n
+                total += net.learn(held.astype(np.int64), end, max(1, min(p.lanes, n // p.unroll)), 1, rate, rate)
             if total:
                 yield pa.RecordBatch.from_arrays([pa.array([net.dump()], pa.binary()), pa.array([total], pa.int64())], ["network", "tokens"])
         part = rows.where(F.col("turn") == turn).select("ids")
