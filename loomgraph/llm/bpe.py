@@ -67,7 +67,9 @@ class Automaton:
         for now, pair in enumerate(merges):
             left, right = pair if not isinstance(pair, str) else pair.split(" ", 1)
             u, v, w = vocab[left], vocab[right], vocab[left + right]
-            self._gadget(u, v, w, now)
+            # A merge of two tokens that never stand side by side by then does nothing, and makes no token.
+            if u in self.base and v in self.base and self._derive(u, v):
+                self._gadget(u, v, w, now)
         self._arcs: dict[int, bool] = {}
         self._labels = {self.label[i]: i for i in self.base}
         self._reach: dict[bytes, int] = {}  # the longest label that begins with these four bytes
@@ -88,7 +90,7 @@ class Automaton:
 
     def has_arc(self, last: int, token: int) -> bool:
         """Whether the state that arcs ``last`` lead to has an arc ``token`` (last -1: the start)."""
-        key = last * 65536 + token
+        key = (last << 32) + token
         known = self._arcs.get(key)
         if known is None:
             if len(self._arcs) >= CACHE_ARCS:
@@ -99,7 +101,7 @@ class Automaton:
     def _derive(self, last: int, token: int) -> bool:
         # Undo gadgets from the newest to the oldest that made either side: a state copied from v's
         # had v's arcs at that time, an arc w existed where the arc u existed at that time.
-        until = len(self.time)
+        until = self.time[-1] + 1
         while True:
             cut = self.lost.get((last, token))
             if cut is not None and cut < until:
@@ -129,7 +131,7 @@ class Automaton:
             while end > at:
                 token = labels.get(word[at:end])
                 if token is not None and end not in dead:
-                    ok = arcs.get(q * 65536 + token)
+                    ok = arcs.get((q << 32) + token)
                     if ok is None:
                         ok = self.has_arc(q, token)
                     if ok:
