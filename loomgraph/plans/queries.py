@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.operators import analytics, assembly, linking, predicates, retrieval, rules, spans, traverse
-from loomgraph.plans import answer_queries, index_queries, store_queries
+from loomgraph.plans import answer_queries, evidence_queries, index_queries, store_queries
 from loomgraph.plans import tables as P
 from loomgraph.sources import files
 from loomgraph.streaming import events as stream
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = store_queries.QUERIES | answer_queries.QUERIES | index_queries.QUERIES
-SQL: dict[str, str] = store_queries.SQL | answer_queries.SQL | index_queries.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = store_queries.QUERIES | answer_queries.QUERIES | index_queries.QUERIES | evidence_queries.QUERIES
+SQL: dict[str, str] = store_queries.SQL | answer_queries.SQL | index_queries.SQL | evidence_queries.SQL
 c = F.col
 
 
