@@ -156,12 +156,13 @@ def evidence_packets(near: DataFrame, spans: DataFrame, found: DataFrame, roles:
     # Of one node a role can need as many lines as there are roles, the others having taken theirs.
     own = W.partitionBy("anchor", "role").orderBy(c("specificity").desc(), "file", "line")
     few = met.distinct().withColumn("k", F.row_number().over(own)).where(c("k") <= roles).drop("k")
-    rows = near.join(few, "anchor")
+    rows = near.dropna().join(few, "anchor")
     key = F.struct((-c("specificity")).alias("s"), "distance", "anchor", "file", "line")
     line = rows.groupBy("request", "role", "file", "line").agg(F.min(key).alias("key"), F.max("size").alias("size"), F.min("distance").alias("least"))
-    cored = rows.where("distance = 0").groupBy("request").agg(F.count_distinct("role").alias("n")).where(c("n") >= core).select("request")
-    wanted = line.join(cored, "request", "left_semi")
-    short = wanted.withColumn("k", F.row_number().over(W.partitionBy("request", "role").orderBy("key"))).where(c("k") <= roles)
+    if core > 0:
+        cored = rows.where("distance = 0").groupBy("request").agg(F.count_distinct("role").alias("n")).where(c("n") >= core)
+        line = line.join(cored, "request", "left_semi")
+    short = line.withColumn("k", F.row_number().over(W.partitionBy("request", "role").orderBy("key"))).where(c("k") <= roles)
     short = short.groupBy("request").agg(F.array_sort(F.collect_list(F.struct("role", "key", "size"))).alias("all"))
 
     def same(x: Column, t: Column) -> Column:

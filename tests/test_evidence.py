@@ -115,9 +115,9 @@ def test_packets_equal_plain_choice(spark, roles, budget, core):
     near = {f"q{i}": sorted({f"n{x}": rng.randrange(3) for x in rng.sample(range(8), rng.randint(1, 6))}.items()) for i in range(30)}
     n = spark.createDataFrame([(q, a, d) for q, rows in near.items() for a, d in rows] + [("q0", None, 0), (None, "n1", 0)], "request string, anchor string, distance int")
     s = spark.createDataFrame(spans + spans[:3] + [("n1", None, 1, 2), ("n1", "f1", None, 2)], "anchor string, file string, first int, last int")
-    f = spark.createDataFrame([x[:2] + x[2:] for x in found] + found[:4] + [(None, 1, 0, 99, "x")], "file string, line int, role int, specificity int, text string")
+    f = spark.createDataFrame(found + found[:4] + [(None, 1, 0, 99, "x")], "file string, line int, role int, specificity int, text string")
     got = {}
-    for r in evidence.evidence_packets(n.where("request is not null"), s, f, roles, budget, core).select(*PACKET).orderBy("request", "role").collect():
+    for r in evidence.evidence_packets(n, s, f, roles, budget, core).select(*PACKET).orderBy("request", "role").collect():
         got.setdefault(r.request, []).append(tuple(r)[1:])
     want = {q: plain_packet(rows, spans, found, roles, budget, core) for q, rows in near.items()}
     assert got == {q: w for q, w in want.items() if w}
