@@ -18,12 +18,24 @@ def name_index(anchors: DataFrame) -> DataFrame:
 def resolve_local(calls: DataFrame, names: DataFrame) -> DataFrame:
     """(caller, name, anchor) of calls (caller, file, module, name): the only candidate (name, anchor, file,
     module) in the same file, else in the same module, else anywhere; more than one at the first tier that
-    has any is ambiguous and gives no row; a caller never links to itself."""
-    c = names.select("name", "anchor", F.col("file").alias("f"), F.col("module").alias("m"))
-    met = calls.join(c, "name").where(F.col("anchor") != F.col("caller"))
-    tier = F.when(F.col("f") == F.col("file"), 0).when(F.col("m") == F.col("module"), 1).otherwise(2)
-    by = met.groupBy("caller", "name").agg(*(F.count_if(tier == t).alias(f"n{t}") for t in range(3)), *(F.min(F.when(tier == t, F.col("anchor"))).alias(f"a{t}") for t in range(3)))
-    pick = F.when(F.col("n0") == 1, F.col("a0")).when((F.col("n0") == 0) & (F.col("n1") == 1), F.col("a1")).when((F.col("n0") + F.col("n1") == 0) & (F.col("n2") == 1), F.col("a2"))
+    has any is ambiguous and gives no row; a caller never links to itself.
+
+    No call meets its candidates: they are counted by tier, less the caller's own, with the least and the greatest
+    anchor, one of which is the only other one if one is left. A tier counts only if those before it have none, so
+    that its group holds no candidate of an earlier one.
+    """
+    known = names.where("anchor is not null").select("name", "anchor", "file", "module")
+    rows = calls.where("caller is not null").select("caller", "name", "file", "module")
+    for t, key in enumerate((["name", "file"], ["name", "module"], ["name"])):
+        each = known.groupBy(*key, "anchor").agg(F.count(F.lit(1)).alias("k"))
+        group = each.groupBy(*key).agg(F.sum("k").alias("all"), F.min("anchor").alias("lo"), F.max("anchor").alias("hi"))
+        own = each.select(*key, F.col("anchor").alias("caller"), F.col("k").alias("own"))
+        met = rows.join(group, key, "left").join(own, [*key, "caller"], "left")
+        n = F.coalesce("all", F.lit(0)) - F.coalesce("own", F.lit(0))
+        other = F.when(F.col("lo") == F.col("caller"), F.col("hi")).otherwise(F.col("lo"))
+        rows = met.withColumn(f"n{t}", n).withColumn(f"a{t}", F.when(n == 1, other)).drop("all", "own", "lo", "hi")
+    by = rows.groupBy("caller", "name").agg(*(F.sum(f"n{t}").alias(f"n{t}") for t in range(3)), *(F.min(f"a{t}").alias(f"a{t}") for t in range(3)))
+    pick = F.when(F.col("n0") > 0, F.when(F.col("n0") == 1, F.col("a0"))).when(F.col("n1") > 0, F.when(F.col("n1") == 1, F.col("a1"))).when(F.col("n2") == 1, F.col("a2"))
     return by.select("caller", "name", pick.alias("anchor")).where("anchor is not null")
 
 
