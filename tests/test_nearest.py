@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import answers, assembly, nearest
+from tests.test_growth import within
 
 
 def distance(a, b):
@@ -49,6 +50,33 @@ def test_nearest_equals_all_pairs(spark):
     assert got.count() == len(want) and {d for _, d in want.values()} >= {0, 1, 2, 3, 4}
 
 
+def test_nearest_below_common_beginnings(spark):
+    """Strings that begin alike, nested and of any length, and rests so short that all their signs may change."""
+    rng = random.Random(5)
+    heads = ["", "ab", "abcdabcd", "abcdabcdddddaaaa", "bbbbbbbbbbbbbb", "abcc"]
+    known = sorted({rng.choice(heads) + "".join(rng.choices("abcd", k=rng.randint(0, 9))) for _ in range(400)} - {""})
+    starts = nearest.common_starts(spark.createDataFrame([(x,) for x in known], "anchor string"), 20)
+    assert {"abcdabcd", "abcdabcdddddaaaa", "bbbbbbbbbbbbbb"} <= set(starts)
+    targets = sorted({changed(rng, rng.choice(known), rng.randint(0, 8)) for _ in range(250)})
+    for share in (3, 1):
+        want = {}
+        for t in targets:
+            d, a = min((distance(t, x), x) for x in known)
+            if share * d <= len(t) and d <= 16:
+                want[t] = (a, d)
+        got = nearest.nearest(spark.createDataFrame([(x,) for x in targets], "target string"), spark.createDataFrame([(x,) for x in known], "anchor string"), share, common=20)
+        assert {r.target: (r.anchor, r.distance) for r in got.collect()} == want and max(d for _, d in want.values()) >= 4
+
+
+def test_very_many_strings_that_begin_alike(spark):
+    """40,000 known strings; met by their common segment they are 400 million pairs a level."""
+    ids = spark.range(100_000, 140_000)
+    known = ids.select(F.concat(F.lit("module-supplier"), "id").alias("anchor"))
+    targets = ids.where("id % 2 = 0").select(F.when(F.col("id") % 4 == 0, F.concat(F.lit("module-supplierx"), "id")).otherwise(F.concat(F.lit("module-the-supplier"), "id")).alias("target"))
+    out = nearest.nearest(targets, known).where(F.substring("target", -6, 6) == F.substring("anchor", -6, 6))
+    assert within(spark, 100, lambda: {tuple(r) for r in out.groupBy("distance").count().collect()}) == {(1, 10_000), (4, 10_000)}
+
+
 def test_nearest_of_odd_tables(spark):
     none, one = spark.createDataFrame([], "target string"), spark.createDataFrame([("x" * 30_000,), ("abcdef",)], "target string")
     known = one.select(F.concat("target", F.lit("y")).alias("anchor"))
