@@ -130,3 +130,19 @@ def test_nothing_is_evidence_of_nothing(spark):
     near = evidence.call_neighbours(none("src string, dst string"), none("request string, anchor string"))
     lines = evidence.role_lines(none("file string, line int, text string"))
     assert evidence.evidence_packets(near, none("anchor string, file string, first int, last int"), lines).count() == 0
+
+
+def test_requests_without_a_core_are_not_walked_around(spark):
+    """A request needs lines of two roles of its own; what is left of the requests gives the same packets."""
+    found = spark.createDataFrame([("f", 1, 0, 16, "a"), ("f", 2, 1, 16, "b"), ("g", 1, 0, 32, "c"), ("g", 2, 0, 16, "d")], "file string, line int, role int, specificity int, text string")
+    spans = spark.createDataFrame([("x", "f", 1, 9), ("y", "g", 1, 9)], "anchor string, file string, first int, last int")
+    requests = spark.createDataFrame([("x", "x"), ("y", "y"), (None, "x"), ("z", "z")], "request string, anchor string")
+    calls = spark.createDataFrame([("x", "y"), ("y", "z"), ("x", "y"), ("x", "x"), ("x", None)], "src string, dst string")
+    few = evidence.node_lines(spans, found, 2)
+    cored = evidence.with_core(requests.selectExpr("request", "anchor", "0 as distance"), few)
+    assert [r.request for r in cored.where("request is not null").collect()] == ["x"]
+    near = evidence.call_neighbours(calls, requests.join(cored, "request", "left_semi"))
+    assert sorted(map(tuple, near.collect())) == [("x", "x", 0), ("x", "y", 1), ("x", "z", 2)]
+    got = sorted(map(tuple, evidence.packets(near, few, 2).collect()))
+    assert got == sorted(map(tuple, evidence.evidence_packets(evidence.call_neighbours(calls, requests), spans, found, 2).collect()))
+    assert [x[:5] for x in got] == [("x", 0, "y", "g", 1), ("x", 1, "x", "f", 2)]
