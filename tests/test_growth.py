@@ -7,6 +7,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from loomgraph.operators import linking
+from loomgraph.plans import tables
 
 
 def within(spark, seconds, work):
@@ -51,3 +52,11 @@ def test_a_name_that_every_caller_has(spark):
     calls = names.withColumnRenamed("anchor", "caller")
     out = linking.resolve_local(calls, names).withColumn("ok", F.col("anchor") == F.col("caller") + 1 - 2 * (F.col("caller") % 2))
     assert within(spark, 60, lambda: [tuple(r) for r in out.groupBy("ok").count().collect()]) == [(True, 60_000)]
+
+
+def test_pairs_are_dealt_by_rows(spark):
+    """A task's rows do not grow with the table, even where all of them would fit one task by their bytes."""
+    rows = spark.range(0, 3_000_000, numPartitions=8).select(F.floor(F.col("id") / 2).alias("a"), F.floor(F.col("id") / 6).alias("b"))
+    out = tables.distinct_pairs(rows, "a", "b")
+    assert out.groupBy(F.spark_partition_id()).count().agg(F.sum("count"), F.max("count") <= tables.TASK_ROWS).first()[:] == (1_500_000, True)
+    assert out.rdd.getNumPartitions() == 6
