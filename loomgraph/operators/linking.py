@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.plans.io import written
+from loomgraph.plans.tables import TASK_ROWS
 
 
 def name_index(anchors: DataFrame) -> DataFrame:
@@ -61,9 +62,11 @@ def mentions(tokens: DataFrame, names: DataFrame, least: int = 4) -> DataFrame:
 
 def cochange(commits: DataFrame, support: int = 3, low: int = 2, high: int = 20) -> DataFrame:
     """(a, b, together): files of at least ``support`` common commits (commit_id, file) that change ``low`` to
-    ``high`` files. The size gate is before the self-join: at most high**2 / 2 pairs a commit."""
-    one = commits.select("commit_id", "file").distinct()
-    sized = one.groupBy("commit_id").agg(F.array_sort(F.collect_set("file")).alias("files")).where(F.size("files").between(low, high))
+    ``high`` files. The size gate is before the self-join: at most high**2 / 2 pairs a commit. Commits are dealt to
+    as many tasks as the counted rows need, and are made distinct there."""
+    one = commits.select("commit_id", "file").where("commit_id is not null and file is not null")
+    n = max(commits.sparkSession.sparkContext.defaultParallelism, -(-one.count() // TASK_ROWS))
+    sized = one.repartition(n, "commit_id").groupBy("commit_id").agg(F.array_sort(F.collect_set("file")).alias("files")).where(F.size("files").between(low, high))
     a = sized.select("files", F.posexplode("files").alias("i", "a"))
     pairs = a.select("a", F.explode(F.slice("files", F.col("i") + 2, high)).alias("b"))
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= support)

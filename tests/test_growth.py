@@ -121,3 +121,27 @@ def test_sets_of_other_sizes_are_not_counted(spark):
     items = spark.range(50).select(F.col("id").alias("item_id"), F.array(F.lit("1"), F.lit("2"), (F.col("id") % 90 + 3).cast("string")).alias("q"))
     rows, size = shuffled(spark, lambda: retrieval.alike_sets(docs, items, 0.3).count())
     assert rows == 0 and size < 100_000
+
+
+def test_commits_are_dealt_by_rows(spark):
+    """Commits are in as many tasks as their rows need, not as few as their bytes would fit."""
+    commits = spark.range(3_200_000).select(F.floor(F.col("id") / 4).alias("commit_id"), F.lit(1).alias("file"))
+    plan = linking.cochange(commits, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(commit_id" in plan and ", 7), REPARTITION_BY_NUM" in plan
+
+
+def test_cochange_is_what_loops_give(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([*range(25), None]), rng.choice([*range(12), None])) for _ in range(200)]
+    held = defaultdict(set)
+    for commit, file in rows:
+        if commit is not None and file is not None:
+            held[commit].add(file)
+    wanted = defaultdict(int)
+    for files in held.values():
+        if 2 <= len(files) <= 7:
+            for a in files:
+                for b in files:
+                    wanted[a, b] += a < b
+    got = linking.cochange(spark.createDataFrame(rows, "commit_id int, file int"), 3, 2, 7).collect()
+    assert {tuple(r) for r in got} == {(*p, n) for p, n in wanted.items() if n >= 3} and len(got) == len(set(got))
