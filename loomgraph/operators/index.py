@@ -25,14 +25,27 @@ SELF = ""
 
 def term_counts(docs: DataFrame, tokens: Callable[[Column], Column]) -> DataFrame:
     """(token, doc_id, tf, len) of documents (doc_id, text), and a row with the token ``SELF`` a document whose tf is
-    its number of distinct tokens."""
-    a = docs.where("doc_id is not null").select("doc_id", F.sort_array(F.filter(tokens(F.coalesce(F.col("text"), F.lit(""))), lambda x: x != SELF)).alias("s"))
-    first = F.filter(F.transform("s", lambda x, i: F.when((i == 0) | (F.get("s", i - 1) != x), i)), lambda i: i.isNotNull())
-    a = a.select("doc_id", "s", first.alias("at"))
-    runs = F.transform("at", lambda p, k: F.struct(F.get("s", p).alias("token"), (F.coalesce(F.get("at", k + 1), F.size("s")) - p).alias("tf")))
-    own = F.array(F.struct(F.lit(SELF).alias("token"), F.size("at").alias("tf")))
-    out = a.select("doc_id", F.size("s").alias("len"), F.explode(F.concat(own, runs)).alias("p"))
-    return out.select("p.token", "doc_id", "p.tf", "len")
+    its number of distinct tokens. Batches of token lists are counted as numbers of their words."""
+    import numpy as np
+    import pyarrow as pa
+
+    listed = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.array_remove(tokens(F.coalesce(F.col("text"), F.lit(""))), SELF), F.array().cast("array<string>")).alias("a"))
+
+    def count(batches):
+        for batch in batches:
+            ids, lists = batch.column("doc_id"), batch.column("a")
+            n = np.diff(lists.offsets.to_numpy())
+            words = lists.flatten().dictionary_encode()
+            of = np.repeat(np.arange(len(n)), n)
+            size = max(len(words.dictionary), 1)
+            key, tf = np.unique(of * size + words.indices.to_numpy(), return_counts=True)
+            doc, word = key // size, key % size
+            uniq = np.bincount(doc, minlength=len(n))
+            yield pa.RecordBatch.from_arrays([
+                pa.concat_arrays([pa.array([SELF] * len(n), pa.string()), words.dictionary.take(pa.array(word))]),
+                pa.concat_arrays([ids, ids.take(pa.array(doc))]),
+                pa.array(np.r_[uniq, tf].astype(np.int32)), pa.array(np.r_[n, n[doc]].astype(np.int32))], names=["token", "doc_id", "tf", "len"])
+    return listed.mapInArrow(count, f"token string, doc_id {docs.schema['doc_id'].dataType.simpleString()}, tf int, len int")
 
 
 class TextIndex:

@@ -2,12 +2,12 @@
 
 import random
 import threading
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomgraph.operators import linking, retrieval
+from loomgraph.operators import index, linking, retrieval
 from loomgraph.plans import tables
 
 
@@ -145,3 +145,17 @@ def test_cochange_is_what_loops_give(spark):
                     wanted[a, b] += a < b
     got = linking.cochange(spark.createDataFrame(rows, "commit_id int, file int"), 3, 2, 7).collect()
     assert {tuple(r) for r in got} == {(*p, n) for p, n in wanted.items() if n >= 3} and len(got) == len(set(got))
+
+
+def test_terms_are_what_a_counter_counts(spark):
+    rows = [("a", "b b  a"), ("b", None), ("c", ""), (None, "x"), ("d", " ".join(map(str, range(500))) + " 7")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    found = index.term_counts(docs, lambda t: F.split(t, " "))
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    wanted = set()
+    for d, text in rows:
+        if d is not None:
+            words = [w for w in (text or "").split(" ") if w]
+            wanted |= {(w, d, n, len(words)) for w, n in Counter(words).items()} | {(index.SELF, d, len(set(words)), len(words))}
+    got = found.collect()
+    assert {tuple(r) for r in got} == wanted and len(got) == len(wanted)
