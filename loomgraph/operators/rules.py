@@ -86,11 +86,10 @@ def expected_metadata(anchor: Column) -> Column:
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(anchor, node_type) of nodes without any edge."""
-    # Ends and nodes meet in one aggregate; a join would be pushed into every table the nodes come from.
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("anchor"), F.lit(None).cast("string").alias("node_type"))
-    both = nodes.select("anchor", "node_type").unionByName(ends).groupBy("anchor")
-    met = both.agg(F.count_if(F.col("node_type").isNull()).alias("ends"), F.collect_list("node_type").alias("types"))
-    return met.where("ends = 0").select("anchor", F.explode("types").alias("node_type"))
+    # An anti join would be pushed into every table the nodes come from; an outer one is made once. Distinct ends are
+    # combined by hash before they are shuffled, which lists of them are not.
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("anchor")).distinct().withColumn("met", F.lit(True))
+    return nodes.select("anchor", "node_type").join(ends, "anchor", "left").where("met is null").drop("met")
 
 
 def unresolved(refs: DataFrame, nodes: DataFrame) -> DataFrame:

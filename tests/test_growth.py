@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomgraph.operators import index, linking, retrieval
+from loomgraph.operators import index, linking, retrieval, rules
 from loomgraph.plans import tables
 
 
@@ -159,3 +159,12 @@ def test_terms_are_what_a_counter_counts(spark):
             wanted |= {(w, d, n, len(words)) for w, n in Counter(words).items()} | {(index.SELF, d, len(set(words)), len(words))}
     got = found.collect()
     assert {tuple(r) for r in got} == wanted and len(got) == len(wanted)
+
+
+def test_orphans_combine_ends_by_hash(spark):
+    """Two nodes may have one anchor; ends are made distinct by hash, not listed in sorted groups."""
+    nodes = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "y"), ("c", "x")], "anchor string, node_type string")
+    edges = spark.createDataFrame([("a", "z", "Uses")] * 3 + [("c", "c", "Uses")], "src string, dst string, edge_type string")
+    out = rules.orphans(nodes, edges)
+    assert sorted(map(tuple, out.collect())) == [("b", "x"), ("b", "y")]
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
