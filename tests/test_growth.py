@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import index, linking, retrieval, rules
 from loomgraph.plans import tables
+from loomgraph.plans.queries import QUERIES
 
 
 def within(spark, seconds, work):
@@ -168,3 +169,7 @@ def test_orphans_combine_ends_by_hash(spark):
     out = rules.orphans(nodes, edges)
     assert sorted(map(tuple, out.collect())) == [("b", "x"), ("b", "y")]
     assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_document_frequency_shuffles_words_only(spark, sf):
+    assert "doc_id" not in QUERIES["discriminative_terms"](spark, sf)._jdf.queryExecution().executedPlan().toString()
