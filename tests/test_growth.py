@@ -1,6 +1,8 @@
 """Tables with large groups: results of plain loops, and work that grows no faster than the rows."""
 
+import math
 import random
+import re
 import threading
 from collections import Counter, defaultdict
 
@@ -173,3 +175,29 @@ def test_orphans_combine_ends_by_hash(spark):
 
 def test_document_frequency_shuffles_words_only(spark, sf):
     assert "doc_id" not in QUERIES["discriminative_terms"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_word_pairs_are_what_loops_give(spark):
+    """Documents with one id and one length are one; null texts, null ids and letters that are no a-z; batches of any size."""
+    rng = random.Random(11)
+    pick = lambda: " ".join(rng.choice(["a", "b2", "C", "é", "d-e", "\u212a", "zz.", *map(str, range(30))]) for _ in range(rng.randint(0, 9)))
+    rows = [(rng.choice([*range(40), None]), rng.choice([pick(), pick(), None])) for _ in range(90)] + [(1, "x y"), (1, "y x"), (1, " x"), (2, "")]
+    postings = {(t, i, len(words)) for i, text in rows for words in [re.findall("[a-z0-9]+", (text or "").lower())] for t in words}
+    df = Counter(t for t, *_ in postings)
+    held = defaultdict(list)
+    for t, i, _ in postings:
+        if 3 <= df[t] <= 9 and i is not None:
+            held[i].append(t)
+    co = Counter((a, b) for words in held.values() for a in words for b in words if a < b)
+    wanted = sorted((a, b, k, round(max(0, math.log2(k * len(rows) / df[a] / df[b])), 9)) for (a, b), k in co.items())
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(2)
+    for most in (1, 60, 8_000_000):
+        got = retrieval.ppmi(retrieval.seldom_words(docs, 9, most), docs.agg(F.count(F.lit(1)).alias("n")), 3, 9).collect()
+        assert sorted((r.a, r.b, r.co, round(r.score, 9)) for r in got) == wanted and wanted
+
+
+def test_frequent_words_are_not_shuffled_by_document(spark, tmp_path):
+    """Words that all documents have take a row a batch, and texts are cut into words once."""
+    spark.range(4_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.sequence(F.lit(1), F.lit(200)), F.col("id") + 1_000).alias("text")).coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    rows, size = shuffled(spark, lambda: QUERIES["ppmi_pairs"](spark, str(tmp_path)).count())
+    assert rows == 0 and size < 400_000
