@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomgraph.operators import index, linking, retrieval, rules
+from loomgraph.operators import analytics, index, linking, retrieval, rules
 from loomgraph.plans import tables
 from loomgraph.plans.queries import QUERIES
 
@@ -201,3 +201,24 @@ def test_frequent_words_are_not_shuffled_by_document(spark, tmp_path):
     spark.range(4_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.sequence(F.lit(1), F.lit(200)), F.col("id") + 1_000).alias("text")).coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
     rows, size = shuffled(spark, lambda: QUERIES["ppmi_pairs"](spark, str(tmp_path)).count())
     assert rows == 0 and size < 400_000
+
+
+def test_ranks_read_their_edges_once(spark):
+    """However many steps there are; parallel edges, loops and nodes beside all edges as in plain loops."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    pairs = [("a", "b"), ("a", "b"), ("a", "c"), ("b", "c"), ("c", "c"), ("c", "d")]
+    edges = spark.createDataFrame(pairs, "src string, dst string").mapInArrow(count, "src string, dst string")
+    nodes = spark.createDataFrame([(x,) for x in "abcdea"], "anchor string")
+    got = {r.anchor: r.rank for r in analytics.pagerank(nodes, edges, iterations=3, tolerance=0.0).collect()}
+    assert seen.value == len(pairs)
+    walked, rank = [(a, b) for a, b in pairs if a != b], dict.fromkeys("abcde", 0.2)
+    degree = Counter(a for a, _ in walked)
+    for _ in range(3):
+        rest = sum(r for x, r in rank.items() if not degree[x])
+        rank = {x: 0.15 / 5 + 0.85 * (rest / 5 + sum(rank[a] / degree[a] for a, b in walked if b == x)) for x in rank}
+    assert {x: round(r, 9) for x, r in got.items()} == {x: round(r, 9) for x, r in rank.items()}
