@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -240,6 +241,12 @@ class DocumentWriter(DataSourceArrowWriter):
         system, base = fs.FileSystem.from_uri(self.root)
         return system, base.rstrip("/")
 
+    def begin(self) -> DocumentWriter:
+        """Makes the job's folder. Tasks never do: one that still runs when its job is aborted must not bring it back."""
+        system, base = self._at()
+        system.create_dir(f"{base}/_tmp-{self.job}", recursive=True)
+        return self
+
     def write(self, iterator):
         at = TaskContext.get()
         system, base = self._at()
@@ -251,7 +258,6 @@ class DocumentWriter(DataSourceArrowWriter):
                     attributes = r.get("attributes")
                     text = emit(Document(r.get("anchor"), r.get("node_type"), 0, r.get("text"), None if attributes is None else dict(attributes))).encode()
                     if out is None:
-                        system.create_dir(f"{base}/_tmp-{self.job}", recursive=True)
                         out = system.open_output_stream(temporary, compression=None)
                     out.write(text)
                     digest.update(text)
@@ -259,15 +265,23 @@ class DocumentWriter(DataSourceArrowWriter):
         except BaseException:
             if out is not None:
                 out.close()
-                system.delete_file(temporary)
+                if system.get_file_info(temporary).type == fs.FileType.File:
+                    system.delete_file(temporary)
             raise
         if out is not None:
             out.close()
         return Written(at.partitionId(), temporary if n else "", n, size, digest.hexdigest())
 
     def _clear(self, system: fs.FileSystem, base: str) -> None:
-        if system.get_file_info(f"{base}/_tmp-{self.job}").type != fs.FileType.NotFound:
-            system.delete_dir(f"{base}/_tmp-{self.job}")
+        for again in (True, True, True, False):
+            try:
+                if system.get_file_info(f"{base}/_tmp-{self.job}").type != fs.FileType.NotFound:
+                    system.delete_dir(f"{base}/_tmp-{self.job}")
+                return
+            except OSError:  # a task began a file, or took its own away, meanwhile
+                if not again:
+                    raise
+                time.sleep(0.2)
 
     def commit(self, messages):
         system, base = self._at()
@@ -322,7 +336,7 @@ class DocumentSource(DataSource):
         return DocumentStream(*self._how(schema))
 
     def writer(self, schema, overwrite):
-        return DocumentWriter(self.options["path"] if "://" in self.options["path"] else f"file://{self.options['path']}", overwrite)
+        return DocumentWriter(self.options["path"] if "://" in self.options["path"] else f"file://{self.options['path']}", overwrite).begin()
 
 
 def register(spark: SparkSession, *extractors: Extractor) -> None:

@@ -1,7 +1,9 @@
 """The document source and sink: round trips, projections, registration, streams, failed writes."""
 
 import os
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +54,23 @@ def test_a_failed_task_leaves_nothing(spark, tmp_path):
     assert os.listdir(out) == []
 
 
+def test_a_task_that_outlives_its_job_leaves_nothing(monkeypatch, tmp_path):
+    """A killed task may still write when the job's folder is taken away."""
+    monkeypatch.setattr(D, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0, taskAttemptId=lambda: 0)))
+    rows = pa.RecordBatch.from_pydict({"anchor": ["a"], "text": ["t"]})
+    for before in ([], [rows]):
+        writer = D.DocumentSource({"path": str(tmp_path)}).writer(None, True)
+
+        def late(writer=writer, before=before):
+            yield from before
+            writer.abort([])
+            yield rows
+            raise RuntimeError("killed")
+        with pytest.raises((RuntimeError, OSError)):
+            writer.write(late())
+        assert os.listdir(tmp_path) == []
+
+
 @pytest.fixture
 def folder(tmp_path):
     root = tmp_path / "in"
