@@ -23,9 +23,9 @@ import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from heapq import heapreplace
 from io import BytesIO
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -137,64 +137,84 @@ class Network:
         with np.load(BytesIO(raw)) as z:
             return cls(p, {k: z[k] for k in z.files})
 
-    def run(self, h: np.ndarray, ids: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, list]:
-        """``turned`` with rows before what is hidden, in ``h`` and in the states."""
-        states, tape = self.turned(np.ascontiguousarray(h.T), ids, keep)
-        return states.transpose(0, 2, 1), tape
-
-    def turned(self, h: np.ndarray, ids: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, list]:
-        """States (steps x hidden x rows) after each of the tokens ``ids`` (steps x rows), from state ``h`` (hidden x
-        rows); ``keep`` zeroes states where 0. Rows stand last, so that every part of a step is one block of memory."""
+    def gates(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of the update, the reset and the new state: each id's input with its bias (3 x ids x hidden) and the
+        state's weights (3 x hidden x hidden), times what ``run`` takes the exponential of."""
         w, n = self.parts, self.p.hidden
-        half = np.repeat(np.float32([0.5, 1.0]), [2 * n, n])  # sigmoid(a) is (1 + tanh(a / 2)) / 2
-        u = np.ascontiguousarray((w["u"] * half).T)
-        states, tape = np.empty((len(ids), n, ids.shape[1]), np.float32), []
-        x = np.empty((3 * n, ids.shape[1]), np.float32)
-        for t in range(len(ids)):
-            hp = h if keep is None else h * keep[t]
-            g = u @ hp
-            own = w["x"].take(ids[t], axis=0)
-            own += w["b"]
-            own *= half
-            x[...] = own.T
-            gates = g[: 2 * n]
-            gates += x[: 2 * n]
-            np.tanh(gates, out=gates)
-            gates *= 0.5
-            gates += 0.5
-            z, r = g[:n], g[n:2 * n]
-            new = r * g[2 * n:]
-            new += x[2 * n:]
-            np.tanh(new, out=new)
-            h = states[t]
-            np.subtract(hp, new, out=h)
-            h *= z
-            h += new
-            if keep is not None:
-                tape.append((hp, z, r, new, g[2 * n:]))
-        return states, tape
-
-    def log_p(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        x, b = np.empty((3, len(w["x"]), n), np.float32), -w["b"]
+        for i in range(3):
+            np.subtract(b[i * n:i * n + n], w["x"][:, i * n:i * n + n], out=x[i])
+        x[2] *= 2
+        return x, w["u"].reshape(n, 3, n).transpose(1, 0, 2) * np.float32([-1, -1, -2]).reshape(3, 1, 1)
+
+    def softmaxes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights with biases as last row: of the classes, and within each class."""
+        w = self.parts
+        return np.vstack([w["wc"], w["bc"]]), np.concatenate([w["ww"], w["bw"][:, None]], axis=1)
+
+    def run(self, h: np.ndarray, ids: np.ndarray, keep: np.ndarray | None = None, gates: tuple[np.ndarray, np.ndarray] | None = None, taped: bool = False) -> tuple[np.ndarray, tuple]:
+        """States (steps x rows x hidden) after each of the tokens ``ids`` (steps x rows), from state ``h`` (rows x
+        hidden); ``keep`` zeroes states where 0. Each gate is a block of memory of its own; ``gates`` are made if not given.
+        With ``taped``, what every step had before it, its gates and its new states come too."""
+        x, u = gates or self.gates()
+        states = np.empty((*ids.shape, self.p.hidden), np.float32)
+        held = len(ids) if taped else 1  # steps that are written over each other
+        befores, news = np.empty((2, held, *states.shape[1:]), np.float32)
+        gs = np.empty((held, 3, *states.shape[1:]), np.float32)
+        views = [(befores[i], gs[i], gs[i, :2], *gs[i], news[i]) for i in range(held)]
+        gone = [()] * len(ids)
+        if keep is not None:
+            step, row = np.nonzero(keep == 0)
+            gone = np.split(row, np.searchsorted(step, np.arange(1, len(ids))))
+        with np.errstate(over="ignore"):  # exp of a shut gate may be infinite, and the gate is 0
+            for t in range(len(ids)):
+                hp, g, both, z, r, gn, new = views[t % held]
+                if taped or len(gone[t]):
+                    hp[...] = h
+                    if len(gone[t]):
+                        hp[gone[t]] = 0
+                else:
+                    hp = h
+                np.matmul(hp, u, out=g)
+                own = x.take(ids[t], axis=1)
+                both += own[:2]
+                np.exp(both, out=both)
+                both += 1
+                np.divide(1, both, out=both)  # the sigmoids
+                np.multiply(r, gn, out=new)
+                new += own[2]
+                np.exp(new, out=new)
+                new += 1
+                np.divide(2, new, out=new)
+                new -= 1  # tanh(a) is 2 / (1 + exp(-2 a)) - 1
+                h = states[t]
+                np.subtract(hp, new, out=h)
+                h *= z
+                h += new
+        return states, (befores, gs, news)
+
+    def log_p(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None, made: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log of each target's probability given its state (rows x hidden); with ``grads``, adds the
-        gradients of the summed loss there and returns the states' gradient."""
+        gradients of the summed loss there and returns the states' gradient. ``softmaxes`` are made if not given."""
         w, n = self.parts, self.p.hidden
         cls, at = np.divmod(targets, self.width)
         order = np.argsort(cls.astype(np.int16), kind="stable")  # by class: each class's rows are a slice
         cls, at = cls[order], at[order]
         edges = np.searchsorted(cls, np.arange(self.p.classes + 1)).tolist()
-        outside = np.vstack([w["wc"], w["bc"]]).T
-        within = np.concatenate([w["ww"], w["bw"][:, None]], axis=1).transpose(0, 2, 1)
+        outside, within = made or self.softmaxes()
 
         def soft(e, want):
-            here = np.arange(len(want))
-            e -= e.max(axis=0)
-            got = e[want, here]
+            want = want + np.arange(0, e.size, e.shape[1])
+            if e.max() > 60 or e.min() < -60:  # else neither the exponentials nor their sum leave the numbers' range
+                e -= e.max(axis=1, keepdims=True)
+            flat = e.reshape(-1)
+            got = flat.take(want)
             np.exp(e, out=e)
-            total = e.sum(axis=0)
+            total = e @ np.ones(e.shape[1], e.dtype)
             got -= np.log(total)
             if grads is not None:
-                e *= 1 / total
-                e[want, here] -= 1
+                e *= (1 / total)[:, None]
+                flat[want] -= 1
             return got
 
         out = np.empty(len(order), w["wc"].dtype)
@@ -205,24 +225,24 @@ class Network:
             one[:, :-1] = states.take(rows, axis=0)
             own, ends = cls[a:a + len(rows)], a + len(rows)
             slices = [(c, slice(max(edges[c], a) - a, min(edges[c + 1], ends) - a)) for c in range(own[0], own[-1] + 1) if edges[c] < edges[c + 1]]
-            outer = outside @ one.T
+            outer = one @ outside
             got = soft(outer, own)
-            inner = np.empty((self.width, len(rows)), out.dtype)
+            inner = np.empty((len(rows), self.width), out.dtype)
             for c, part in slices:
-                np.matmul(within[c], one[part].T, out=inner[:, part])
+                np.matmul(one[part], within[c], out=inner[part])
             got += soft(inner, at[a:ends])
             out[rows] = got
             if grads is not None:
-                g = outer @ one
-                grads["wc"] += g[:, :-1].T
-                grads["bc"] += g[:, -1]
-                by, more = outer.T @ w["wc"].T, np.empty((len(rows), n), out.dtype)
+                g = one.T @ outer
+                grads["wc"] += g[:-1]
+                grads["bc"] += g[-1]
+                by, more = outer @ w["wc"].T, np.empty((len(rows), n), out.dtype)
                 for c, part in slices:
-                    e = inner[:, part]
-                    g = e @ one[part]
-                    grads["ww"][c] += g[:, :-1].T
-                    grads["bw"][c] += g[:, -1]
-                    np.matmul(e.T, w["ww"][c].T, out=more[part])
+                    e = inner[part]
+                    g = one[part].T @ e
+                    grads["ww"][c] += g[:-1]
+                    grads["bw"][c] += g[-1]
+                    np.matmul(e, w["ww"][c].T, out=more[part])
                 by += more
                 d[rows] = by
         return out, d
@@ -247,49 +267,50 @@ class Network:
         self.parts = w
         count, total = 0, epochs * -(-steps // p.unroll)
         for _ in range(epochs):
-            h = np.zeros((n, streams), np.float32)
+            h = np.zeros((streams, n), np.float32)
             for s in range(0, steps, p.unroll):
                 ids, want = before[s:s + p.unroll], target[s:s + p.unroll]
-                keep = (ids != end).astype(np.float32)
-                states, tape = self.turned(h, ids, keep)
+                keep = ids != end
+                states, tape = self.run(h, ids, keep, taped=True)
                 h = states[-1]
                 g.fill(0)
                 here = real[s:s + p.unroll].ravel()
                 if here.all():
-                    _, d = self.log_p(states.transpose(0, 2, 1).reshape(-1, n), want.ravel(), grads)
+                    _, d = self.log_p(states.reshape(-1, n), want.ravel(), grads)
                 else:
                     d = np.zeros((ids.size, n), flat.dtype)
-                    d[here] = self.log_p(states.transpose(0, 2, 1).reshape(-1, n)[here], want.ravel()[here], grads)[1]
-                d = np.ascontiguousarray(d.reshape(*ids.shape, n).transpose(0, 2, 1))
-                after, back = np.zeros_like(h), np.ascontiguousarray(w["u"])
-                a, dg = np.empty((2, 3 * n, streams), np.float32)
-                inputs, du = np.empty((*ids.shape, 3 * n), np.float32), np.zeros((3 * n, n), np.float32)
+                    d[here] = self.log_p(states.reshape(-1, n)[here], want.ravel()[here], grads)[1]
+                d = d.reshape(*ids.shape, n)
+                befores, gs, news = tape
+                after, back = np.zeros_like(h), np.ascontiguousarray(w["u"].T)
+                inputs, inner = np.empty((*ids.shape, 3 * n), np.float32), np.empty((*ids.shape, n), np.float32)
+                a, rest = np.empty((2, *h.shape), np.float32)
                 for t in range(len(ids) - 1, -1, -1):
-                    hp, z, r, new, gn = tape[t]
-                    dh = d[t]
+                    hp, (z, r, gn), new, dh, own, dn = befores[t], gs[t], news[t], d[t], inputs[t], inner[t]
                     dh += after
-                    dn, rest = a[2 * n:], np.subtract(1, z, out=dg[2 * n:])
+                    np.subtract(1, z, out=rest)
+                    np.subtract(hp, new, out=a)
+                    a *= dh
+                    a *= z
+                    np.multiply(a, rest, out=own[:, :n])
                     np.multiply(dh, rest, out=dn)
-                    np.subtract(hp, new, out=a[:n])
-                    a[:n] *= dh
-                    a[:n] *= z
-                    a[:n] *= rest
                     new *= new
                     np.subtract(1, new, out=new)
                     dn *= new
-                    np.multiply(dn, r, out=rest)
-                    np.multiply(rest, gn, out=a[n:2 * n])
-                    np.subtract(1, r, out=r)
-                    a[n:2 * n] *= r
-                    dg[:2 * n] = a[:2 * n]
-                    inputs[t] = a.T
-                    du += dg @ hp.T
-                    after = back @ dg
+                    own[:, 2 * n:] = dn
+                    dn *= r  # what reaches the state's part of the new state
+                    gn *= dn
+                    np.subtract(r, 1, out=r)
+                    r *= 0.5  # ``gates`` makes that part -2 times as large
+                    np.multiply(gn, r, out=own[:, n:2 * n])
+                    after = own[:, :2 * n] @ back[:2 * n]
+                    after += dn @ back[2 * n:]
                     dh *= z
                     after += dh
-                    after *= keep[t]
-                grads["u"] += du.T
-                inputs = inputs.reshape(-1, 3 * n)
+                    after[~keep[t]] = 0
+                inputs, befores = inputs.reshape(-1, 3 * n), befores.reshape(-1, n).T
+                grads["u"][:, :2 * n] += befores @ inputs[:, :2 * n]
+                grads["u"][:, 2 * n:] += befores @ inner.reshape(-1, n)
                 grads["b"] += np.ones(len(inputs), np.float32) @ inputs
                 _add_rows(grads["x"], ids.ravel(), inputs)
                 count += 1
@@ -301,44 +322,51 @@ class Network:
                     one, first, second = g[i:i + 16_384], m[i:i + 16_384], v2[i:i + 16_384]
                     one *= scale
                     first *= 0.9
+                    first += one  # the mean times 10
                     second *= 0.99
-                    first += 0.1 * one
                     one *= one
-                    one *= 0.01
-                    second += one
+                    second += one  # that of squares times 100
                     np.sqrt(second, out=one)
-                    one += 1e-6
+                    one += 1e-5
                     np.divide(first, one, out=one)
                     one *= now
                     flat[i:i + 16_384] -= one
         return targets
 
     def score(self, documents: list[np.ndarray], end: int) -> np.ndarray:
-        """Natural log-likelihood of each document's complete token row (its end included)."""
-        p = self.p
-        out = np.zeros(len(documents))
-        order = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
-        for s in range(0, len(order), p.together):
-            group = order[s:s + p.together]
-            sizes = np.array([len(documents[i]) for i in group])
-            h = np.zeros((p.hidden, len(group)), np.float32)
-            last = np.full(len(group), end)
-            for a in range(0, int(sizes[0]), p.window):
-                live = int((sizes > a).sum())  # longest first: those still running stand in front
-                steps = min(p.window, int(sizes[0]) - a)
-                target = np.full((steps, live), -1)
-                for j in range(live):
-                    part = documents[group[j]][a:a + steps]
-                    target[: len(part), j] = part
-                ids = np.empty((steps, live), np.int64)
-                ids[0], ids[1:] = last[:live], np.maximum(target[:-1], 0)
-                states, _ = self.turned(np.ascontiguousarray(h[:, :live]), ids)
-                h, last = states[-1], target[-1]
-                inside = target >= 0
-                rows = states.transpose(0, 2, 1).reshape(-1, p.hidden)
-                got, _ = self.log_p(rows if inside.all() else rows.take(np.flatnonzero(inside), axis=0), target[inside])
-                who = np.broadcast_to(np.arange(live), target.shape)[inside]
-                out[group[:live]] += np.bincount(who, weights=got, minlength=live)
+        """Natural log-likelihood of each document's complete token row (its end included). Documents stand one after
+        the other in ``together`` lanes of about the same length; each starts from no state."""
+        p, gates, made = self.p, self.gates(), self.softmaxes()
+        out, size = np.zeros(len(documents)), np.array([len(x) for x in documents], np.int64)
+        heap = [(0, i) for i in range(min(p.together, len(documents)))]
+        lanes: list[list[int]] = [[] for _ in heap]
+        for i in np.argsort(-size, kind="stable").tolist():  # longest first, each to the shortest lane
+            held, lane = heap[0]
+            lanes[lane].append(i)
+            heapreplace(heap, (held + int(size[i]), lane))
+        lanes = [lanes[i] for _, i in sorted(heap, reverse=True)]
+        tokens = [np.concatenate([documents[i] for i in lane]) for lane in lanes]
+        owners = [np.repeat(np.array(lane, np.int32), size[lane]) for lane in lanes]
+        long = np.array([len(x) for x in tokens])
+        h, last, own = np.zeros((len(lanes), p.hidden), np.float32), np.full(len(lanes), end), np.full(len(lanes), -1)
+        for a in range(0, int(long.max(initial=0)), p.window):
+            live, steps = int((long > a).sum()), min(p.window, int(long[0]) - a)  # longest first: those still running stand in front
+            target, owner = np.full((2, live, steps), -1)
+            for j in range(live):
+                part = tokens[j][a:a + steps]
+                target[j, :len(part)], owner[j, :len(part)] = part, owners[j][a:a + steps]
+            target, owner = np.ascontiguousarray(target.T), np.ascontiguousarray(owner.T)
+            start = owner != np.vstack([own[:live], owner[:-1]])
+            ids = np.vstack([last[:live], target[:-1]])
+            ids[start] = end
+            states, _ = self.run(h[:live], ids, ~start, gates)
+            h, last, own = states[-1], target[-1], owner[-1]
+            inside = np.flatnonzero(target >= 0)
+            rows, target, owner = states.reshape(-1, p.hidden), target.ravel(), owner.ravel()
+            if len(inside) < len(target):
+                rows, target, owner = rows.take(inside, axis=0), target[inside], owner[inside]
+            got, _ = self.log_p(rows, target, made=made)
+            out += np.bincount(owner, weights=got, minlength=len(out))
         return out
 
 
@@ -397,6 +425,16 @@ class Vocabulary:
     total: int
     distinct: int
     mass: np.ndarray  # of each bucket: counts of its words that are no outputs, 0.1 a word, and 0.1
+    made: Encoder | None = field(default=None, repr=False, compare=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"made": None}
+
+    def encoder(self, p: Gru) -> Encoder:
+        """Made once in a process and kept: its tasks share what was broadcast to it."""
+        if self.made is None or self.made.p != p:
+            self.made = Encoder(self, p)
+        return self.made
 
     def index(self, p: Gru) -> dict[bytes, int]:
         """Of each head word its number; an end that was never counted is put last."""
@@ -438,18 +476,18 @@ class Encoder:
     """Texts to the model's ids, with what is known of each word without the count table."""
 
     def __init__(self, v: Vocabulary, p: Gru):
-        self.p, self.at = p, v.index(p)
-        n = len(self.at)
+        names = v.words if END in v.words else [*v.words, END]
+        self.p, self.names = p, pa.array(names, pa.binary())
+        n = len(names)
         counts = np.zeros(n)
         counts[: len(v.counts)] = v.counts
         self.log_count, self.log_mass = np.log10(counts + 0.1), np.log10(v.mass)
         ids, share = np.arange(n), np.zeros(n)
         if n > p.outputs:
-            names = [*v.words, END][:n]
             ids[p.outputs:] = p.outputs + self.buckets(names[p.outputs:])
             share[p.outputs:] = self.log_count[p.outputs:] - self.log_mass[ids[p.outputs:] - p.outputs]
         self.ids, self.share, self.known = ids, share, counts > 0
-        self.end = int(ids[self.at[END]])
+        self.end = int(ids[names.index(END)])
 
     def buckets(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter((bucket_of(w, self.p.buckets) for w in words), np.int64, len(words))
@@ -464,19 +502,18 @@ class Encoder:
         """Of runs of rows of ``texts``: the ids of all their tokens, where in them each row ends, each row's sums, and
         each row's words beyond the head, with how often they occur."""
         for words, tokens, ends in tokens_of(texts):
-            names = words.to_pylist()
-            at = np.fromiter(map(self.at.get, names, repeat(-1)), np.int64, len(names))
+            at = pc.fill_null(pc.index_in(words, self.names), -1).to_numpy()
             rare = np.flatnonzero(at < 0)
             ids, known, log_count, share = self.ids[at], self.known[at], self.log_count[at], self.share[at]
-            bucket = self.buckets([names[i] for i in rare.tolist()])
+            bucket = self.buckets(words.take(pa.array(rare)).to_pylist())
             ids[rare], known[rare], log_count[rare], share[rare] = self.p.outputs + bucket, False, 0, -self.log_mass[bucket]
             first = np.r_[0, ends[:-1] + 1]
             sums = {"n": ends + 1 - first, "known": np.add.reduceat(known[tokens].astype(np.int64), first)}
             sums |= {k: np.add.reduceat(x[tokens], first) for k, x in (("log_count", log_count), ("share", share))}
             where = np.flatnonzero((at < 0)[tokens])
-            key, times = np.unique(np.searchsorted(ends, where) * len(names) + tokens[where], return_counts=True)
-            cut = np.searchsorted(key, np.arange(len(ends) + 1) * len(names))
-            rest = pa.StructArray.from_arrays([words.take(pa.array(key % len(names))), pa.array(times, pa.int64())], ["word", "times"])
+            key, times = np.unique(np.searchsorted(ends, where) * len(words) + tokens[where], return_counts=True)
+            cut = np.searchsorted(key, np.arange(len(ends) + 1) * len(words))
+            rest = pa.StructArray.from_arrays([words.take(pa.array(key % len(words))), pa.array(times, pa.int64())], ["word", "times"])
             yield ids[tokens], ends, sums, pa.ListArray.from_arrays(pa.array(cut, pa.int32()), rest)
 
 
@@ -493,7 +530,7 @@ def _train_task(sample: DataFrame, v, p: Gru) -> bytes:
 
 def train(texts: list[str | None], v: Vocabulary, p: Gru = DEFAULT) -> Network:
     """A network that has learned the texts in the order given; without any it is the unigram model."""
-    e = Encoder(v, p)
+    e = v.encoder(p)
     frequency = np.zeros(p.size)
     k = min(len(v.words), p.outputs)
     frequency[:k] = v.counts[:k]
@@ -510,7 +547,7 @@ def encoded(docs: DataFrame, shipped, p: Gru) -> DataFrame:
     round that learns it (null: held out), its sums, its words beyond the head, and a number of its own. Written once:
     that number, drawn at random, holds from here on, and texts are cut into words for the last time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Encoder(shipped.value, p)
+        e = shipped.value.encoder(p)
         salt = int.from_bytes(os.urandom(8), "little") >> 1
         row = 0
         for b in batches:
@@ -620,7 +657,7 @@ def score_documents(docs: DataFrame, p: Gru = DEFAULT) -> DataFrame:
             to = np.cumsum(b.column("n_tokens").to_numpy())
             at = 0
             while at < len(to):
-                n = max(1, int(np.searchsorted(to, 1_500_000 + (to[at - 1] if at else 0), "right")) - at)
+                n = max(1, int(np.searchsorted(to, 3_000_000 + (to[at - 1] if at else 0), "right")) - at)
                 part = b.slice(at, n)
                 got = net.score([np.frombuffer(x.as_buffer(), p.kind) for x in part.column("ids")], end) / np.log(10)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in same), pa.array(got + part.column("share").to_numpy())], [*same, "model"])
