@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.operators import analytics, assembly, linking, predicates, retrieval, rules, spans, traverse
+from loomgraph.plans.queries import QUERIES
 from loomgraph.sources import files
 
 
@@ -196,3 +197,18 @@ def test_documents_that_hold_nearly_all_words_of_a_question(spark):
         got = retrieval.near_whole(spark.createDataFrame(docs, "doc_id int, len int, words array<string>"), q, share).collect()
         assert {(r.item_id, r.doc_id, r.m) for r in got if r.relevant} == want
         assert sorted(r.item_id for r in got if not r.relevant) == [i for i in asked if i != 12]
+
+
+def test_nodes_of_the_highest_degree_with_the_edges_among_them(spark, graph):
+    n, e = graph
+    cap = lambda edges, most: sorted(tuple(r) for r in analytics.degree_cap(n, edges, most).collect())
+    e = e.unionByName(spark.createDataFrame([("a", "a", "Calls"), ("c", "a", "Requires")], e.schema))
+    rows = [("a", 6, "a", "Calls"), ("a", 6, "b", "Calls"), ("a", 6, "b", "Uses"), ("b", 4, "c", "Uses"), ("c", 3, "a", "Requires")]
+    assert cap(e, 2) == [r for r in rows if r[2] != "c" and r[0] != "c"] + [("b", 4, None, None)]
+    assert cap(e, 3) == rows
+    assert ("lone", 0, None, None) in cap(e, 5) and ("b", 4, "m#d", "Contains") in cap(e, 5)
+
+
+def test_capped_graph_has_its_edges(spark, sf):
+    got = QUERIES["degree_cap"](spark, sf).toPandas()
+    assert got.anchor.nunique() == 800 and got.dst.notna().any() and set(got.dst.dropna()) <= set(got.anchor)
