@@ -197,6 +197,30 @@ def test_word_pairs_are_what_loops_give(spark):
         assert sorted((r.a, r.b, r.co, round(r.score, 9)) for r in got) == wanted and wanted
 
 
+def test_word_pairs_up_to_a_fifth_of_the_documents(spark, tmp_path):
+    """No pair is left out for its words' number of documents, nor for sharing one document only."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randint(0, int(60 * rng.random() ** 2) + 6)}" for _ in range(9)) for _ in range(100)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = [set(t.split()) for t in texts]
+    df = Counter(w for s in sets for w in s)
+    co = Counter((a, b) for s in sets for a in s for b in s if a < b and 3 <= df[a] <= 20 and 3 <= df[b] <= 20)
+    wanted = sorted((a, b, k, round(max(0, math.log2(k * 100 / df[a] / df[b])), 6)) for (a, b), k in co.items())
+    assert {1, 2} < set(co.values()) and max(df.values()) > 20 and any(df[a] > 5 for a, _ in co)
+    assert sorted(map(tuple, QUERIES["ppmi_pairs"](spark, str(tmp_path)).collect())) == wanted
+
+
+def test_numbers_that_meet_are_counted_in_small_buckets(spark):
+    """Any number of pairs a bucket; lists with repeated numbers, of one and of none."""
+    rng = random.Random(3)
+    lists = [sorted(int(200 * rng.random() ** 3) for _ in range(rng.randint(0, 25))) for _ in range(90)]
+    wanted = Counter((x, y) for ids in lists for x in ids for y in ids if y < x)
+    table = spark.createDataFrame([(x,) for x in lists], "ids array<int>").repartition(3)
+    for most in (40, 2_000, 1 << 24):
+        got = retrieval._met(table, most).collect()
+        assert len(got) == len(wanted) and {(r.x, r.y): r.co for r in got} == wanted
+
+
 def test_frequent_words_are_not_shuffled_by_document(spark, tmp_path):
     """Words that all documents have take a row a batch, and texts are cut into words once."""
     spark.range(4_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.sequence(F.lit(1), F.lit(200)), F.col("id") + 1_000).alias("text")).coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
